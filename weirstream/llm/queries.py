@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirstream.llm import license_rules
 from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
 
@@ -12,9 +13,13 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_bpe_codec,)}
+    return {f.__name__: f for f in (op8_bpe_codec, op9_license_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_rules": license_rules.scan_sql()}
