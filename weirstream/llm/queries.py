@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weirstream.llm import license_rules
 from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
+from weirstream.llm.token_attribution import attribute
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,12 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute(table(spark, sf_dir, "documents"), ["source", "lang", "text"], lead_of="text", rule="most", separator=" ")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_bpe_codec, op9_license_rules)}
+    return {f.__name__: f for f in (op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
