@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from weirstream.llm import license_rules
 from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
+from weirstream.llm.fertility import fertility
 from weirstream.llm.token_attribution import attribute
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -23,7 +28,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
