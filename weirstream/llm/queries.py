@@ -8,6 +8,7 @@ from weirstream.llm import license_rules
 from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
+from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
 
 
@@ -15,6 +16,10 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -28,8 +33,8 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op5_prefix_decontam, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_rules": license_rules.scan_sql()}
+    return {"op5_prefix_decontam": decontaminate_sql(), "op9_license_rules": license_rules.scan_sql()}
