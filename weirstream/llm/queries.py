@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirstream.llm import license_rules
 from weirstream.llm.bpe_codec import encode_decode
@@ -10,12 +11,19 @@ from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
+from weirstream.llm.zstd_langid import held_out, identify, learn_dictionaries
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
+def op4_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn_dictionaries(docs))
+    return found.withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
+
+
 def op5_prefix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -33,7 +41,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op5_prefix_decontam, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op4_zstd_langid, op5_prefix_decontam, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
