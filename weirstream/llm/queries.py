@@ -11,6 +11,7 @@ from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
+from weirstream.llm.warc_members import archive_pages, archive_sql
 from weirstream.llm.zstd_langid import held_out, identify, learn_dictionaries
 
 
@@ -28,6 +29,10 @@ def op5_prefix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).drop("archive", "member_offset", "member_length")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -41,8 +46,8 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op4_zstd_langid, op5_prefix_decontam, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_prefix_decontam": decontaminate_sql(), "op9_license_rules": license_rules.scan_sql()}
+    return {"op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op9_license_rules": license_rules.scan_sql()}
