@@ -11,6 +11,7 @@ from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
+from weirstream.llm.url_markov import filter_sql, filter_urls
 from weirstream.llm.warc_members import archive_pages, archive_sql
 from weirstream.llm.zstd_langid import held_out, identify, learn_dictionaries
 
@@ -19,6 +20,10 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
+def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn_dictionaries(docs))
@@ -46,8 +51,8 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op9_license_rules": license_rules.scan_sql()}
+    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op9_license_rules": license_rules.scan_sql()}
