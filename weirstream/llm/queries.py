@@ -9,6 +9,7 @@ from weirstream.llm import license_rules
 from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
+from weirstream.llm.flow_reshard import shard_documents
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
 from weirstream.llm.url_markov import filter_sql, filter_urls
@@ -20,6 +21,10 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
+def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
