@@ -10,6 +10,7 @@ from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.flow_reshard import shard_documents
+from weirstream.llm.partition_jaccard import near_duplicates
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
 from weirstream.llm.url_markov import filter_sql, filter_urls
@@ -43,6 +44,10 @@ def op6_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).drop("archive", "member_offset", "member_length")
 
 
+def op7_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op7_partition_jaccard, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
