@@ -94,7 +94,9 @@ def date_check(answers: DataFrame) -> DataFrame:
 def snippets_of(html: Column, marker: str = "result__snippet", most: int = 6) -> Column:
     """Text of the first marked links of a results page."""
     found = F.regexp_extract_all(html, F.lit(rf"(?s){marker}[^>]*>(.*?)</a>"), F.lit(1))
-    plain = F.transform(F.slice(found, 1, most), lambda s: F.trim(F.regexp_replace(s, "<[^>]+>", "")))
-    for entity, c in (("&quot;", '"'), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        plain = F.transform(plain, lambda s, e=entity, c=c: F.replace(s, F.lit(e), F.lit(c)))
-    return plain
+    def plain(snippet: Column) -> Column:
+        out = F.trim(F.regexp_replace(snippet, "<[^>]+>", ""))
+        for entity, c in (("&quot;", '"'), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(entity), F.lit(c))
+        return out
+    return F.transform(F.slice(found, 1, most), plain)
