@@ -15,7 +15,7 @@ from weirstream.operators import streams as st
 from weirstream.sources import corpus, sessions, sse
 
 PROSE = "The ferry left the harbour a little after nine, and by noon the fog had lifted from the islands. Two passengers stood at the rail and argued about the price of copper, while a third fed crumbs to the gulls that followed us. Nobody noticed when the engine changed its tone, because the band had begun to play an old waltz below deck. We landed late, tired, and pleased with the day. "
-LOOP = "and then the same words came back once again and "
+LOOP = "and then the same words came back once again so "
 ODD = ["", "a", "ab", "abc", "x" * 45, "-" * 60, "²³½①   —•«»🙂é_", "ab" * 6, PROSE[:349], PROSE[:350], PROSE[:351], PROSE * 2, "Привет мир 漢字 abc سلام " * 30, PROSE[:300] + "0.00 #REF! " * 60, "_" * 30 + PROSE]
 
 

@@ -21,8 +21,6 @@ from weirstream.operators.fusion import Thresholds
 from weirstream.operators.protocol import BURN_IN, DEFLATE_EVERY, DELTA, LAMBDA, scored
 from weirstream.operators.streams import EVERY, HOLD
 
-#: State of a stream that gets no chunk for so long is dropped.
-IDLE_MS = 6 * 3_600_000
 FEATURES = ", ".join(f"{c} double" for c in detectors.VECTOR)
 
 
@@ -56,12 +54,12 @@ class StreamState:
 class Checkpoints(StatefulProcessor):
     """Chunks (seq from 1, the last one marked) to features at checkpoints and at the end (k null)."""
 
-    def __init__(self, hold: int = HOLD, every: int = EVERY):
-        self.hold, self.every = hold, every
+    def __init__(self, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None):
+        self.hold, self.every, self.idle_ms = hold, every, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "text string, since_deflate int, deflated int, frozen int, next_seq long, k int, due int, ended boolean", ttlDurationMs=IDLE_MS)
-        self.early = handle.getMapState("early", "seq long", "chunk string, last boolean", ttlDurationMs=IDLE_MS)
+        self.state = handle.getValueState("state", "text string, since_deflate int, deflated int, frozen int, next_seq long, k int, due int, ended boolean", ttlDurationMs=self.idle_ms)
+        self.early = handle.getMapState("early", "seq long", "chunk string, last boolean", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self.state.get() if self.state.exists() else ("", 0, -1, -1, 1, 0, self.hold, False)
@@ -102,11 +100,11 @@ class Checkpoints(StatefulProcessor):
 class Protocol(StatefulProcessor):
     """Scored checkpoints to verdict rows: the state machine of hold, release and abort."""
 
-    def __init__(self, thresholds: Thresholds):
-        self.thresholds = thresholds
+    def __init__(self, thresholds: Thresholds, idle_ms: int | None = None):
+        self.thresholds, self.idle_ms = thresholds, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("protocol", "n int, mean double, cum double, low double, alarm int, hot boolean, aborted boolean, released int, pos int", ttlDurationMs=IDLE_MS)
+        self.state = handle.getValueState("protocol", "n int, mean double, cum double, low double, alarm int, hot boolean, aborted boolean, released int, pos int", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, mean, cum, low, alarm, hot, aborted, released, last = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, -1, False, False, 0, -1)
@@ -144,21 +142,27 @@ class Protocol(StatefulProcessor):
         pass
 
 
-def checkpoint_features(chunks: DataFrame, hold: int = HOLD, every: int = EVERY) -> DataFrame:
+def time_mode(idle_ms: int | None) -> str:
+    return "None" if idle_ms is None else "ProcessingTime"
+
+
+def checkpoint_features(chunks: DataFrame, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None) -> DataFrame:
     """stream_id, k, pos and features from a stream of stream_id, seq, chunk, last."""
     kind = chunks.schema["stream_id"].dataType.simpleString()
     schema = f"stream_id {kind}, k int, pos int, {FEATURES}"
-    return chunks.select("stream_id", "seq", "chunk", "last").groupBy("stream_id").transformWithStateInPandas(Checkpoints(hold, every), schema, "Append", "processingTime")
+    return chunks.select("stream_id", "seq", "chunk", "last").groupBy("stream_id").transformWithStateInPandas(Checkpoints(hold, every, idle_ms), schema, "Append", time_mode(idle_ms))
 
 
-def guard_stream(chunks: DataFrame, thresholds: Thresholds = Thresholds(), hold: int = HOLD, every: int = EVERY) -> DataFrame:
+def guard_stream(chunks: DataFrame, thresholds: Thresholds = Thresholds(), hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None) -> DataFrame:
     """A verdict row for each checkpoint of each live stream: stream_id, k (null at the end), pos, state, p, reasons,
-    classes, onset, released_chars, done. Needs the RocksDB state store."""
-    points = scored(checkpoint_features(chunks, hold, every), thresholds=thresholds)
+    classes, onset, released_chars (as of the last checkpoint), done. Needs the RocksDB state store. With ``idle_ms`` the
+    state of a stream that is silent for so long is dropped; such a query never runs out of batches, so it can't be
+    used with a trigger that stops when no data is left."""
+    points = scored(checkpoint_features(chunks, hold, every, idle_ms), thresholds=thresholds)
     slim = points.select("stream_id", "k", "pos", "p", "reasons", "classes", "hard")
     kind = chunks.schema["stream_id"].dataType.simpleString()
     schema = f"stream_id {kind}, k int, pos int, state string, p double, reasons array<string>, classes array<string>, onset long, released_chars long, done boolean"
-    return slim.groupBy("stream_id").transformWithStateInPandas(Protocol(thresholds), schema, "Append", "processingTime")
+    return slim.groupBy("stream_id").transformWithStateInPandas(Protocol(thresholds, idle_ms), schema, "Append", time_mode(idle_ms))
 
 
 def with_last(chunks: DataFrame) -> DataFrame:
