@@ -128,7 +128,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float]
     """Move rows to new shards of capacities in proportion to ``weights`` and rewrite what moves.
 
     ``old_shard`` gives 0 to ``n_old`` - 1 for every row (null counts as 0). Returns the input columns with
-    __old, __shard and __slot (gapless from 0 in each new shard), and the plan. Shard sizes come within
+    __old, __block, __shard and __base (the first slot of the block), for ``with_slots``, and the plan. Shard sizes come within
     about the smallest block of their capacities; a block holds the rows of a shard with equal hash of id
     and text, so a shard of fewer rows than blocks is dealt row by row. Moved rows are written to
     ``folder``/shard=N and read from there; other rows are read where they are. Null texts are empty; equal
@@ -156,9 +156,14 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float]
     files = max(1, -(-int(plan.capacity.max(initial=0)) // FILE_BYTES))
     moved.repartition(len(weights) * files, "__shard", F.pmod("__block", F.lit(files))).withColumn("shard", F.col("__shard")).write.partitionBy("shard").parquet(path)
     rewritten = spark.read.schema(moved.schema).parquet(path)
-    whole = kept.unionByName(rewritten.select(kept.columns))
-    order = Window.partitionBy("__old", "__block").orderBy(F.col(doc_id), F.crc32(F.col(text)))
-    return whole.withColumn("__slot", F.col("__base") + F.row_number().over(order) - 1).select(*columns, "__old", "__shard", "__slot"), plan
+    return kept.unionByName(rewritten.select(kept.columns)).select(*columns, "__old", "__block", "__shard", "__base"), plan
+
+
+def with_slots(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds slot, gapless from 0 in each new shard. Only blocks are put in order, so no shard is one task's work;
+    rows are shuffled, so callers drop the text first if they don't need it."""
+    place = F.row_number().over(Window.partitionBy("__old", "__block").orderBy(*order))
+    return rows.withColumn("slot", F.col("__base") + place - 1)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, folder: str | None = None, blocks: int = BLOCKS) -> DataFrame:
@@ -170,4 +175,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, folder: str | None = No
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(n_shards))
     slim = docs.select("doc_id", "text", "source")
     whole, _ = reshard(slim, old, n_shards, [1.0] * n_shards, folder, blocks=blocks)
-    return whole.select("doc_id", text_bytes("text").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__old").alias("old_shard"))
+    slim = whole.select("doc_id", text_bytes("text").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), "__old", "__block", "__shard", "__base")
+    placed = with_slots(slim, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("__old").alias("old_shard"))
