@@ -58,8 +58,8 @@ def output_schema(df: DataFrame, keep: list[str], new: dict[str, str]) -> T.Stru
     """Fields of the kept columns, then the new ones given as name -> DDL type."""
     if clash := set(keep) & set(new):
         raise ValueError(f"kept columns clash with results: {sorted(clash)}")
-    added = T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in new.items()))
-    return T.StructType([df.schema[name] for name in keep] + added.fields)
+    added = T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in new.items())).fields if new else []
+    return T.StructType([df.schema[name] for name in keep] + added)
 
 
 def broadcast_file(spark: SparkSession, path: str, max_bytes: int = 32_000_000):

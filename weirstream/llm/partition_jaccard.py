@@ -9,22 +9,30 @@ contents of a set, in any fixed global order, the first U + 1 include one that t
 own first U + 1: only those are indexed (a pair is found in the band of its smaller set, so a set near the
 lower edge of its band is indexed in the band below as well).
 
-**Allocation.** Which U + 1 segments are used is free as long as the order is a function of the content.
+**Slack.** In a band with slack l, sets index U + l contents, so partners share at least l of them. Contents are
+counted, a set drops its l - 1 most frequent ones, and one that shares fewer than l drops all: the least frequent
+content that two partners share is never among those dropped by either.
+
+**Allocation.** Which U + l segments are used is free as long as the order is a function of the content.
 It is chosen by cost: contents that hold a shingle not known as frequent come first, more shingles before
 fewer, then by hash. Passages that many documents share are thus left out wherever a document has enough
 else. In the band of the smallest sets (U <= 1) one segment is cheaper: the whole set is indexed with its
-one-deletion neighbourhood. If hashing ever leaves a set fewer than U + 1 contents, all is hashed anew.
-
-**Verification.** A class that shares an indexed content with others is compared with the smallest of the
-class numbers that it meets most often, by its text, exactly; if they link, that is its centre. Then
-centres of different components that share a content are compared. Jaccard distance is a metric, so for
-centres at distance D, members a and b need a comparison only if d(a) + d(b) >= D - (1 - t). No group
-is ever expanded into all its pairs, and every pair left out is linked already or provably below t.
+one-deletion neighbourhood. If hashing ever leaves a set fewer than U + l contents, all is hashed anew.
+
+**Verification.** Texts are compared exactly, in three steps. A class is compared with the leader that it meets
+most often (the leader of a content is the class whose contents are met most); if they link, that is its centre.
+Classes that hang together by their leaders are a family: near copies of a text that don't all link to it, or texts
+around a passage.
+Families that aren't one component are sorted by size and cut into blocks, and blocks of fitting sizes are
+compared as tiles, so their pairs are never rows. Last come contents on which different families and components
+meet: their centres are compared, and as Jaccard distance is a metric, members a and b of centres at distance D
+only if d(a) + d(b) >= D - (1 - t). Every pair left out is linked already or provably below t.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -36,33 +44,67 @@ from weirstream.llm.common import output_schema, persisted, slices, with_columns
 WORDS, PERCENT = 5, 75
 #: Largest sizes of the bands, each four times the one before; the first is the deletion band (U <= 1).
 TOPS = [5, 31, 127, 511, 2047, 8191, 32767, 131071, 524287, 2097151, 8388607, 1 << 40]
-#: A shingle is frequent if it is in so many texts, counted where a slice of texts holds it this often.
-#: At most MAX_FREQUENT are broadcast; they only order segments, results don't depend on them.
-FREQUENT, IN_SLICE, MAX_FREQUENT = 16, 3, 400_000
+#: A shingle is frequent if so many different texts hold it, counted where a lot of LOT shingles holds it IN_LOT
+#: times. At most MAX_FREQUENT are broadcast; they only order segments, results don't depend on them.
+FREQUENT, IN_LOT, LOT, MAX_FREQUENT = 8, 2, 1_000_000, 400_000
+#: One more content for so many shingles of the band's smallest set as slack.
+SLACK = 16
+#: Shingles in a block of a family.
+BLOCK = 200_000
 #: Pairs that are broadcast instead of shuffled when texts are fetched.
 BROADCAST_PAIRS = 300_000
+#: Characters of text that are hashed at once: small arrays stay in the processor's cache.
+PIECE = 300_000
 FOLD = bytes((b | 32) if 65 <= b <= 90 else b for b in range(256))
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * K2
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: list[str | None], hashes: WordHashes, n: int = WORDS) -> list[np.ndarray]:
+#: One random word for each byte value, and an odd base with its inverse modulo 2 ** 64.
+TABLE = np.random.default_rng(20_200_101).integers(0, 1 << 64, 256, np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of INVERSE, kept in the worker."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, INVERSE)):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of all words of some texts in one array, and words of each text.
+
+    A word's hash is its polynomial over the byte table, taken from running sums over all bytes.
+    """
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    blank = BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(blank) and not blank[0]:
+        edge = np.r_[0, edge]
+    begin, end = edge[::2], edge[1::2]
+    power, back = powers(len(data))
+    total = np.r_[np.uint64(0), np.cumsum(TABLE[data] * power)]
+    hashes = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    starts = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    return hashes, np.diff(np.searchsorted(begin, starts)).tolist()
+
+
+def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text. Fewer than ``n`` words, but some, are one shingle."""
-    words = [(t or "").encode().translate(FOLD).split() for t in texts]
-    size = [len(w) for w in words]
-    flat = np.fromiter(map(hashes.__getitem__, (w for own in words for w in own)), np.uint64, sum(size))
+    flat, size = word_hashes([(t or "").encode().translate(FOLD) for t in texts])
     window = np.full(max(0, len(flat) - n + 1), n, np.uint64)
     for j in range(n):
         window = mix(window * K1 + flat[j : j + len(window)])
@@ -87,11 +129,34 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle's low bits, at least six bits for each shingle."""
+    bits = np.zeros(1 << max(6, (6 * len(s)).bit_length()), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """Upper bound of the common shingles of two sets: each bit that differs is a shingle that they don't share."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return min(na, nb, (na + nb - differ) // 2)
+
+
 def segments_of(band: int) -> int:
     top = TOPS[band]
     return 4096 if top <= 31 else 4 * top if top <= 127 else 3 * top // 2 if top <= 511 else min(7 * top // 10, 1 << 30)
 
 
+def slack_of(band: int) -> int:
+    """Contents that partners of this band share at least; the same for all sets of the band."""
+    return 1 if TOPS[band] <= 31 else 2 + TOPS[band - 1] // SLACK
+
+
 def roles(size: int) -> list[tuple[int, int]]:
     """(band, U) in which a set of this size is indexed: its own band, and the one below if a smaller partner may be there."""
     if not size:
@@ -113,55 +178,72 @@ def contents(s: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return order, first, segment[first]
 
 
-def signatures(s: np.ndarray, rare: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Index keys of a set by role. rare: which of its shingles aren't known as frequent."""
+def signatures(s: np.ndarray, rare: np.ndarray, seed: int) -> list[tuple[np.ndarray, int, int]] | None:
+    """Index keys, band and slack of a set by role; None if hashing left a role fewer than U + slack contents.
+
+    rare: which of its shingles aren't known as frequent. The order of contents is a function of the content:
+    whether all its shingles are frequent, fewer shingles, its key, its segment.
+    """
     out = []
     for band, u in roles(len(s)):
         salt = np.uint64((band * int(K1) + seed) % (1 << 64))
         if band == 0:
             whole = s.sum(dtype=np.uint64)
-            out.append(mix(np.r_[whole, whole - s] * K1 + salt) if len(s) > 2 else mix(np.array([whole]) * K1 + salt))
+            out.append((mix((np.r_[whole, whole - s] if len(s) > 2 else np.array([whole])) * K1 + salt), band, 1))
             continue
         order, first, segment = contents(s, band, seed)
-        total = np.add.reduceat(s[order], first)
-        count = np.diff(np.r_[first, len(s)])
-        unusual = np.maximum.reduceat(rare[order], first)
-        key = mix(mix(total * K1 + salt) + segment)
-        out.append(key[np.lexsort((key, -count, ~unusual))[: u + 1]])
+        slack = slack_of(band)
+        if len(first) < u + slack:
+            return None
+        key = mix(mix(np.add.reduceat(s[order], first) * K1 + salt) + segment)
+        many = np.minimum(np.diff(np.r_[first, len(s)]), 127).astype(np.uint64)
+        usual = (~np.maximum.reduceat(rare[order], first)).astype(np.uint64)
+        rank = usual << np.uint64(63) | (np.uint64(127) - many) << np.uint64(56) | key >> np.uint64(8)
+        out.append((key[np.argsort(rank, kind="stable")[: u + slack]], band, slack))
     return out
 
 
-def short_of_contents(s: np.ndarray, seed: int) -> bool:
-    """Whether hashing left a role fewer than U + 1 contents."""
-    return any(band and len(contents(s, band, seed)[1]) <= u for band, u in roles(len(s)))
-
-
-def digests(docs: DataFrame, text: str, seed: int) -> DataFrame:
-    """n_shingles, class digest (h1, h2), short, and on the first row of each slice its frequent shingles."""
+def digests(docs: DataFrame, text: str) -> DataFrame:
+    """n_shingles, class digest (h1, h2), bitmap; rows with n_shingles -1 stand for no document but list frequent shingles."""
     keep = [c for c in docs.columns if c != text]
-    new = {"n_shingles": "long", "h1": "long", "h2": "long", "short": "boolean", "frequent": "array<struct<shingle:long,n:long>>"}
+    new = {"n_shingles": "long", "h1": "long", "h2": "long", "bits": "binary", "frequent": "array<struct<shingle:long,n:long>>"}
+    kind = pa.list_(pa.struct({"shingle": pa.int64(), "n": pa.int64()}))
 
     def run(batches):
-        hashes = WordHashes()
+        gathered: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+
+        def counted(like: pa.Schema) -> pa.RecordBatch:
+            shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *gathered.values()]), return_counts=True)
+            gathered.clear()
+            listed = [{"shingle": a, "n": b} for a, b in zip(shingle[n >= IN_LOT].view(np.int64).tolist(), n[n >= IN_LOT].tolist(), strict=True)]
+            none = {k: pa.nulls(1, like.field(k).type) for k in keep}
+            return pa.RecordBatch.from_pydict(none | {"n_shingles": pa.array([-1], pa.int64()), "h1": pa.array([0], pa.int64()), "h2": pa.array([0], pa.int64()), "bits": pa.nulls(1, pa.binary()), "frequent": pa.array([listed], kind)})
+
+        schema = None
         for batch in batches:
-            for start, length, texts in slices(batch, text):
-                sets = shingle_sets(texts, hashes)
+            schema = batch.schema
+            for start, length, texts in slices(batch, text, PIECE):
+                sets = shingle_sets(texts)
                 both = [digest(s) for s in sets]
-                distinct = {b: s for b, s in zip(both, sets, strict=True)}
-                shingle, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                often = n >= IN_SLICE
-                frequent = [[{"shingle": int(a), "n": int(b)} for a, b in zip(shingle[often].view(np.int64), n[often], strict=True)]] + [None] * (length - 1)
+                gathered.update(zip(both, sets, strict=True))  # copies count once
+                held += sum(map(len, sets))
                 yield with_columns(batch, keep, start, length, {
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array([b[0] for b in both], pa.int64()), "h2": pa.array([b[1] for b in both], pa.int64()),
-                    "short": pa.array([short_of_contents(s, seed) for s in sets], pa.bool_()), "frequent": pa.array(frequent, pa.list_(pa.struct({"shingle": pa.int64(), "n": pa.int64()}))),
+                    "bits": pa.array([bitmap(s) for s in sets], pa.binary()), "frequent": pa.nulls(length, kind),
                 })
+                if held > LOT:
+                    yield counted(schema)
+                    held = 0
+        if gathered:
+            yield counted(schema)
 
     return docs.mapInArrow(run, output_schema(docs, keep, new))
 
 
 def frequent_shingles(rows: DataFrame) -> np.ndarray:
     """Sorted shingles counted as frequent, as many of the most frequent as fit the bound."""
-    counted = persisted(rows.where("frequent is not null").select(F.explode("frequent").alias("f")).groupBy("f.shingle").agg(F.sum("f.n").alias("n")).where(F.col("n") >= FREQUENT), "shingles")
+    counted = persisted(rows.where("n_shingles = -1").select(F.explode("frequent").alias("f")).groupBy("f.shingle").agg(F.sum("f.n").alias("n")).where(F.col("n") >= FREQUENT), "shingles")
     level = F.floor(F.log2("n"))
     total, least = 0, None
     for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 63 rows at most
@@ -176,38 +258,64 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def index(docs: DataFrame, text: str, frequent: np.ndarray, seed: int) -> DataFrame:
-    """key, sid (the class number) for all documents; a task leaves out classes that it has just indexed."""
+    """key, sid (the class number), tag (slack and band) for all documents; a task leaves out classes that it has just indexed."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hashes, common, seen = WordHashes(), shared.value, set()
+        common, seen = shared.value, set()
         for batch in batches:
-            for _, _, texts in slices(batch, text):
-                keys, sids = [], []
-                for s in shingle_sets(texts, hashes):
+            for _, _, texts in slices(batch, text, PIECE):
+                keys, sids, tags, short = [], [], [], []
+                for s in shingle_sets(texts):
                     sid = digest(s)[0]
                     if not len(s) or sid in seen:
                         continue
-                    if len(seen) > 300_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(sid)
                     rare = np.ones(len(s), bool)
                     if len(common):
                         rare = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s
-                    for own in signatures(s, rare, seed):
-                        keys.append(own)
-                        sids.append(np.full(len(own), sid, np.int64))
+                    own = signatures(s, rare, seed)
+                    if own is None:
+                        short.append(sid)
+                        continue
+                    for k, band, slack in own:
+                        keys.append(k)
+                        sids.append(np.full(len(k), sid, np.int64))
+                        tags.append(np.full(len(k), slack << 4 | band, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "sid": pa.array(np.concatenate(sids))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "sid": pa.array(np.concatenate(sids)), "tag": pa.array(np.concatenate(tags))})
+                if short:
+                    yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(short), pa.int64()), "sid": pa.array(short, pa.int64()), "tag": pa.nulls(len(short), pa.int32())})
 
-    return docs.select(text).mapInArrow(run, "key long, sid long")
+    return docs.select(text).mapInArrow(run, "key long, sid long, tag int")
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, need) that sizes and bitmaps allow to reach a similarity of ``need``, with their documents."""
+    for p in "ab":
+        pairs = pairs.join(classes.select(F.col("h1").alias(p), F.col("n_shingles").alias(f"{p}_n")), p)
+    sized = pairs.where(F.least("a_n", "b_n") >= F.col("need") * F.greatest("a_n", "b_n") - 1e-9)
+    for p in "ab":
+        own = classes.select(F.col("h1").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("rep").alias(f"{p}_id"), F.col("bits").alias(f"{p}_bits"))
+        sized = sized.join(own, [p, f"{p}_n"])
+
+    def run(batches):
+        for batch in batches:
+            need, na, nb, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("need", "a_n", "b_n", "a_bits", "b_bits"))
+            most = np.array([most_common(*p) for p in zip(x, y, na, nb, strict=True)], np.int64)
+            united = np.array(na, np.int64) + np.array(nb, np.int64) - most
+            fits = pa.array(most >= np.array(need) * united - 1e-9)
+            yield batch.select(["a", "b", "a_id", "b_id"]).filter(fits)
+
+    out = sized.select("a", "b", "need", "a_n", "b_n", "a_bits", "b_bits", "a_id", "b_id")
+    return out.mapInArrow(run, output_schema(out, ["a", "b", "a_id", "b_id"], {}))
 
 
 def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """a, b (class numbers), similarity as common and united shingles, from whole texts."""
-    rep = classes.select("h1", "rep")
-    named = pairs.join(rep.toDF("a", "a_id"), "a").join(rep.toDF("b", "b_id"), "b")
-    named = persisted(named.select("a", "b", "a_id", "b_id"), "pairs")
+    """a, b (class numbers), similarity as common and united shingles, from whole texts, where ``need`` can be reached."""
+    named = persisted(possible(pairs, classes), "pairs")
     small = named.count() <= BROADCAST_PAIRS  # else texts are shuffled
     hint = F.broadcast if small else lambda x: x
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -215,25 +323,73 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, doc_id: str,
     right = texts.withColumnsRenamed({"id": "b_id", "text": "b_text"}).join(hint(named.select("b_id").distinct()), "b_id")
 
     def run(batches):
-        hashes = WordHashes()
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             for start, length, own in slices(batch, "a_text"):
                 a, b = (batch.column(batch.schema.get_field_index(c)).slice(start, length).to_pylist() for c in ("a", "b"))
                 others = batch.column(batch.schema.get_field_index("b_text")).slice(start, length).to_pylist()
                 rows = []
-                missing = list(set(others) - known.keys())
-                if len(known) > 2_000:
+                if len(known) > 1_000:
                     known.clear()
-                    missing = list(set(others))
-                known.update(zip(missing, shingle_sets(missing, hashes), strict=True))
-                for x, y, s, t in zip(a, b, shingle_sets(own, hashes), map(known.__getitem__, others), strict=True):
-                    if digest(s)[0] == x and digest(t)[0] == y:
+                missing = list(set(others) - known.keys())
+                known.update(zip(missing, [(s, digest(s)[0]) for s in shingle_sets(missing)], strict=True))
+                for x, y, s, (t, number) in zip(a, b, shingle_sets(own), map(known.__getitem__, others), strict=True):
+                    if digest(s)[0] == x and number == y:
                         common = len(np.intersect1d(s, t, assume_unique=True))
                         rows.append((x, y, common, len(s) + len(t) - common))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["a", "b", "common", "united"])
 
-    return left.join(right, "b_id").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, common long, united long")
+    found = left.join(right, "b_id").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, common long, united long")
+    return persisted(found.groupBy("a", "b").agg(F.max("common").alias("common"), F.max("united").alias("united")), "compared")
+
+
+def tile_links(sids: np.ndarray, component: np.ndarray, side: np.ndarray, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+    """Links between classes of different components: of a block with itself (side 2), or of side 0 with side 1."""
+    sets = shingle_sets(texts)
+    n = np.array([len(s) for s in sets], np.int64)
+    fits = [digest(s)[0] == sid for s, sid in zip(sets, sids, strict=True)]
+    maps = np.zeros((len(sets), 1 << max(6, (6 * int(n.max(initial=1))).bit_length())), bool)
+    for row, s in zip(maps, sets, strict=True):
+        row[(s & np.uint64(maps.shape[1] - 1)).astype(np.int64)] = True
+    packed = np.packbits(maps, axis=1).view(np.uint64)
+    out = []
+    for i in np.flatnonzero(fits):
+        other = (np.arange(len(sets)) > i) & (component != component[i]) & ((side == 2) | (side != side[i]))
+        j = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        most = (n[i] + n[j] - np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1).astype(np.int64)) // 2
+        for k in j[100 * most >= PERCENT * (n[i] + n[j] - most)]:
+            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if fits[k] and 100 * common >= PERCENT * (n[i] + n[k] - common):
+                out.append((int(sids[i]), int(sids[k]), common, int(n[i] + n[k] - common)))
+    return out
+
+
+def family_links(families: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """a, b that link within families (family, sid, component, id, n_shingles) and are of different components.
+
+    A family is put in order of size and cut into blocks of about BLOCK shingles; two blocks make a tile if
+    their sizes can reach the threshold. A tile is a bounded group; its pairs are compared by bitmaps first.
+    """
+    whole = Window.partitionBy("family")
+    mixed = families.withColumns({"x": F.min("component").over(whole), "y": F.max("component").over(whole)}).where("x < y")
+    blocked = persisted(mixed.withColumn("block", F.floor(F.sum("n_shingles").over(whole.orderBy("n_shingles", "sid")) / BLOCK)).select("family", "block", "sid", "component", "id", "n_shingles"), "families")
+    blocks = blocked.groupBy("family", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    tiles = blocks.alias("p").join(blocks.alias("q"), "family").where("p.block <= q.block").where(100 * F.col("p.high") >= PERCENT * F.col("q.low")).select("family", F.col("p.block").alias("p"), F.col("q.block").alias("q"))
+    sides = [F.struct(F.col("p").alias("block"), F.when(F.col("p") == F.col("q"), 2).otherwise(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side"))]
+    each = tiles.select("family", "p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array(sides[0])).otherwise(F.array(*sides))).alias("s")).select("family", "p", "q", "s.block", "s.side")
+    rows = each.join(blocked, ["family", "block"])
+    ids = blocked.select("id").distinct()
+    if ids.count() <= BROADCAST_PAIRS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates(["sid", "text"])
+        found = tile_links(part["sid"].to_numpy(), part["component"].to_numpy(), part["side"].to_numpy(), part["text"].tolist())
+        return pd.DataFrame(found, columns=["a", "b", "common", "united"]).astype("int64")
+
+    dealt = rows.join(texts, "id").select("family", "p", "q", "sid", "component", "side", "text")
+    return persisted(dealt.groupBy("family", "p", "q").applyInPandas(run, "a long, b long, common long, united long"), "tiles")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,41 +425,60 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     only through equal sets. An empty table gives an empty result. Other columns are not read.
     """
     slim = docs.select(doc_id, text)
+    least = PERCENT / 100
+    digested = persisted(digests(slim, text), "digests")
+    rows = digested.where("n_shingles >= 0")
+    classes = persisted(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(doc_id).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "classes")
+    frequent = frequent_shingles(digested)
+    by_key = Window.partitionBy("key")
     seed = 0
     while True:
-        rows = persisted(digests(slim, text, seed), "digests")
-        if not rows.where("short").limit(1).count():
+        met = index(slim, text, frequent, seed).withColumns({"first": F.min("sid").over(by_key), "last": F.max("sid").over(by_key), "n": F.count("*").over(by_key)})
+        common = persisted(met.where("first < last or key is null").select("key", "sid", "tag", "n").distinct(), "common")
+        if not common.where("key is null").limit(1).count():
             break
         seed += 1
-    classes = persisted(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(doc_id).alias("rep")), "classes")
-    keyed = index(slim, text, frequent_shingles(rows), seed)
-    by_key = Window.partitionBy("key")
-    shared = keyed.withColumns({"least": F.min("sid").over(by_key), "most": F.max("sid").over(by_key)}).where("least < most")
-    shared = persisted(shared.select("key", "sid", "least"), "shared")
-    # the class that each one meets most often as the least of a group
-    met = shared.where("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("n"))
-    best = met.groupBy("sid").agg(F.max(F.struct("n", (-F.col("least")).alias("_"), "least")).alias("m")).select(F.col("sid").alias("a"), F.col("m.least").alias("b"))
-    stars = persisted(compare(best, slim, classes, doc_id, text).groupBy("a", "b").agg(F.max("common").alias("common"), F.max("united").alias("united")).where(linked(F.col("common"), F.col("united"))), "stars")
+    own = Window.partitionBy("sid", "tag")
+    place = F.row_number().over(own.orderBy(F.desc("n"), "key"))
+    left = common.withColumns({"place": place, "own": F.count("*").over(own), "slack": F.shiftright("tag", 4)}).where("own >= slack and place >= slack")
+    left = left.withColumn("met", F.sum("n").over(Window.partitionBy("sid"))).select("key", "sid", "met")
+    led = left.withColumns({"first": F.min("sid").over(by_key), "last": F.max("sid").over(by_key), "leader": F.max(F.struct("met", "sid")).over(by_key)["sid"]})
+    shared = persisted(led.where("first < last").select("key", "sid", "leader"), "shared")
+    # the leader that each one meets most often
+    often = shared.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("n"))
+    best = persisted(often.groupBy("sid").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader")), "best")
+    link = linked(F.col("common"), F.col("united"))
+    distance = 1 - F.col("common") / F.col("united")
+    stars = compare(best.select(F.col("sid").alias("a"), F.col("leader").alias("b"), F.lit(least).alias("need")), slim, classes, doc_id, text).where(link)
     labels = components(stars)
-    centre = stars.select(F.col("a").alias("sid"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("united")).alias("radius"))
-    # contents on which different components still meet
-    placed = spread(shared.select("key", "sid"), labels, "sid")
-    mixed = placed.withColumns({"x": F.min("component").over(by_key), "y": F.max("component").over(by_key)}).where("x < y").select("key", "sid", "component")
-    mixed = persisted(mixed.join(centre, "sid", "left").select("key", "sid", "component", F.coalesce("centre", "sid").alias("centre"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "mixed")
-    one, other = (mixed.select("key", F.col("component").alias(f"{p}_component"), F.col("centre").alias(p)).distinct() for p in "ab")
-    apart = one.join(other, "key").where("a_component < b_component").select("a", "b").distinct()
-    centres = persisted(compare(apart, slim, classes, doc_id, text).groupBy("a", "b").agg(F.max("common").alias("common"), F.max("united").alias("united")), "centres")
-    more = centres.where(linked(F.col("common"), F.col("united"))).select("a", "b")
-    # members that the metric doesn't rule out
-    gap = 1 - F.col("common") / F.col("united") - (1 - PERCENT / 100)
-    open_ = centres.where(~linked(F.col("common"), F.col("united")) & (gap <= 2 * (1 - PERCENT / 100) + 1e-9)).select("a", "b", gap.alias("gap"))
+    # all pairs of a family whose members aren't one component yet
+    families = components(best.select(F.col("sid").alias("a"), F.col("leader").alias("b"))).toDF("sid", "family")
+    members = spread(families, labels, "sid").join(classes.select(F.col("h1").alias("sid"), F.col("rep").alias("id"), "n_shingles"), "sid")
+    kin = family_links(members, slim, doc_id, text)
+    labels = components(stars.select("a", "b").union(kin.select("a", "b")))
+    centre = stars.select(F.col("a").alias("sid"), F.col("b").alias("centre"), distance.alias("radius"))
+    reach = stars.groupBy("b").agg(F.max(distance).alias("reach"))
+    # contents on which different components of different families still meet
+    placed = spread(shared.select("key", "sid").join(families, "sid", "left").withColumn("family", F.coalesce("family", "sid")), labels, "sid")
+    spans = {n: f(c).over(by_key) for n, f, c in (("x", F.min, "component"), ("y", F.max, "component"), ("u", F.min, "family"), ("v", F.max, "family"))}
+    mixed = placed.withColumns(spans).where("x < y and u < v").select("key", "sid", "component", "family")
+    mixed = persisted(mixed.join(centre, "sid", "left").select("key", "sid", "component", "family", F.coalesce("centre", "sid").alias("centre"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "mixed")
+    one, other = (mixed.select("key", F.col("component").alias(f"{p}_component"), F.col("family").alias(f"{p}_family"), F.col("centre").alias(p)).distinct() for p in "ab")
+    apart = one.join(other, "key").where("a_component < b_component and a_family <> b_family").select("a", "b").distinct()
+    for p in "ab":
+        apart = apart.join(reach.select(F.col("b").alias(p), F.col("reach").alias(f"{p}_reach")), p, "left")
+    # members link only if their centres are at most so far apart
+    need = least - F.coalesce("a_reach", F.lit(0.0)) - F.coalesce("b_reach", F.lit(0.0))
+    centres = compare(apart.select("a", "b", need.alias("need")), slim, classes, doc_id, text)
+    open_ = centres.where(~link & (distance <= 3 * (1 - least) + 1e-9)).select("a", "b", (distance - (1 - least)).alias("gap"))
     x = mixed.select("key", F.col("sid").alias("x"), F.col("centre").alias("a"), F.col("radius").alias("rx"))
     y = mixed.select("key", F.col("sid").alias("y"), F.col("centre").alias("b"), F.col("radius").alias("ry"))
-    members = x.join(open_, "a").join(y, ["key", "b"]).where("rx + ry >= gap - 1e-9 and (x <> a or y <> b)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    rest = compare(members, slim, classes, doc_id, text).where(linked(F.col("common"), F.col("united"))).select("a", "b")
-    labels = components(stars.select("a", "b").union(more).union(rest))
+    inner = x.join(open_, "a").join(y, ["key", "b"]).where("rx + ry >= gap - 1e-9 and (x <> a or y <> b)").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(least).alias("need")).distinct()
+    rest = compare(inner, slim, classes, doc_id, text).where(link)
+    edges = [e.select("a", "b") for e in (stars, kin, centres.where(link), rest)]
+    labels = components(edges[0].union(edges[1]).union(edges[2]).union(edges[3]))
     # classes to documents: the least id of all classes of a component
     named = spread(classes.select(F.col("h1").alias("node"), "h2", "rep"), labels, "node").withColumnRenamed("node", "h1")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "component").select("h1", "h2", "component_id")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = named.join(smallest, "component").select("h1", "h2", "component_id")
     return rows.select(doc_id, "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left").select(doc_id, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(doc_id)).alias("component_id"))
