@@ -109,13 +109,13 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(sql.STREAMS, sql.CHARS, sql.SURPRISE) + "select stream_id, count(*)::bigint as n, round(avg(surprise), 6) as mean_bits, round(max(surprise), 6) as most_bits from su group by stream_id")
 def ngram_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), 200))
+    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), 64))
     return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.round(F.avg("surprise"), 6).alias("mean_bits"), F.round(F.max("surprise"), 6).alias("most_bits"))
 
 
 @query(with_(sql.STREAMS, sql.CHARS, sql.SURPRISE, sql.BASE) + f"select stream_id, n::int as n, {sql6('mean', 'mad')} from ba")
 def surprise_baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), 200))
+    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), 64))
     return sequence_features.baselines(found).select("stream_id", "n", *r6("mean", "mad"))
 
 
@@ -123,7 +123,7 @@ def surprise_baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surprise_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = documents(spark, sf_dir)
     at = st.checkpoints(s).unionByName(st.final_positions(s.where("text <> ''"))).select("stream_id", "pos").distinct()
-    found = sequence_features.surprise(st.characters(s, 200))
+    found = sequence_features.surprise(st.characters(s, 64))
     return sequence_features.surprise_windows(found, sequence_features.baselines(found), at).select("stream_id", "pos", *r6("surprise_z", "surprise_low_frac"))
 
 
@@ -147,31 +147,41 @@ def simhash_drift_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = sql.ALL_FEATURES
 
 
+def k_or_end() -> Column:
+    """0 stands for the score at the end of a stream."""
+    return F.coalesce("k", F.lit(0)).alias("k")
+
+
+def onset_or_none() -> Column:
+    """-1 stands for no onset."""
+    return F.coalesce("onset", F.lit(-1)).alias("onset")
+
+
 def all_features(spark: SparkSession, sf_dir: str, deflate: bool = False) -> DataFrame:
     """By the map-only tier; the window-function tier gives the same numbers (``guard_verdicts_windows``)."""
     return kernel_tier.features(documents(spark, sf_dir), with_deflate=deflate)
 
 
-@query(with_(ALL) + f"select stream_id, k::int as k, pos::int as pos, {sql6(*detectors.VECTOR)} from f")
+@query(with_(ALL) + f"select stream_id, coalesce(k, 0)::int as k, pos::int as pos, {sql6(*detectors.VECTOR)} from f")
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_features(spark, sf_dir).select("stream_id", "k", "pos", *r6(*detectors.VECTOR))
+    return all_features(spark, sf_dir).select("stream_id", k_or_end(), "pos", *r6(*detectors.VECTOR))
 
 
-@query(with_(ALL, sql.SCORES) + "select stream_id, k::int as k, pos::int as pos, round(rules, 6) as p from d")
+@query(with_(ALL, sql.SCORES) + "select stream_id, coalesce(k, 0)::int as k, pos::int as pos, round(rules, 6) as p from d")
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_features(spark, sf_dir).select("stream_id", "k", "pos", F.round(detectors.rules()["p"], 6).alias("p"))
+    return all_features(spark, sf_dir).select("stream_id", k_or_end(), "pos", F.round(detectors.rules()["p"], 6).alias("p"))
 
 
-@query(with_(ALL, sql.SCORES) + f"select stream_id, k::int as k, pos::int as pos, {sql6('rules', 'ngram', 'sketch', 'simhash', 'entropy')} from d")
+@query(with_(ALL, sql.SCORES) + f"select stream_id, coalesce(k, 0)::int as k, pos::int as pos, {sql6('rules', 'ngram', 'sketch', 'simhash', 'entropy')} from d")
 def detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["rules", "ngram", "sketch", "simhash", "entropy"]
     own = all_features(spark, sf_dir).withColumn("scores", detectors.build(names))
-    return own.select("stream_id", "k", "pos", *[F.round(F.col("scores")[i]["p"], 6).alias(n) for i, n in enumerate(names)])
+    return own.select("stream_id", k_or_end(), "pos", *[F.round(F.col("scores")[i]["p"], 6).alias(n) for i, n in enumerate(names)])
 
 
-@query(with_(ALL, sql.SCORES) + "select stream_id, k::int as k, pos::int as pos, round(p, 6) as p, hard from fu")
+@query(with_(ALL, sql.SCORES) + "select stream_id, coalesce(k, 0)::int as k, pos::int as pos, round(p, 6) as p, hard from fu")
 def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol.scored(all_features(spark, sf_dir)).select("stream_id", "k", "pos", F.round("p", 6).alias("p"), "hard")
+    return protocol.scored(all_features(spark, sf_dir)).select("stream_id", k_or_end(), "pos", F.round("p", 6).alias("p"), "hard")
 
 
 MARKERS = [r"<\|im_(start|end)\|>", r"lorem ipsum", r"as an ai language model", r"!important", r"https?://"]
@@ -185,24 +195,24 @@ def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_features.window_counts(st.checkpoints(documents(spark, sf_dir))).select("stream_id", "pos", F.round(own["p"], 6).alias("p"))
 
 
-@query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES) + "select stream_id, k::int as k, pos::int as pos, round(p, 6) as p, state, onset::int as onset from st")
+@query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES) + "select stream_id, k::int as k, pos::int as pos, round(p, 6) as p, state, coalesce(onset, -1)::int as onset from st")
 def checkpoint_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = protocol.scored(all_features(spark, sf_dir)).where("k is not null")
-    return protocol.states(rows).select("stream_id", "k", "pos", F.round("p", 6).alias("p"), "state", "onset")
+    return protocol.states(rows).select("stream_id", "k", "pos", F.round("p", 6).alias("p"), "state", F.coalesce("onset", F.lit(-1)).alias("onset"))
 
 
-VERDICT_COLUMNS = "stream_id, n_chars::int as n_chars, state, round(p, 6) as p, onset, checkpoints, read_chars, released_chars, aborted"
+VERDICT_COLUMNS = "stream_id, n_chars::int as n_chars, state, round(p, 6) as p, coalesce(onset, -1) as onset, checkpoints, read_chars, released_chars, aborted"
 
 
 @query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES, sql.VERDICTS) + f"select {VERDICT_COLUMNS} from vd")
 def guard_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = protocol.verdicts(protocol.scored(all_features(spark, sf_dir)))
-    return found.select("stream_id", "n_chars", "state", F.round("p", 6).alias("p"), "onset", "checkpoints", "read_chars", "released_chars", "aborted")
+    return found.select("stream_id", "n_chars", "state", F.round("p", 6).alias("p"), onset_or_none(), "checkpoints", "read_chars", "released_chars", "aborted")
 
 
 @query(SQL["guard_verdicts"])
 def guard_verdicts_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol.guard(documents(spark, sf_dir)).select("stream_id", "n_chars", "state", F.round("p", 6).alias("p"), "onset", "checkpoints", "read_chars", "released_chars", "aborted")
+    return protocol.guard(documents(spark, sf_dir)).select("stream_id", "n_chars", "state", F.round("p", 6).alias("p"), onset_or_none(), "checkpoints", "read_chars", "released_chars", "aborted")
 
 
 @query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES, sql.VERDICTS) + "select vd.stream_id, substr(s.text, 1, released_chars) as released from vd join s using (stream_id)")
@@ -211,10 +221,10 @@ def released_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.released_text(documents(spark, sf_dir), found)
 
 
-@query(with_(ALL, sql.SCORES, sql.HINKLEY) + "select stream_id, k::int as k, round(ph, 9) as ph, alarm from h4")
+@query(with_(ALL, sql.SCORES, sql.HINKLEY) + "select stream_id, k::int as k, round(ph, 12) as ph, alarm from h4")
 def onset_page_hinkley(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = protocol.scored(all_features(spark, sf_dir)).where("k is not null")
-    return protocol.page_hinkley(rows).select("stream_id", "k", F.round("ph", 9).alias("ph"), "alarm")
+    return protocol.page_hinkley(rows).select("stream_id", "k", F.round("ph", 12).alias("ph"), "alarm")
 
 
 @query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES, sql.VERDICTS) + "select state, count(*)::bigint as streams, sum(read_chars)::bigint as read_chars, sum(released_chars)::bigint as released_chars, sum(read_chars - released_chars)::bigint as blocked_chars from vd group by state")
@@ -470,12 +480,12 @@ def value_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k, value / 100 as x from events where value is not null),
 h1 as (select *, x - avg(x) over (partition by user_id order by k) - 0.02 as d from e), h2 as (select *, sum(d) over (partition by user_id order by k) as cum from h1),
 h3 as (select *, cum - least(0.0, min(cum) over (partition by user_id order by k)) as ph from h2)
-select event_id, round(ph, 9) as ph, ph > 0.35 and k > 3 and sum((ph > 0.35 and k > 3)::int) over (partition by user_id order by k) = 1 as alarm from h3""")
+select event_id, round(ph, 12) as ph, ph > 0.35 and k > 3 and sum((ph > 0.35 and k > 3)::int) over (partition by user_id order by k) = 1 as alarm from h3""")
 def value_changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events").where("value is not null").withColumns({"k": F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "x": F.col("value") / 100})
-    return protocol.page_hinkley(e, "x", "user_id").select("event_id", F.round("ph", 9).alias("ph"), "alarm")
+    return protocol.page_hinkley(e, "x", "user_id").select("event_id", F.round("ph", 12).alias("ph"), "alarm")
 
 
 @query("select event_id, len(json_keys(props))::int as n_keys, array_to_string(list_sort(json_keys(props)), ',') as keys from events where props is not null")
