@@ -28,7 +28,7 @@ def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: in
         points = points.unionByName(final_positions(streams.where(F.length("text") > 0)))
     at = points.select("stream_id", "pos").distinct()
     chars = characters(streams)
-    ordered = surprise(char_runs(script_switches(chars)))
+    ordered = surprise(char_runs(script_switches(chars))).persist()  # three branches read it; it may spill
     here = at.withColumnRenamed("pos", "i")
     running = ordered.join(here, ["stream_id", "i"]).select("stream_id", F.col("i").alias("pos"), (F.col("switches") / F.col("i") * 100).alias("script_switch_rate"), (F.least(F.col("longest_run"), F.lit(LONGEST_RUN)) / LONGEST_RUN).alias("max_char_run"))
     known = points.groupBy("stream_id", "pos").agg(F.min("k").alias("k"), F.first("text").alias("text"), F.first("n_chars").alias("n_chars"))

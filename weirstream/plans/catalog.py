@@ -123,7 +123,7 @@ def surprise_baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surprise_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = documents(spark, sf_dir)
     at = st.checkpoints(s).unionByName(st.final_positions(s.where("text <> ''"))).select("stream_id", "pos").distinct()
-    found = sequence_features.surprise(st.characters(s, 64))
+    found = sequence_features.surprise(st.characters(s, 64)).persist()  # two branches read it
     return sequence_features.surprise_windows(found, sequence_features.baselines(found), at).select("stream_id", "pos", *r6("surprise_z", "surprise_low_frac"))
 
 
