@@ -25,6 +25,10 @@ def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: in
     """Like ``protocol.features``: stream_id, k, pos, n_chars and the feature columns."""
     slim = streams.where(F.length("text") > 0).select("stream_id", "text", checkpoint_positions(F.length("text"), chunk, hold, every).alias("points"))
     kind = streams.schema["stream_id"].dataType.simpleString()
+    # a text costs far more to score than to move, so an input of fewer partitions than cores is dealt out
+    cores = streams.sparkSession.sparkContext.defaultParallelism
+    if slim.rdd.getNumPartitions() < cores:
+        slim = slim.repartition(cores)
 
     def run(batches):
         from weirstream.functions.stream_kernel import TextFeatures
