@@ -480,12 +480,12 @@ def value_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k, value / 100 as x from events where value is not null),
 h1 as (select *, x - avg(x) over (partition by user_id order by k) - 0.02 as d from e), h2 as (select *, sum(d) over (partition by user_id order by k) as cum from h1),
 h3 as (select *, cum - least(0.0, min(cum) over (partition by user_id order by k)) as ph from h2)
-select event_id, round(ph, 12) as ph, ph > 0.35 and k > 3 and sum((ph > 0.35 and k > 3)::int) over (partition by user_id order by k) = 1 as alarm from h3""")
+select event_id, round(ph, 10) as ph, ph > 0.35 and k > 3 and sum((ph > 0.35 and k > 3)::int) over (partition by user_id order by k) = 1 as alarm from h3""")
 def value_changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events").where("value is not null").withColumns({"k": F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "x": F.col("value") / 100})
-    return protocol.page_hinkley(e, "x", "user_id").select("event_id", F.round("ph", 12).alias("ph"), "alarm")
+    return protocol.page_hinkley(e, "x", "user_id").select("event_id", F.round("ph", 10).alias("ph"), "alarm")
 
 
 @query("select event_id, len(json_keys(props))::int as n_keys, array_to_string(list_sort(json_keys(props)), ',') as keys from events where props is not null")
