@@ -17,7 +17,7 @@ from weirstream.llm.common import broadcast_file, output_schema, slices, tokeniz
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b"\t\n\x0b\x0c\r "
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 
 class Band(NamedTuple):
