@@ -1,11 +1,13 @@
 """Cases of the review's findings: each would have failed before."""
 
 import itertools
+import textwrap
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weirstream.llm import license_rules
 from weirstream.llm.common import tokenizer_path
 from weirstream.llm.fertility import BANDS, fertility, judge, measure, processor_of
 
@@ -64,3 +66,45 @@ def test_fertility_labels(spark):
     for lang, quality in itertools.product(["de", "en", "es", "fr"], [0, 1]):
         kept, n = share[lang, quality]
         assert n and (kept <= 0.1 * n if quality == 0 else kept >= 0.97 * n)
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+}
+FULL_RULES = {"MIT": "mit-text", "BSD-3-Clause": "bsd-3-text,bsd-2-text", "GPL-3.0-or-later": "gpl-header"}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "    "])
+def test_license_wrapped(spark, prefix):
+    head = ["Some tool", "Copyright (c) 2020 A. Body"]
+    want, texts = [], []
+    for (name, text), width, end in itertools.product(WRAPPED.items(), (30, 72, 80), ("\n", "\r\n")):
+        lines = [x for p in text.split("\n\n") for x in [*textwrap.wrap(p, width), ""]]
+        texts.append(end.join((prefix + x).rstrip() for x in [*head, *lines]))
+        want.append((FULL_RULES[name], name))
+    found = license_rules.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.rules, r.license) for r in found] == want
+
+
+def test_license_readings(spark):
+    texts = [
+        "Notes\nReleased under the\nMIT License\nand more",
+        "Released under the MIT. License",
+        "Released under the MIT.\nLicense",
+        "Released under the\n\nMIT License",
+        "Released under the\n *\n * MIT License",
+        "All rights reserved.\nThis work is\nlicensed under CC BY 4.0\nReleased under the MIT License",
+        "It is not released under the\nMIT License",
+    ]
+    found = license_rules.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_sentences, r.sentence_ids) for r in found] == [(4, "mit.notice"), (2, ""), (2, ""), (2, ""), (2, ""), (4, "reserved,ccby4.notice,mit.notice"), (2, "")]

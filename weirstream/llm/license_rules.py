@@ -1,13 +1,17 @@
 """Licence scan by sentence rules, with DataFrame expressions only.
 
 A text is cut into sentences, each sentence is normalised (ASCII letters and digits in lower case, one
-space between) and looked up among known licence sentences; the sequence of identifiers found is then
-matched against ordered rules. A rule names identifiers that must follow each other among the known
-sentences of the text (unknown ones in between are skipped), so a full grant outranks a mere notice.
+space between) and looked up among known licence sentences. Lines are read twice: each by itself, for
+headings and notices, and as wrapped prose, where a known sentence may run over lines of a paragraph. The
+sequence of identifiers found, by position, is then matched against ordered rules. A rule names identifiers
+that must follow each other among the known sentences of the text (unknown ones in between are skipped), so
+a full grant outranks a mere notice.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +54,22 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences that hold a letter or digit: pieces between line ends, and after ``.!?`` with a blank."""
-    ends = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?][ \t]+", "\n")
+def pieces(text: Column) -> Column:
+    """The text, normalised, with a line for each piece between line ends and after ``.!?`` with a blank.
+
+    A sentence end and a line without a letter or digit leave an empty line, so what stands on lines that
+    follow each other directly is one paragraph, and no sentence has ended between them. Signs of comments
+    go with all others.
+    """
+    ends = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?](?:[ \t]+|(?=[ \t\r]*\n))", "\n\n")
     words = F.lower(F.regexp_replace(ends, r"[^A-Za-z0-9\n]+", " "))
-    return F.filter(F.transform(F.split(words, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.trim(F.regexp_replace(words, " ?\n ?", "\n"))
+
+
+def any_of(known: dict[str, list[str]]) -> str:
+    """Pattern of the known sentences on whole lines of ``pieces``; from the same start the longest is taken."""
+    found = sorted((s for own in known.values() for s in own), key=len, reverse=True)
+    return "(?md)^(?:" + "|".join("[ \\n]".join(re.escape(w) for w in s.split(" ")) for s in found) + ")$"
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, known: dict[str, list[str]] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> DataFrame:
@@ -70,10 +85,10 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, kno
     keep = keep or ["doc_id"]
     known, rules = known or SENTENCES, rules or RULES
     of = F.create_map(*[F.lit(x) for k, own in known.items() for s in own for x in (s, k)])
-    longest = max(len(s) for own in known.values() for s in own)
     all_rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for n, lic, ids in rules])
-    found = docs.select(*[F.col(k) for k in keep], sentences(F.col(text)).alias("__s"))
-    found = found.select(*keep, F.size("__s").cast("long").alias("n_sentences"), F.filter(F.transform("__s", lambda s: F.when(F.length(s) <= longest, F.element_at(of, s))), lambda i: i.isNotNull()).alias("__ids"))
+    found = docs.select(*[F.col(k) for k in keep], pieces(F.col(text)).alias("__s"))
+    ids = F.transform(F.regexp_extract_all("__s", F.lit(any_of(known)), F.lit(0)), lambda s: F.element_at(of, F.translate(s, "\n", " ")))
+    found = found.select(*keep, F.size(F.filter(F.split("__s", "\n"), lambda s: s != "")).cast("long").alias("n_sentences"), ids.alias("__ids"))
     matched = F.when(F.size("__ids") > 0, F.filter(all_rules, lambda r: F.contains(F.concat(F.lit("|"), F.array_join("__ids", "|"), F.lit("|")), r["ids"])))
     # of each licence the first rule that holds
     first = F.filter(matched, lambda r, i: F.array_position(F.transform(matched, lambda m: m["license"]), r["license"]) == i + 1)
@@ -90,7 +105,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, kno
 
 
 def scan_sql(known: dict[str, list[str]] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> str:
-    """The same over ``documents`` in DuckDB's SQL."""
+    """The same over ``documents`` in DuckDB's SQL, by the first reading only: sentences on one line."""
     known, rules = known or SENTENCES, rules or RULES
     keys = ", ".join(f"'{s}'" for own in known.values() for s in own)
     values = ", ".join(f"'{k}'" for k, own in known.items() for _ in own)
