@@ -18,7 +18,7 @@ from weirstream.llm.partition_jaccard import near_duplicates
 from weirstream.llm.prefix_decontam import decontaminate
 from weirstream.llm.zstd_langid import identify, learn_dictionaries
 
-#: Ids of dropped copies that are broadcast; more are joined by a shuffle.
+#: Keys of dropped copies that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -44,12 +44,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = persisted(near_duplicates(docs), "groups")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of near-duplicates the row with the least id stays, null ids last; of equal ids one row.
+
+    Groups are made of rows, not ids: null and repeated ids neither save a copy nor cost another text of that id.
+    """
+    row = next(n for n in (f"__row{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    # written, so every branch sees the same key
+    keyed = persisted(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, doc_id=row).select(F.col(row), "component_id")
+    groups = persisted(found.join(keyed.select(row, "doc_id"), row), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = persisted(groups.join(first, "component_id").where(F.col(row) != F.col("first")).select(row), "dropped")
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(dropped, row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weirstream.llm import license_rules
 from weirstream.llm.common import tokenizer_path
 from weirstream.llm.fertility import BANDS, fertility, judge, measure, processor_of
@@ -108,3 +109,16 @@ def test_license_readings(spark):
     ]
     found = license_rules.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.n_sentences, r.sentence_ids) for r in found] == [(4, "mit.notice"), (2, ""), (2, ""), (2, ""), (2, ""), (4, "reserved,ccby4.notice,mit.notice"), (2, "")]
+
+
+def test_near_duplicate_rows(spark):
+    """Null ids and repeated rows don't save copies, and a shared id doesn't cost the other text."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(None, one), (None, one), (7, one), (9, one), (8, two), (8, two), (9, three), (None, None), (None, None), (3, ""), (None, "delta only here " + two[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, __row0 int")
+    kept = corpus_pipeline.near_duplicate(spark, docs, "")
+    assert kept.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([(7, one), (8, two), (9, three), *rows[7:]], key=key)
+    copies = spark.createDataFrame([(None, one), (None, one)], "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate(spark, copies, "").collect()] == [(None, one)]
