@@ -21,19 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, the place that driver and executors share.
 
-    Only where the setting is absent (tests, one machine) a folder of the warehouse is taken.
+    Where the setting is absent, one machine (tests, a local master) takes a folder of its own; a cluster has no
+    place that could be guessed, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, label)
+def persisted(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    ``folder`` gathers what can go together by ``discard``; else the table has a place of its own.
+    """
+    path = f"{folder}/{label}-{uuid.uuid4().hex}" if folder else shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables that no result reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int, list]]:
     """(first row, length, texts) of pieces of a batch that hold about ``chars`` characters of text."""
     values = batch.column(batch.schema.get_field_index(column))

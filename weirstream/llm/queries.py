@@ -10,7 +10,7 @@ from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.flow_reshard import shard_documents
-from weirstream.llm.partition_jaccard import near_duplicates
+from weirstream.llm.partition_jaccard import near_duplicates, near_duplicates_sql
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
 from weirstream.llm.token_attribution import attribute
 from weirstream.llm.url_markov import filter_sql, filter_urls
@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op9_license_rules": license_rules.scan_sql()}
+    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op7_partition_jaccard": near_duplicates_sql(), "op9_license_rules": license_rules.scan_sql()}
