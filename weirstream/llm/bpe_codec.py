@@ -2,12 +2,14 @@
 
 The distinct pre-tokens of a slice of texts lie in one flat array of symbols. A round looks up every
 adjacent pair by binary search over the sorted pair keys, takes the lowest rank of each word, and
-merges all its occurrences from left to right; words without a known pair leave the array.
+merges all its occurrences from left to right; words without a known pair leave the array. A round costs
+as much as the array, so words of very many symbols are merged by a heap over linked symbols instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,8 +23,10 @@ from weirstream.llm.common import broadcast_file, output_schema, slices, tokeniz
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PRETOKENS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 NO_RANK = np.int64(1) << 40
-#: Distinct pre-tokens that a worker remembers between slices.
-CACHE_WORDS = 150_000
+#: Distinct pre-tokens that a worker remembers between slices, and bytes from which a pre-token is not remembered.
+CACHE_WORDS, LONG = 150_000, 256
+#: Bits of a symbol in a pair key, and of a place in the heap.
+SYMBOL_BITS, PLACE_BITS = 31, 40
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -48,10 +52,11 @@ class BytePairTable:
         for token, i in self.specials.items():
             self.token_bytes[i] = token.encode()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        keys = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.int64)
+        keys = np.array([vocab[a] << SYMBOL_BITS | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +67,7 @@ class BytePairTable:
         done_symbols, done_words = [], []
         while len(symbols):
             at = np.flatnonzero(word[:-1] == word[1:])
-            keys = symbols[at] << 17 | symbols[at + 1]
+            keys = symbols[at] << SYMBOL_BITS | symbols[at + 1]
             found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             rank = np.where(self.keys[found] == keys, self.ranks[found], NO_RANK)
             lowest = np.full(len(words), NO_RANK)
@@ -90,6 +95,33 @@ class BytePairTable:
         counts = np.bincount(all_words, minlength=len(words))
         return np.concatenate(done_symbols)[order], np.r_[0, np.cumsum(counts)]
 
+    def encode_long(self, word: bytes) -> list[int]:
+        """Token ids of one word, merged pair by pair: lowest rank first, from the left among equal ranks."""
+        symbols, rank_of = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.rank_of.get
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = map(rank_of, [a << SYMBOL_BITS | b for a, b in zip(symbols, symbols[1:], strict=False)])
+        heap = [r << PLACE_BITS | i for i, r in enumerate(ranks) if r is not None]
+        heapq.heapify(heap)
+        while heap:
+            item = heapq.heappop(heap)
+            rank, i = item >> PLACE_BITS, item & ((1 << PLACE_BITS) - 1)
+            j = after[i]
+            # a rank names its pair, so an entry holds as long as its place still has that rank
+            if j == n or symbols[i] < 0 or rank_of(symbols[i] << SYMBOL_BITS | symbols[j]) != rank:
+                continue
+            own = symbols[i] = int(self.merged[rank])
+            symbols[j] = -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of(own << SYMBOL_BITS | symbols[k])) is not None:
+                    heapq.heappush(heap, r << PLACE_BITS | i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(symbols[h] << SYMBOL_BITS | own)) is not None:
+                heapq.heappush(heap, r << PLACE_BITS | h)
+        return [s for s in symbols if s >= 0]
+
     def pretokens(self, text: str) -> list[str]:
         """Pieces that tile the text; a special token is a piece of its own."""
         if self.split_specials is None or not any(s in text for s in self.specials):
@@ -101,10 +133,11 @@ class BytePairTable:
 
     def ids_of(self, pieces: list[str]) -> Iterator[list[int]]:
         """Token ids of each distinct piece."""
-        ids, at = self.encode_words([p.encode() for p in pieces])
+        raw = [p.encode() for p in pieces]
+        ids, at = self.encode_words([w if len(w) < LONG else b"" for w in raw])
         ids = ids.tolist()
-        for p, a, b in zip(pieces, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield [self.specials[p]] if p in self.specials else ids[a:b]
+        for p, w, a, b in zip(pieces, raw, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield [self.specials[p]] if p in self.specials else ids[a:b] if len(w) < LONG else self.encode_long(w)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -160,6 +193,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, text: str = "t
                 out = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
                 if with_ids:
                     out |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(plain, pa.string())}
+                for p in missing:
+                    if len(p) >= LONG:
+                        del cache[p]
                 yield with_columns(batch, keep, start, length, out)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, output_schema(docs, keep, new))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstream.llm.bpe_codec import CACHE_WORDS, BytePairTable, table_of
+from weirstream.llm.bpe_codec import CACHE_WORDS, LONG, BytePairTable, table_of
 from weirstream.llm.common import broadcast_file, output_schema, slices, tokenizer_path, with_columns
 
 #: Who gets a boundary-crossing token: the section of its first character, of its last one, or that
@@ -115,6 +115,9 @@ def attribute(docs: DataFrame, fields: list[str], lead_of: str | None = None, ru
                     bounds, owners = sections(row)
                     total, crossed[r] = section_counts(tables, cache, own, np.array(bounds), rule)
                     np.add.at(found[r], owners, total)
+                for p in missing:
+                    if len(p) >= LONG:
+                        del cache[p]
                 out = {"n_tokens": found.sum(axis=1)} | {f"{n}_tokens": found[:, i] for i, n in enumerate([*names, "separator"])} | {"n_crossing": crossed}
                 yield with_columns(batch, keep, start, length, {k: pa.array(v, pa.int64()) for k, v in out.items()})
 
