@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirstream.llm import license_rules, url_markov
+from weirstream.llm import flow_reshard, license_rules, url_markov
 from weirstream.llm.bpe_codec import BytePairTable, encode_decode
 from weirstream.llm.common import tokenizer_path
 from weirstream.llm.fertility import fertility
@@ -261,6 +261,40 @@ def test_reshard_keeps_columns(docs, tmp_path):
     assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
 
 
+@pytest.mark.parametrize("file_bytes", [128_000_000, 20_000])
+def test_affected_shards_are_whole_on_disk(spark, tmp_path, monkeypatch, file_bytes):
+    """The law holds, the fewest bytes move, and each shard that changes is a folder with all of its rows."""
+    monkeypatch.setattr(flow_reshard, "FILE_BYTES", file_bytes)
+    r = random.Random(9)
+    texts = [sentence(r, "en", r.randrange(1, 60)) for _ in range(3_000)]
+    old = [r.choices(range(4), [5, 1, 1, 1])[0] for _ in texts]
+    # the last shard has its capacity already, so it stays in place
+    frame = spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(zip(texts, old, strict=True))], "doc_id long, text string, old int")
+    size = np.bincount(old, weights=[len(t) + 1 for t in texts], minlength=4).astype(np.int64)
+    weights = [*[(int(size.sum()) - int(size[3])) / 3] * 3, float(size[3])]
+    path = str(tmp_path / "shards")
+    out, plan = reshard(frame, F.col("old"), 4, weights, path)
+    capacity = np.array(plan.capacity)
+    got = {x.doc_id: x["__shard"] for x in out.collect()}
+    assert sorted(got) == list(range(3_000))
+    new = np.bincount([got[i] for i in range(3_000)], weights=[len(t) + 1 for t in texts], minlength=4)
+    assert (abs(new - capacity) <= 200).all()
+    bound = int(np.maximum(size - capacity, 0).sum())
+    assert bound <= plan.moved_bytes <= bound + 400
+    assert sum(len(t) + 1 for i, t in enumerate(texts) if got[i] != old[i]) == plan.moved_bytes
+    assert plan.affected == {int(p.name.removeprefix("shard=")) for p in (tmp_path / "shards").glob("shard=*")}
+    for shard in plan.affected:
+        files = list((tmp_path / "shards" / f"shard={shard}").glob("*.parquet"))
+        assert {x.doc_id for x in spark.read.parquet(*map(str, files)).collect()} == {i for i, s in got.items() if s == shard}
+        assert len(files) == -(-int(new[shard]) // file_bytes) or file_bytes == 20_000 < new[shard] <= 20_200 * len(files)
+
+
+def test_law_of_documents(spark, tmp_path):
+    found = shard_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), folder=str(tmp_path / "shards")).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    sizes = [r["size"] for r in found]
+    assert len(found) == 16 and max(sizes) - min(sizes) <= 0.002 * max(sizes) and all(r.n == r.last + 1 for r in found)
+
+
 def sets_of(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = {}

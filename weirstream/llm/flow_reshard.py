@@ -3,9 +3,10 @@
 Rows fall into a fixed number of blocks of each old shard by a hash. Block sizes are one aggregate of
 bounded size. On the driver, old shard sizes and new capacities are a transportation problem (keeping a
 byte where it is costs nothing, moving it costs one); its flows are filled with whole blocks, largest
-first, and a last pass evens out what rounding to blocks has left. Only moved blocks are rewritten.
+first, and a last pass evens out what rounding to blocks has left. Then every shard that gains or loses a
+block is written anew as a whole, in files of bounded size; shards that do neither stay where they are.
 
-No row passes the driver, and no text is shuffled unless it moves.
+No row passes the driver. The files of a shard are dealt by block with sizes known from the plan, so tasks are even.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from weirstream.llm.common import shared_folder
 #: Blocks of one old shard. With the number of old shards, this bounds what the driver collects and broadcasts.
 BLOCKS, MAX_OLD_SHARDS = 1_024, 1_024
 #: Bytes of text in a rewritten file, about.
-FILE_BYTES = 256_000_000
+FILE_BYTES = 128_000_000
 
 
 def min_cost_flow(supply: np.ndarray, capacity: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def capacities_of(total: int, weights: list[float]) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """Block transfers: rows (old shard, block, bytes, rows, new shard), flows, and new capacities."""
+    """Block transfers: rows (old shard, block, bytes, rows, new shard), flows (old shards x new ones), and new capacities."""
 
     blocks: list[tuple[int, int, int, int, int]]
     flow: np.ndarray
@@ -88,6 +89,11 @@ class Plan:
     def moved_bytes(self) -> int:
         return sum(b for old, _, b, _, new in self.blocks if old != new)
 
+    @property
+    def affected(self) -> set[int]:
+        """New shards that gain or lose blocks."""
+        return {shard for old, _, _, _, new in self.blocks if old != new for shard in (old, new)}
+
 
 def plan_transfers(blocks: list[tuple[int, int, int, int]], n_old: int, weights: list[float]) -> Plan:
     """Fill the flows with whole blocks. blocks: (old shard, block, bytes, rows)."""
@@ -125,14 +131,14 @@ def text_bytes(text: str) -> Column:
 
 
 def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float], folder: str | None = None, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> tuple[DataFrame, Plan]:
-    """Move rows to new shards of capacities in proportion to ``weights`` and rewrite what moves.
+    """Move rows to new shards of capacities in proportion to ``weights`` and rewrite the shards that this changes.
 
     ``old_shard`` gives 0 to ``n_old`` - 1 for every row (null counts as 0). Returns the input columns with
     __old, __block, __shard and __base (the first slot of the block), for ``with_slots``, and the plan. Shard sizes come within
     about the smallest block of their capacities; a block holds the rows of a shard with equal hash of id
-    and text, so a shard of fewer rows than blocks is dealt row by row. Moved rows are written to
-    ``folder``/shard=N and read from there; other rows are read where they are. Null texts are empty; equal
-    rows share a block and get neighbouring slots; an empty table has no blocks.
+    and text, so a shard of fewer rows than blocks is dealt row by row. Every shard that gains or loses a block is
+    written whole to ``folder``/shard=N and read from there; rows of other shards are read where they are. Null texts
+    are empty; equal rows share a block and get neighbouring slots; an empty table has no blocks.
     """
     if n_old > MAX_OLD_SHARDS or len(weights) > MAX_OLD_SHARDS:
         raise ValueError(f"at most {MAX_OLD_SHARDS} shards")
@@ -142,21 +148,26 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float]
     placed = docs.withColumns({"__old": F.coalesce(old_shard, F.lit(0)).cast("int"), "__block": block, "__size": text_bytes(text)})
     sizes = placed.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"), F.count("*").alias("rows")).collect()
     plan = plan_transfers([(r[0], r[1], r.bytes, r.rows) for r in sizes], n_old, weights)
-    # first slot of each block in its new shard, in the order of old shard and block
-    filled = [0] * len(weights)
-    rows = []
-    for old, b, _, n, new in plan.blocks:
-        rows.append((old, b, new, filled[new]))
+    # first slot of each block in its new shard, in the order of old shard and block, and the file that it goes to
+    filled, written = [0] * len(weights), [0] * len(weights)
+    numbers: dict[tuple[int, int], int] = {}
+    rows, affected = [], plan.affected
+    for old, b, size, n, new in plan.blocks:
+        file = -1 if new not in affected else numbers.setdefault((new, written[new] // FILE_BYTES), len(numbers))
+        rows.append((old, b, new, filled[new], file))
         filled[new] += n
-    transfers = spark.createDataFrame(rows, "__old int, __block int, __shard int, __base long")
+        written[new] += size
+    transfers = spark.createDataFrame(rows, "__old int, __block int, __shard int, __base long, __file int")
     # bounded: one row for each block
     dealt = placed.drop("__size").join(F.broadcast(transfers), ["__old", "__block"])
-    moved, kept = dealt.where("__old <> __shard"), dealt.where("__old = __shard")
+    left = dealt.where("__file < 0").drop("__file").select(*columns, "__old", "__block", "__shard", "__base")
+    if not numbers:
+        return left, plan
     path = folder or shared_folder(spark, "shards")
-    files = max(1, -(-int(plan.capacity.max(initial=0)) // FILE_BYTES))
-    moved.repartition(len(weights) * files, "__shard", F.pmod("__block", F.lit(files))).withColumn("shard", F.col("__shard")).write.partitionBy("shard").parquet(path)
-    rewritten = spark.read.schema(moved.schema).parquet(path)
-    return kept.unionByName(rewritten.select(kept.columns)).select(*columns, "__old", "__block", "__shard", "__base"), plan
+    whole = dealt.where("__file >= 0").repartitionById(len(numbers), F.col("__file")).drop("__file")
+    whole.withColumn("shard", F.col("__shard")).write.partitionBy("shard").parquet(path)
+    rewritten = spark.read.schema(whole.schema).parquet(path)
+    return left.unionByName(rewritten.select(left.columns)), plan
 
 
 def with_slots(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -170,7 +181,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, folder: str | None = No
     """Even out a layout that was hashed by ``source`` into shards of equal bytes.
 
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null: the law depends on
-    more than id and shard count), old_shard. Sizes and checksums of moved rows are those of the new files.
+    more than id and shard count), old_shard. Sizes and checksums are those of the new files.
     """
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit(""))), F.lit(n_shards))
     slim = docs.select("doc_id", "text", "source")
