@@ -17,7 +17,7 @@ from weirstream.llm.common import output_schema, slices, with_columns
 
 #: The bounded labelled sample: so many documents of each language, so many characters of each at most.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 500, 112_000
-#: Labels are a small set; more distinct values than this are refused.
+#: Languages with a dictionary: the most frequent labels. Texts of rarer ones get the nearest of these.
 MAX_LANGUAGES = 256
 BLOCK_BYTES = 4_096
 #: Accepted if the best size is smaller than the second by this share; the score is 1 from FULL_MARGIN on.
@@ -30,12 +30,13 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
-def learn_dictionaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Dictionary content by language, most frequent language first, from a hash sample of the learning fold.
 
     Documents fall into ``sample_docs`` buckets by a hash of their text (so copies share a bucket) and each
     bucket gives the one with the smallest hash: one map-side combined aggregation, whatever share of the
-    rows a language has. The driver gets at most MAX_LANGUAGES * sample_docs * sample_chars characters.
+    rows a language has. The driver gets at most ``max_languages`` * sample_docs * sample_chars characters. Labels
+    beyond the ``max_languages`` most frequent ones (of equal counts the first by name) have no dictionary.
     """
     labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & ~F.coalesce(held_out(doc_id), F.lit(False)))
     hashed = F.xxhash64(F.col(text))
@@ -44,11 +45,9 @@ def learn_dictionaries(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .groupBy("lang", F.pmod("h", F.lit(sample_docs)).alias("bucket"))
         .agg(F.min_by("sample", F.struct("h", "sample")).alias("sample"))
     )
-    counts = {r.lang: r.n for r in labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    texts: dict[str, list[str]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
-    for r in drawn.orderBy("lang", "bucket").collect():
+    labels = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    texts: dict[str, list[str]] = {r.lang: [] for r in labels.collect()}
+    for r in drawn.where(F.col("lang").isin(list(texts))).orderBy("lang", "bucket").collect():
         texts[r.lang].append(r.sample)
     return {k: "\n".join(v).encode()[:dictionary_bytes] for k, v in texts.items()}
 
