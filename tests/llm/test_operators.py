@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirstream.llm import flow_reshard, license_rules, url_markov
+from weirstream.llm import flow_reshard, license_rules, prefix_decontam, url_markov
 from weirstream.llm.bpe_codec import BytePairTable, encode_decode
 from weirstream.llm.common import tokenizer_path
 from weirstream.llm.fertility import fertility
@@ -161,10 +161,12 @@ def brute_windows(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-@pytest.mark.parametrize("block_bytes", [8_000_000, 200])
-def test_decontamination(spark, docs, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "patch"), [(8_000_000, {}), (200, {"HELD_CHARS": 50_000}), (60_000, {"PIECE_WORDS": 7, "PROPOSED": 3}), (8_000_000, {"COUNTED": 4, "SLICE_CHARS": 1_000})])
+def test_decontamination(spark, docs, monkeypatch, block_bytes, patch):
+    for name, value in patch.items():
+        monkeypatch.setattr(prefix_decontam, name, value)
     texts = {i: r[1] for i, r in enumerate(rows()[:-3])}
-    items = [(1, " ".join(texts[15].split()[20:45])), (2, "ONE"), (3, None), (4, ""), (20, "a b c"), (21, " ".join(texts[12].split()[-10:])), (22, "漢字 🙂"), (23, texts[30])]
+    items = [(1, " ".join(texts[15].split()[20:45])), (2, "ONE"), (3, None), (4, ""), (20, "a b c"), (21, " ".join(texts[12].split()[-10:])), (22, "漢字 🙂"), (23, texts[30]), (23, "a second text of one id"), (24, texts[30]), (25, "x " + texts[30] + " y"), (26, texts[12]), (27, texts[12])]
     found = by_id(decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes))
     for i, t in texts.items():
         w, hit, own = brute_windows(t), set(), set()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,28 @@ from pyspark.sql import types as T
 SLICE_CHARS = 1_000_000
 
 
+class Lexicon(dict):
+    """Numbers words, so equal numbers mean equal words, and holds two hashes of 64 bits of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+        self.hashes = np.zeros((2, 0), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            strong = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in self.fresh]), np.uint64)
+            self.hashes = np.concatenate([self.hashes, strong.reshape(-1, 2).T], axis=1)
+            self.fresh = []
+        return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

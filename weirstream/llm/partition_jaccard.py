@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstream.llm.common import discard, output_schema, persisted, shared_folder, slices, with_columns
+from weirstream.llm.common import Lexicon, discard, output_schema, persisted, shared_folder, slices, with_columns
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
@@ -87,28 +87,6 @@ def mix(h: np.ndarray) -> np.ndarray:
 ONE = np.ones(1, bool)
 
 
-class Lexicon(dict):
-    """Numbers words, so equal numbers mean equal words, and holds two hashes of 64 bits of each."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-        self.hashes = np.zeros((2, 0), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            strong = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in self.fresh]), np.uint64)
-            self.hashes = np.concatenate([self.hashes, strong.reshape(-1, 2).T], axis=1)
-            self.fresh = []
-        return found
-
-
 @dataclass
 class Shingles:
     """The distinct shingles of a text, in order of their first hash."""
