@@ -64,22 +64,26 @@ def test_renamed_classes(spark):
     assert pj.renamed_classes(classes.where("h1 > 1")) == {}
 
 
-class Weak(pj.Lexicon):
-    """Words have one of two hashes, so different shingles clash."""
-
-    def numbers(self, words):
-        found = super().numbers(words)
-        self.hashes = (np.arange(len(self), dtype=np.uint64) % np.uint64(2)) * np.ones((2, 1), np.uint64)
-        return found
-
-
-def test_clashing_shingles_are_counted_by_words():
+@pytest.mark.parametrize("weak", [False, True])
+def test_clashing_shingles_are_counted_by_words(monkeypatch, weak):
+    """With one bit of the first hash left, nearly all shingles clash."""
+    if weak:
+        mix = pj.mix
+        monkeypatch.setattr(pj, "mix", lambda h: mix(h) & np.array([[1], [(1 << 64) - 1]], np.uint64) if h.ndim == 2 and h.shape[0] == 2 else mix(h))
     r = random.Random(7)
     texts = [" ".join(r.choice("abcdefg") for _ in range(r.randrange(0, 90))) for _ in range(30)]
     want = list(sets_of(dict(enumerate(texts))).values())
-    for lexicon in (Weak(), pj.Lexicon()):
-        found = pj.shingle_sets(texts, lexicon)
-        assert [s.n for s in found] == [len(w) for w in want]
-        assert any(s.clash for s in found) == isinstance(lexicon, Weak)
-        for s, w in zip(found, want, strict=True):
-            assert [pj.common_shingles(s, x) for x in found] == [len(w & v) for v in want]
+    found = pj.shingle_sets(texts, pj.Lexicon())
+    assert [s.n for s in found] == [len(w) for w in want]
+    assert any(s.clash for s in found) == weak
+    for s, w in zip(found, want, strict=True):
+        assert [pj.common_shingles(s, x) for x in found] == [len(w & v) for v in want]
+
+
+def test_hashes_of_words():
+    """Words by place and length: near misses, long words, and blanks of all kinds."""
+    words = ["a", "aa", "ab", "ba", "a" * 63, "a" * 64, "a" * 65, "b" + "a" * 64, "a" * 64 + "b", "é", "\u00a0", *(f"w{i}" for i in range(20_000))]
+    hashes, size = pj.word_hashes([" ".join(words).encode(), b"", b" \t\n", "\x0ba \r aa\x0c".encode()])
+    assert size == [len(words), 0, 0, 2]
+    assert len(set(hashes[0].tolist())) == len(set(hashes[1].tolist())) == len(words)
+    assert (hashes[:, len(words) :] == hashes[:, :2]).all()

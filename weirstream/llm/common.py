@@ -17,12 +17,12 @@ SLICE_CHARS = 1_000_000
 
 
 class Lexicon(dict):
-    """Numbers words, so equal numbers mean equal words, and holds two hashes of 64 bits of each."""
+    """Numbers words, so equal numbers mean equal words; ``hashes`` has 64 bits of blake2b for each."""
 
     def __init__(self):
         super().__init__()
         self.fresh: list[bytes] = []
-        self.hashes = np.zeros((2, 0), np.uint64)
+        self.known = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -30,12 +30,14 @@ class Lexicon(dict):
         return n
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        """By number."""
         if self.fresh:
-            strong = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in self.fresh]), np.uint64)
-            self.hashes = np.concatenate([self.hashes, strong.reshape(-1, 2).T], axis=1)
-            self.fresh = []
-        return found
+            new = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in self.fresh]), np.uint64)
+            self.known, self.fresh = np.concatenate([self.known, new]), []
+        return self.known
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Exact Jaccard join of word 5-gram sets by universe partition and the pigeonhole principle.
 
-**Classes.** Documents with equal sets are one class, found from 128-bit digests; one member stands for it. Each word
-is hashed by blake2b to 128 bits, a shingle by two independent mixes of 64 bits; the digest is a blake2b of both for
-the whole set. A class is named by one long; classes whose longs are equal are told apart and get names of their own.
+**Classes.** Documents with equal sets are one class, found from 128-bit digests; one member stands for it. Words and
+shingles have two independent hashes of 64 bits (tables of random words for each byte at each place, long words by
+blake2b); the digest is a blake2b of both for the whole set. A class is named by one long; classes whose longs are equal are told apart and get names of their own.
 
 **Segments.** Sizes fall into bands. A band hashes the universe of shingles into ``m`` segments; a set is
 then one content for each segment. Two sets at Hamming distance D differ in at most D segments, and a
 Jaccard similarity of at least t bounds D by U = (1 - t) / (1 + t) * (a + b). So of the non-empty segment
 contents of a set, in any fixed global order, the first U + 1 include one that the partner has among its
 own first U + 1: only those are indexed (a pair is found in the band of its smaller set, so a set near the
-lower edge of its band is indexed in the band below as well). Sizes are counted by words, so shingles of equal
+lower edge of its band is indexed in the band below as well). Sizes count both hashes, so shingles of equal first
 hashes only bring sets nearer to each other: they may add candidates and lose none.
 
 **Slack.** In a band with slack l, sets index U + l contents, so partners share at least l of them. Contents are
@@ -63,6 +63,8 @@ SPLIT = 13
 SLACK = 16
 #: Shingles in a block of a family; a text counts as TEXT_WEIGHT more, so blocks of short texts are bounded as well.
 BLOCK, TEXT_WEIGHT = 200_000, 100
+#: Texts that are compared with another one by one; of more, the shared hashes are counted first.
+FEW_TEXTS = 3
 #: Centres on one content that are compared in pairs; more are a family of their own.
 FEW_CENTRES = 50
 #: Pairs that are broadcast instead of shuffled when texts are fetched.
@@ -75,8 +77,12 @@ CACHE_WORDS, CACHE_SHINGLES = 200_000, 1_500_000
 MAX_RENAMED = 100_000
 FOLD = bytes((b | 32) if 65 <= b <= 90 else b for b in range(256))
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-#: Multipliers of the two hashes of a shingle.
-LANES = np.array([[0x9E3779B97F4A7C15], [0xA24BAED4963EE407]], np.uint64)
+#: Multipliers of the words of a shingle, for each of its two hashes; a random word for each byte at each place of a word.
+LANES = np.random.default_rng(20_200_101).integers(0, 1 << 64, (WORDS, 2, 1), np.uint64) | np.uint64(1)
+PLACES = 64
+TABLES = np.random.default_rng(20_200_102).integers(0, 1 << 64, (2, PLACES * 256), np.uint64)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+ONE = np.ones(1, bool)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,53 +93,82 @@ def mix(h: np.ndarray) -> np.ndarray:
 ONE = np.ones(1, bool)
 
 
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Both hashes of all words of some texts (2 x words), and the number of words of each text.
+
+    A word's hash is the sum of the random words of its bytes, mixed with its length; of a long one, blake2b.
+    """
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    blank = BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate([np.zeros(1, np.int64), edge])
+    begin, end = edge[::2], edge[1::2]
+    length = end - begin
+    if len(begin):
+        at = np.flatnonzero(~blank)
+        place = (at - np.repeat(begin, length)) & (PLACES - 1)
+        entry = place << 8 | data[at]
+        starts = np.cumsum(length) - length
+        hashes = mix(np.stack([np.add.reduceat(t[entry], starts) for t in TABLES]) + length.astype(np.uint64) * K3)
+        for i in np.flatnonzero(length > PLACES):
+            hashes[:, i] = np.frombuffer(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    else:
+        hashes = np.zeros((2, 0), np.uint64)
+    starts = np.cumsum([0, *[len(r) + 1 for r in raw]])
+    return hashes, np.diff(np.searchsorted(begin, starts)).tolist()
+
+
 @dataclass
 class Shingles:
     """The distinct shingles of a text, in order of their first hash."""
 
     hash: np.ndarray
     lane: np.ndarray  # second hash
+    n: int  # how many there are, by both hashes
     first: np.ndarray  # where in ``words`` each one begins
-    words: np.ndarray  # numbers of the words; -1 behind those of a text shorter than a shingle
-    clash: bool  # different shingles have equal first hashes
-    n: int  # how many there are, by their words
+    words: np.ndarray | None = None  # numbers of the words; -1 behind those of a text shorter than a shingle
+    clash: bool = False  # different shingles have equal first hashes
 
     def tuples(self) -> set[tuple[int, ...]]:
         """All shingles by their words."""
         return set(zip(*(self.words[j : len(self.words) - WORDS + 1 + j].tolist() for j in range(WORDS)), strict=True)) if self.n else set()
 
 
-def shingle_sets(texts: list[str | None], lexicon: Lexicon, n: int = WORDS) -> list[Shingles]:
-    """The shingles of each text. Fewer than ``n`` words, but some, are one shingle."""
-    split = [(t or "").encode().translate(FOLD).split() for t in texts]  # bytes split at ASCII blanks only
-    numbers = lexicon.numbers([w for own in split for w in own])
-    lanes = lexicon.hashes[:, numbers]
-    window = np.full((2, max(0, len(numbers) - n + 1)), n, np.uint64)
-    for j in range(n):
-        window = mix(window * LANES + lanes[:, j : j + window.shape[1]])
+def shingle_sets(texts: list[str | None], lexicon: Lexicon | None = None) -> list[Shingles]:
+    """The shingles of each text, with their words if a lexicon numbers these. Fewer than WORDS words, but some, are one."""
+    raw = [(t or "").encode().translate(FOLD) for t in texts]
+    hashes, size = word_hashes(raw)
+    m = max(0, hashes.shape[1] - WORDS + 1)
+    window = hashes[:, :m] * LANES[0]
+    for j in range(1, WORDS):
+        window += hashes[:, j : j + m] * LANES[j]
+    window = mix(window)
     sets, at = [], 0
-    for k in map(len, split):
-        words = numbers[at : at + k].astype(np.int32)
-        if k >= n:
-            order = np.argsort(window[0, at : at + k - n + 1])
-            own = window[0, at : at + k - n + 1][order]
+    for r, k in zip(raw, size, strict=True):
+        if k >= WORDS:
+            own, lane = window[0, at : at + k - WORDS + 1], window[1, at : at + k - WORDS + 1]
+            order = np.argsort(own)
+            own, lane = own[order], lane[order]
             new = np.concatenate([ONE, own[1:] != own[:-1]])
+            n, clash = int(new.sum()), False
             again = np.flatnonzero(~new)
-            p, q = order[again], order[again - 1]
-            clash = len(p) > 0 and any((words[p + j] != words[q + j]).any() for j in range(n))
-            first = order[new]
-            found = Shingles(own[new], window[1, at : at + k - n + 1][first], first.astype(np.int32), words, clash, len(first))
-            if clash:
-                found.n = len(found.tuples())
-            sets.append(found)
+            if len(again) and (lane[again] != lane[again - 1]).any():
+                clash, n = True, len(set(zip(own.tolist(), lane.tolist(), strict=True)))
+            found = Shingles(own[new], lane[new], n, order[new].astype(np.int32), clash=clash)
         elif k:
             short = np.full((2, 1), k, np.uint64)
             for j in range(k):
-                short = mix(short * LANES + lanes[:, at + j : at + j + 1])
-            sets.append(Shingles(short[0], short[1], np.zeros(1, np.int32), np.r_[words, np.full(n - k, -1, np.int32)], False, 1))
+                short = mix(short * LANES[j] + hashes[:, at + j : at + j + 1])
+            found = Shingles(short[0], short[1], 1, np.zeros(1, np.int32))
         else:
             none = np.zeros(0, np.uint64)
-            sets.append(Shingles(none, none, np.zeros(0, np.int32), words, False, 0))
+            found = Shingles(none, none, 0, np.zeros(0, np.int32))
+        if lexicon is not None:
+            found.words = lexicon.numbers(r.split()).astype(np.int32)  # bytes split at ASCII blanks only
+            if 0 < k < WORDS:
+                found.words = np.concatenate([found.words, np.full(WORDS - k, -1, np.int32)])
+        sets.append(found)
         at += k
     return sets
 
@@ -209,9 +244,10 @@ def roles(size: int) -> list[tuple[int, int]]:
 def contents(s: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the set by segment, where each non-empty segment begins in it, and the segments."""
     segment = (mix(s * K3 + np.uint64(seed)) >> np.uint64(20)) % np.uint64(segments_of(band))
-    order = np.argsort(segment, kind="stable")
-    segment = segment[order]
-    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    packed = segment << np.uint64(32) | np.arange(len(s), dtype=np.uint64)  # segment and place as one number
+    packed.sort()
+    order, segment = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64), packed >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([ONE, segment[1:] != segment[:-1]]))
     return order, first, segment[first]
 
 
@@ -234,10 +270,13 @@ def signatures(own: Shingles, level: np.ndarray, seed: int) -> list[tuple[np.nda
         if len(first) < u + slack:
             return None
         key = mix(mix(np.add.reduceat(s[order], first) * K1 + salt) + segment)
-        many = np.minimum(np.diff(np.r_[first, len(s)]), 127).astype(np.uint64)
+        ends = np.append(first[1:], len(s))
+        many = np.minimum(ends - first, 127).astype(np.uint64)
         least = np.minimum.reduceat(level[order], first)
         rank = least.astype(np.uint64) << np.uint64(57) | (np.uint64(127) - many) << np.uint64(50) | key >> np.uint64(14)
-        best = np.argsort(rank, kind="stable")[: u + slack]
+        k = u + slack
+        # contents of equal rank at the edge are all taken
+        best = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1]) if k < len(rank) else np.arange(len(rank))
         out.append((key[best], least[best], band, slack))
     return out
 
@@ -250,7 +289,7 @@ def digests(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         gathered: dict[tuple[int, int], np.ndarray] = {}
-        held, lexicon = 0, Lexicon()
+        held = 0
 
         def counted(like: pa.Schema) -> pa.RecordBatch:
             shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *gathered.values()]), return_counts=True)
@@ -263,9 +302,7 @@ def digests(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             schema = batch.schema
             for start, length, texts in slices(batch, text, PIECE):
-                if len(lexicon) > CACHE_WORDS:
-                    lexicon = Lexicon()
-                sets = shingle_sets(texts, lexicon)
+                sets = shingle_sets(texts)
                 both = [digest(s) for s in sets]
                 gathered.update((b, s.hash) for b, s in zip(both, sets, strict=True))  # copies count once
                 held += sum([s.n for s in sets])
@@ -326,13 +363,11 @@ def index(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], r
 
     def run(batches):
         (common, levels), names = shared.value
-        seen, lexicon = set(), Lexicon()
+        seen = set()
         for batch in batches:
             for _, _, texts in slices(batch, text, PIECE):
-                if len(lexicon) > CACHE_WORDS:
-                    lexicon = Lexicon()
                 keys, parts, sids, tags, short = [], [], [], [], []
-                for s in shingle_sets(texts, lexicon):
+                for s in shingle_sets(texts):
                     if not s.n or (sid := name_of(s, names)) in seen:
                         continue
                     if len(seen) > 100_000:
@@ -448,12 +483,24 @@ def tile_links(sids: np.ndarray, component: np.ndarray, side: np.ndarray, texts:
     for row, s in zip(maps, sets, strict=True):
         row[(s.hash & np.uint64(maps.shape[1] - 1)).astype(np.int64)] = True
     packed = np.packbits(maps, axis=1).view(np.uint64)
+    # where each hash comes, to count what a text shares with all others at once
+    owner = np.repeat(np.arange(len(sets)), [len(s.hash) for s in sets])
+    every = np.concatenate([np.zeros(0, np.uint64), *[s.hash for s in sets]])
+    order = np.argsort(every)
+    every, owner = every[order], owner[order]
     component, out = component.copy(), []
     for i in np.flatnonzero(fits):
         other = fits & (np.arange(len(sets)) > i) & (component != component[i]) & ((side == 2) | (side != side[i]))
         j = np.flatnonzero(other & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
         most = (n[i] + n[j] - np.bitwise_count(packed[j] ^ packed[i]).sum(axis=1).astype(np.int64)) // 2
-        for k in j[100 * most >= PERCENT * (n[i] + n[j] - most)]:
+        j = j[100 * most >= PERCENT * (n[i] + n[j] - most)]
+        if len(j) > FEW_TEXTS:
+            low, high = np.searchsorted(every, sets[i].hash), np.searchsorted(every, sets[i].hash, side="right")
+            size = high - low
+            met = owner[np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            most = np.bincount(met, minlength=len(sets))[j] + (n - np.array([len(s.hash) for s in sets]))[j]
+            j = j[100 * most >= PERCENT * (n[i] + n[j] - most)]
+        for k in j:
             if component[k] != component[i]:
                 common = common_shingles(sets[i], sets[k])
                 if 100 * common >= PERCENT * (n[i] + n[k] - common):

@@ -90,7 +90,7 @@ class Block:
     def hashes_of(self, codes: np.ndarray) -> np.ndarray:
         words = Lexicon()
         words.numbers(list(self.vocabulary))  # in the order of their ids
-        h = words.hashes[0]
+        h = words.hashes()
         out = np.zeros(len(codes), np.uint64)
         pair = codes >= 0
         a, b = np.divmod(codes[pair], max(1, len(self.vocabulary)))
@@ -238,7 +238,7 @@ def token_counts(docs: DataFrame, pieces: DataFrame, text: str, n: int, folder:
                     lexicon = Lexicon()
                 words = [words_of(t) for t in texts]
                 number = lexicon.numbers([w for own in words for w in own])
-                h, doc = lexicon.hashes[0][number], np.repeat(np.arange(len(words)), [len(w) for w in words])
+                h, doc = lexicon.hashes()[number], np.repeat(np.arange(len(words)), [len(w) for w in words])
                 found = [token_hashes(h[:-1], h[1:])[doc[:-1] == doc[1:]]] + ([token_hashes(h)] if singles else [])
                 for f in found:
                     at = np.minimum(np.searchsorted(keys, f >> shift), max(0, len(keys) - 1))
