@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weirstream.llm import license_rules
-from weirstream.llm.common import tokenizer_path
-from weirstream.llm.fertility import BANDS, fertility, judge, measure, processor_of
+from weirstream.llm.common import pretoken_pattern, tokenizer_path
+from weirstream.llm.fertility import BANDS, encoding_of, fertility, judge, measure, processor_of, repeated_words, token_counts
 
 TWO_WORDS = {"latin": "qua rem", "greek": "και το", "cyrillic": "река дом", "cjk": "你 好", "other": "של את", "none": "## 11", "en": "the of", "de": "der und", "fr": "le des", "es": "el los"}
 PROSE = {
@@ -25,7 +25,7 @@ PROSE = {
 
 def verdicts(texts):
     processor = processor_of(open(tokenizer_path("piece_bpe_32k.model"), "rb").read())
-    m = measure(texts, processor, np.array([processor.is_byte(i) for i in range(processor.vocab_size())]), {})
+    m = measure(texts, processor, np.array([processor.is_byte(i) for i in range(processor.vocab_size())]), {}, encoding_of(open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb").read(), pretoken_pattern()))
     found = judge(m, BANDS)
     names = list(BANDS)
     return [(names[b], bool(base), str(reason)) for b, base, reason in zip(m["band"], found["base_failed"], found["reason"], strict=True)]
@@ -58,6 +58,33 @@ def test_fertility_reasons():
     assert verdicts(list(PROSE.values())) == [(k, False, "") for k in PROSE]
 
 
+def test_second_vocabulary_rejects():
+    """Words that only the first vocabulary fits; the bound is held against tokens beyond the spare ones."""
+    m = {"n_words": np.array([60]), "n_repeat_words": np.array([0]), "word_chars": np.array([400]), "n_tokens": np.array([150]), "n_second": np.array([300]), "chars_per_token": np.array([2.7]), "byte_share": np.array([0.0]), "token_entropy": np.array([6.8]), "band": np.array([list(BANDS).index("en")])}
+    assert judge(m, BANDS)["reason"].tolist() == ["many second tokens"]
+    assert judge(m | {"n_second": np.array([200])}, BANDS)["reason"].tolist() == [""]
+
+
+def test_token_counts_of_words():
+    encoding = encoding_of(open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb").read(), pretoken_pattern())
+    words = ["plain", "don't", "a\u00a0b", "\u00a0", "\u2003x", "漢字かな", "🙂🙂", "'s", "12,5%", "###", "x" * 300, "\x1c", "é", "—–", "end"]
+    assert token_counts(words, encoding) == [len(encoding.encode_ordinary(w)) for w in words] and token_counts([], encoding) == []
+
+
+def test_repeated_words_against_counting(monkeypatch):
+    r = np.random.default_rng(1)
+    code, doc = r.integers(0, 3, 2_000), np.sort(r.integers(0, 20, 2_000))
+    want = np.zeros(21, np.int64)
+    for d in range(20):
+        own = code[doc == d].tolist()
+        windows = [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
+        want[d] = len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)})
+    assert repeated_words(code, doc, 21).tolist() == want.tolist()
+    monkeypatch.setattr("weirstream.llm.fertility.WINDOW_ODD", np.ones(64, np.uint64))  # sums don't tell orders apart
+    assert repeated_words(code, doc, 21).tolist() == want.tolist()
+    assert repeated_words(code[:3], doc[:3], 21).sum() == repeated_words(code[:0], doc[:0], 21).sum() == 0
+
+
 def test_fertility_labels(spark):
     """Junk that passes the base rule breaks a band in every language; clean texts stay."""
     sf = "/root/testdata/sf0.01"

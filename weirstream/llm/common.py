@@ -115,3 +115,10 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def pretoken_pattern() -> str:
+    """The pattern by which the rank files' library cuts texts; read on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

@@ -6,7 +6,8 @@ the uniform distribution (Witten-Bell weights; contexts seen too rarely are skip
 judged by the length-normalised difference of its log-likelihoods against a threshold that is calibrated
 on a fold of labelled URLs which neither model has seen.
 
-A distinct (host, path) is counted and scored once, whatever number of rows carry it.
+Rules read host and path; the models read whole URLs, scheme, query and fragment included. A distinct URL is counted
+and scored once, whatever number of rows carry it.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def grams(urls: DataFrame, order: int) -> DataFrame:
     """One row for each character (and the end) of each URL, with its context; URLs start in a context of their own."""
-    padded = F.concat(F.lit("\x02" * order), "host", "path", F.lit("\x03"))
+    padded = F.concat(F.lit("\x02" * order), "url", F.lit("\x03"))
     return urls.withColumn("__p", padded).withColumn("__i", F.explode(F.sequence(F.lit(1), F.length("__p") - order))).withColumn("gram", F.substring(F.col("__p"), F.col("__i"), F.lit(order + 1))).drop("__p", "__i")
 
 
@@ -88,24 +89,38 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     empty table gives an empty result; other columns are not read.
     """
     keep = keep or ["page_id"]
-    rules = DEFAULT_RULES if rules is None else rules
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
-    urls = rows.select("host", "path").distinct().withColumn("__r", fitting_rule(F.col("host"), F.col("path"), rules))
-    urls = persisted(urls.select("host", "path", F.col("__r.action").alias("action"), F.col("__r.rule").alias("rule"), (F.conv(F.substring(F.md5(F.concat("host", "path")), 1, 4), 16, 10).cast("int") % FOLDS == 0).alias("fold")), "urls")
-    each = grams(urls, order)
+    rows, scored, edge = scored_urls(pages, DEFAULT_RULES if rules is None else rules, url, keep, order, min_context, false_rejects)
+    judged = scored.withColumn("edge", edge).select("url", "host", "path", "rule", F.coalesce("action", verdict(F.col("bin"), F.col("edge"))).alias("verdict"), (F.col("mean") / SCALE).alias("score"), (F.col("edge") * BIN / SCALE).alias("threshold"), F.when(F.col("action").isNotNull(), "rule").otherwise("model").alias("judged_by"))
+    return rows.join(judged.withColumnRenamed("url", "__url"), "__url").select(*keep, "host", "path", "rule", "verdict", "score", "threshold", "judged_by")
+
+
+def verdict(score: Column, threshold: Column) -> Column:
+    return F.when(score < threshold, "block").otherwise("allow")
+
+
+def scored_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str, keep: list[str], order: int, min_context: int, false_rejects: float) -> tuple[DataFrame, DataFrame, Column]:
+    """The rows with __url, the distinct URLs with rule, fold and score, and the threshold as a scalar."""
+    rows = pages.select(*keep, F.coalesce(F.col(url), F.lit("")).alias("__url"))
+    host, path = host_and_path(F.col("url"))
+    urls = rows.select(F.col("__url").alias("url")).distinct().withColumns({"host": host, "path": path}).withColumn("__r", fitting_rule(F.col("host"), F.col("path"), rules))
+    urls = persisted(urls.select("url", "host", "path", F.col("__r.action").alias("action"), F.col("__r.rule").alias("rule"), (F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("int") % FOLDS == 0).alias("fold")), "urls")
+    each = grams(urls.select("url", "action", "fold"), order)
     trained = lambda action: F.sum(F.when(~F.col("fold") & (F.col("action") == action), 1).otherwise(0)).alias(action[0])
     counted = persisted(each.groupBy("gram").agg(trained("allow"), trained("block")), "url-grams")
     ratios = log_ratios(counted, order, min_context)
-    total = each.select("host", "path", "gram").join(ratios, "gram").groupBy("host", "path").agg(F.sum("ratio").alias("total"))
-    score = F.col("total") / (F.length("host") + F.length("path") + 1)
-    scored = persisted(urls.join(total, ["host", "path"]).withColumn("mean", score).withColumn("bin", F.floor(F.col("mean") / BIN)), "urls-scored")
+    total = each.select("url", "gram").join(ratios, "gram").groupBy("url").agg(F.sum("ratio").alias("total"))
+    scored = persisted(urls.join(total, "url").withColumn("mean", F.col("total") / (F.length("url") + 1)).withColumn("bin", F.floor(F.col("mean") / BIN)), "urls-scored")
     # the highest bin edge with few enough accepted URLs below it; bins are few, whatever the input's size
     bins = scored.where("fold and action = 'allow'").groupBy("bin").agg(F.count("*").alias("n"))
     below = bins.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = below.where(F.col("below") <= bins.agg(F.sum("n") * false_rejects).scalar()).agg(F.max("bin")).scalar()
-    judged = scored.withColumn("edge", edge).select("host", "path", "rule", F.coalesce("action", F.when(F.col("bin") < F.col("edge"), "block").otherwise("allow")).alias("verdict"), (F.col("mean") / SCALE).alias("score"), (F.col("edge") * BIN / SCALE).alias("threshold"), F.when(F.col("action").isNotNull(), "rule").otherwise("model").alias("judged_by"))
-    return rows.join(judged, ["host", "path"]).select(*keep, "host", "path", "rule", "verdict", "score", "threshold", "judged_by")
+    return rows, scored, below.where(F.col("below") <= bins.agg(F.sum("n") * false_rejects).scalar()).agg(F.max("bin")).scalar()
+
+
+def error_rates(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url: str = "url", order: int = ORDER, min_context: int = MIN_CONTEXT, false_rejects: float = FALSE_REJECTS) -> DataFrame:
+    """What the models alone say of URLs that rules decide: action, fold (true: not learned from), urls, blocked (share)."""
+    _, scored, edge = scored_urls(pages, DEFAULT_RULES if rules is None else rules, url, [], order, min_context, false_rejects)
+    blocked = (verdict(F.col("bin"), F.col("edge")) == "block").cast("double")
+    return scored.where("action is not null").withColumn("edge", edge).groupBy("action", "fold").agg(F.count("*").alias("urls"), F.avg(blocked).alias("blocked"))
 
 
 def filter_sql(rules: list[tuple[str, str, str]] | None = None, order: int = ORDER, min_context: int = MIN_CONTEXT, false_rejects: float = FALSE_REJECTS) -> str:
@@ -114,11 +129,11 @@ def filter_sql(rules: list[tuple[str, str, str]] | None = None, order: int = ORD
     fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
     action = "case " + " ".join(f"when {fits(h, p)} then '{a}'" for a, h, p in rules) + " end"
     rule = "case " + " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in rules) + " end"
-    parts = [f"""r as (select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') as path
-  from (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages))""",
-        f"u as materialized (select host, path, {action} as action, {rule} as rule from (select distinct host, path from r))"]
-    parts.append(f"f as materialized (select *, ('0x' || substr(md5(host || path), 1, 4))::int % {FOLDS} = 0 as fold from u)")
-    parts.append(f"e as materialized (select host, path, action, fold, substr(p, i, {order + 1}) as gram from (select *, unnest(range(1, length(p) - {order} + 1)) as i from (select *, repeat(chr(2), {order}) || host || path || chr(3) as p from f)))")
+    parts = [f"""r as (select page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') as path
+  from (select page_id, coalesce(url, '') as url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages))""",
+        f"u as materialized (select url, host, path, {action} as action, {rule} as rule from (select distinct url, host, path from r))"]
+    parts.append(f"f as materialized (select *, ('0x' || substr(md5(url), 1, 4))::int % {FOLDS} = 0 as fold from u)")
+    parts.append(f"e as materialized (select url, action, fold, substr(p, i, {order + 1}) as gram from (select *, unnest(range(1, length(p) - {order} + 1)) as i from (select *, repeat(chr(2), {order}) || url || chr(3) as p from f)))")
     parts.append(f"l{order} as materialized (select gram, sum((not fold and action is not distinct from 'allow')::int)::bigint as a, sum((not fold and action is not distinct from 'block')::int)::bigint as b from e group by gram)")
     parts += [f"l{k} as materialized (select substr(gram, 2, {k + 1}) as gram, sum(a)::bigint as a, sum(b)::bigint as b from l{k + 1} group by 1)" for k in range(order - 1, -1, -1)]
     for k in range(order + 1):
@@ -126,10 +141,10 @@ def filter_sql(rules: list[tuple[str, str, str]] | None = None, order: int = ORD
         mixed = [f"case when n{x} >= {min_context if k else 1} then ({x} + t{x} * {low[j]}) / (n{x} + t{x}) else {low[j]} end as p{x}" for j, x in enumerate("ab")]
         shorter = f"join p{k - 1} q on q.gram = substr(h.gram, 2, {k})" if k else ""
         parts.append(f"p{k} as materialized (select h.gram, {', '.join(mixed)} from l{k} h join (select substr(gram, 1, {k}) as c, sum(a)::bigint as na, sum((a > 0)::int)::bigint as ta, sum(b)::bigint as nb, sum((b > 0)::int)::bigint as tb from l{k} group by 1) on c = substr(h.gram, 1, {k}) {shorter})")
-    parts.append(f"s as materialized (select *, mean, floor(mean / {BIN}) as bin from (select f.*, total::double / (length(f.host) + length(f.path) + 1) as mean from f join (select host, path, sum(round((ln(pa) - ln(pb)) * {SCALE})::bigint)::bigint as total from e join p{order} using (gram) group by all) using (host, path)))".replace("select *, mean,", "select *,"))
+    parts.append(f"s as materialized (select *, mean, floor(mean / {BIN}) as bin from (select f.*, total::double / (length(f.url) + 1) as mean from f join (select url, sum(round((ln(pa) - ln(pb)) * {SCALE})::bigint)::bigint as total from e join p{order} using (gram) group by all) using (url)))".replace("select *, mean,", "select *,"))
     parts.append("n as (select bin, count(*) as n from s where fold and action = 'allow' group by bin)")
     parts.append(f"edge as (select max(bin) as edge from (select bin, coalesce(sum(n) over (order by bin rows between unbounded preceding and 1 preceding), 0) as below from n) where below <= (select sum(n) * {false_rejects} from n))")
     return "with " + ",\n".join(parts) + f"""
 select page_id, r.host, r.path, rule, coalesce(action, case when bin < edge then 'block' else 'allow' end) as verdict, mean / {SCALE} as score, edge * {BIN} / {SCALE} as threshold,
   case when action is not null then 'rule' else 'model' end as judged_by
-from r join s using (host, path) cross join edge"""
+from r join s using (url) cross join edge"""
