@@ -240,3 +240,105 @@ def test_probe_score_is_the_fused_score(spark, streams):
     rows = protocol.scored(kernel_tier.features(streams)).collect()
     for r in rows:
         assert abs(fused_probability({c: r[c] for c in detectors.VECTOR}) - r.p) < 1e-9
+
+
+@pytest.mark.parametrize(("ties", "share"), [("mid", 0.5), ("positive", 0.0), ("negative", 1.0)])
+@pytest.mark.parametrize("blocks", [2, 7, 200])
+def test_auroc_by_group_and_block(spark, monkeypatch, ties, share, blocks):
+    monkeypatch.setattr(metrics, "SCORE_BLOCKS", blocks)
+    r = random.Random(blocks)
+    rows = [(g, round(r.random(), d), r.randrange(2)) for g, d in (("a", 1), ("b", 6), (None, 2)) for _ in range(150)] + [("c", 0.5, 1), ("c", None, 0)]
+    frame = spark.createDataFrame(rows, "g string, s double, y int")
+    found = {x.g: x for x in metrics.auroc(frame.where("g is not null"), "s", "y", ["g"], ties, one_class=0.5).collect()}
+    for g in "ab":
+        pos, neg = ([s for h, s, y in rows if h == g and y == v] for v in (1, 0))
+        want = sum(1.0 if p > q else share if p == q else 0.0 for p in pos for q in neg) / len(pos) / len(neg)
+        assert abs(found[g].auroc - want) < 1e-12 and (found[g].positives, found[g].negatives) == (len(pos), len(neg))
+    assert found["c"].auroc == 0.5 and found["c"].negatives == 0
+
+
+def test_checkpoints_carry_bounded_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(5_000))
+    rows = st.checkpoints(spark.createDataFrame([(1, text)], "stream_id int, text string")).collect()
+    assert [x.k for x in rows] == list(range(1, len(rows) + 1)) and len(rows) == 12
+    assert all(x.text == text[max(0, x.pos - st.REACH - st.CHUNK) : x.pos] and x.n_chars == 5_000 for x in rows)
+
+
+def test_deflate_windows_of_any_chunk(spark):
+    text = (PROSE + LOOP * 3) * 9
+    frame = spark.createDataFrame([(1, text)], "stream_id int, text string")
+    for chunk in (7, 40, 256, 300):
+        got = {x.pos: x.zlib_ratio for x in protocol.features(frame, chunk, with_deflate=True, final=True).collect()}
+        want = {x.pos: x.zlib_ratio for x in kernel_tier.features(frame, chunk).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_month_years_against_a_loop(spark):
+    import re
+
+    r = random.Random(4)
+    words = ["May", "march", "JUNE", "1999", "2031", "in", "maybe", "x" * 20, "of the", "December", "19999", "y2020", "—"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 25))) for _ in range(60)] + ["", None, "MayMay May"]
+    def brute(t):
+        out = []
+        for m in re.finditer("|".join(grounding.MONTHS), t or "", re.I):
+            if re.match(r"\w", (t[m.start() - 1 : m.start()] or " ")) or re.match(r"\w", t[m.end() : m.end() + 1] or " "):
+                continue
+            around = t[max(0, m.start() - 15) : m.end() + 15]
+            year = re.search(r"\b(?:19|20)[0-9]{2}\b", around)
+            out.append((m.group().lower(), year.group() if year else "?"))
+        return list(dict.fromkeys(out))
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", grounding.month_years(F.col("t")).alias("m")).collect()
+    assert {x.i: [tuple(y) for y in x.m] for x in found} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_echo_by_words_of_any_result(spark):
+    asked = spark.createDataFrame([("harbour ferries copper",), ("islands gulls",), ("nothing",), ("a b",)], "query string")
+    results = spark.createDataFrame([("harbour ferries copper", 1, "Harbour", "the ferries"), ("harbour ferries copper", 2, "", "COPPER prices"), ("islands gulls", 1, "islets", None), ("a b", 1, "x", "y"), ("a b", 2, "x", "z")], "query string, rank int, title string, snippet string")
+    hits = spark.createDataFrame([("islands gulls", 9, "Of islands")], "query string, hits int, title string")
+    found = {x.query: x for x in grounding.ground(asked, results, hits, most=1).collect()}
+    assert {q: x.verdict for q, x in found.items()} == {"harbour ferries copper": "attested", "islands gulls": "attested", "nothing": "no_record", "a b": "attested"}
+    assert found["harbour ferries copper"].evidence == ["Harbour — the ferries"] and found["a b"].hits == 2
+    texts = spark.createDataFrame([("Harbour ferries and copper",), ("ferries",), ("",)], "text string")
+    items = spark.createDataFrame([(i, q) for i, q in enumerate(["harbour copper", "ferries", "", "missing"])], "item_id int, query string")
+    for block in (1, 500):
+        assert {x.item_id: (x.documents, x.echoed) for x in grounding.echo_counts(items, texts, block).collect()} == {0: (3, 1), 1: (3, 2), 2: (3, 3), 3: (3, 0)}
+
+
+def test_fit_on_a_bounded_sample(spark):
+    r = random.Random(6)
+    rows = [(i, float(i % 2), r.random() + i % 2, 1.0) for i in range(400)]
+    frame = spark.createDataFrame(rows, "example_id int, label double, x double, one double")
+    model = learning.fit(frame, ("x", "one"), sample=20).first()
+    assert 20 < model.seen / 6 <= 40 and model.w[0] > 0
+    again = learning.fit(frame.repartition(7), ("x", "one"), sample=20).first()
+    assert again == model
+
+
+def test_final_check(spark, streams):
+    found = {x.stream_id: x for x in kernel_tier.verify_final(streams).collect()}
+    want = {x.stream_id: x for x in kernel_tier.guard(streams, 256, partitions=3).collect()}
+    assert {i: (x.state, x.p) for i, x in found.items()} == {i: (x.state, x.p) for i, x in want.items()}
+    assert all(x.ok == (x.state != "corrupt") for x in found.values())
+
+
+def test_text_pieces():
+    import pyarrow as pa
+
+    from weirstream.functions.arrow import pieces
+
+    texts = ["a" * n for n in (3, 0, 10, 2, 2, 2)] + [None, "b"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "t": pa.array(texts, pa.string())})
+    cut = [p.column(1).to_pylist() for p in pieces(batch, 1, 5)]
+    assert [x for p in cut for x in p] == texts and [len(p) for p in cut] == [2, 1, 2, 3]
+    assert not list(pieces(batch.slice(0, 0), 1))
+
+
+def test_stream_evaluation_against_a_loop(spark):
+    rows = [(i, c, l, o, s, read, on, rel) for i, (c, l, o, s, read, on, rel) in enumerate([("clean", 0, None, "clean", 900, None, 900), ("loop", 1, 100, "corrupt", 360, 320, 0), ("loop", 1, 500, "corrupt", 360, 300, 0), ("loop", 1, 500, "corrupt", 900, 700, 860), ("loop", 1, 200, "clean", 900, None, 900)])]
+    v = spark.createDataFrame([(r[0], r[4], r[5], r[6], r[7]) for r in rows], "stream_id int, state string, read_chars long, onset long, released_chars long")
+    t = spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in rows], "stream_id int, corruption_class string, label int, onset_char int")
+    found = {x.corruption_class: x for x in metrics.stream_evaluation(v, t).collect()}
+    x = found["loop"]
+    assert (x.streams, x.flagged, x.early_alarms, x.rate, x.latency_median, x.onset_error_median, x.nothing_leaked, x.could_leak) == (4, 3, 1, 0.75, 330.0, 200.0, 1, 2)
+    assert (found["clean"].flagged, found["clean"].read_chars) == (0, 900)

@@ -19,7 +19,11 @@ from weirstream.operators.streams import WINDOW
 
 NAMES = ["digit", "space", "symbol", *SCRIPTS, "other"]
 FIRST_SCRIPT, OTHER = 3, len(NAMES) - 1
-TRACES = [re.compile(p) for p in ARTEFACTS]
+#: Of each artefact, texts one of which it can't do without: most windows have none, and searching for them is cheap.
+NEEDED = [("###",), ("```",), ("pip install",), ("npm install",), ("#REF!",), ("#DIV/0!",), ("#VALUE!",), ("http",), (":\\\\",), (".py", ".env", ".json"), ("年",), ("====",), ("────",), ("______",)]
+TRACES = list(zip(NEEDED, [re.compile(p) for p in ARTEFACTS], strict=True))
+#: Words whose hashes a worker remembers.
+CACHE_WORDS = 200_000
 WORDS = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -43,33 +47,66 @@ def class_table() -> np.ndarray:
 
 
 def earlier(groups: np.ndarray) -> np.ndarray:
-    """How often each value came before, at each place."""
-    order = np.argsort(groups, kind="stable")
-    first = np.r_[True, groups[order][1:] != groups[order][:-1]] if len(order) else np.zeros(0, bool)
-    place = np.arange(len(order))
-    count = np.empty(len(order), np.int64)
+    """How often each value (none negative) came before, at each place."""
+    n = len(groups)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = int(n - 1).bit_length()
+    place = np.arange(n)
+    if int(groups.max()) < 1 << (63 - bits):
+        packed = groups.astype(np.int64) << bits | place  # value and place as one number: a plain sort is stable
+        packed.sort()
+        order, own = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(groups, kind="stable")
+        own = groups[order]
+    first = np.empty(n, bool)
+    first[0] = True
+    np.not_equal(own[1:], own[:-1], out=first[1:])
+    count = np.empty(n, np.int64)
     count[order] = place - np.maximum.accumulate(np.where(first, place, 0))
     return count
 
 
-def surprises(codes: np.ndarray) -> np.ndarray:
-    """Bits of each character under the interpolated online model of those before it."""
-    n = len(codes)
-    _, ids = np.unique(codes, return_inverse=True)
-    size = int(ids.max(initial=0)) + 2
-    seen = np.cumsum(earlier(ids) == 0) - (earlier(ids) == 0)
-    v = np.maximum(LEAST_ALPHABET, seen + 1)
+def numbered(codes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the distinct characters of a text, at each place."""
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    table = np.zeros(int(codes.max()) + 1, np.int64)
+    table[codes] = 1
+    return (np.cumsum(table) - 1)[codes]
+
+
+def surprises(ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Bits of each character under the interpolated online model of those before it.
+
+    ids: numbers of the characters; before: how often each one came before. The context of a character is a run of
+    characters that ends in front of it, so how often a context came before is how often that run did, one place on.
+    """
+    n = len(ids)
+    size = int(ids.max(initial=0)) + 1
+    seen = np.cumsum(before == 0) - (before == 0)
+    v = SMOOTHING * np.maximum(LEAST_ALPHABET, seen + 1)
     p = np.zeros(n)
-    for k, weight in zip(range(len(WEIGHTS) - 1, -1, -1), WEIGHTS, strict=True):
-        context = np.zeros(n, np.int64)
-        for j in range(k, 0, -1):
-            context[j:] = context[j:] * size + ids[: n - j] + 1
-        for i in range(min(k, n)):  # short history: the last min(i, k - i) characters
-            context[i] = 0
-            for c in ids[i - min(i, k - i) : i] if i else []:
-                context[i] = context[i] * size + c + 1
-        _, context = np.unique(context, return_inverse=True)
-        p += weight * (earlier(context * size + ids) + SMOOTHING) / (earlier(context) + SMOOTHING * v)
+    contexts, grams, runs = np.arange(n), before, ids
+    for k, weight in enumerate(reversed(WEIGHTS)):
+        if k:  # runs of k + 1 characters
+            last = grams
+            step = np.zeros(n, np.int64)
+            step[k:] = runs[k - 1 : n - 1] * size + ids[k:]
+            if size ** (k + 1) >= 1 << 62:
+                _, step = np.unique(step, return_inverse=True)
+            runs = step
+            contexts, grams = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            grams[k:] = earlier(runs[k:])
+            contexts[k:] = last[k - 1 : n - 1]
+            # short history: the last min(i, k - i) characters, never met by whole contexts
+            short: list[tuple] = []
+            for i in range(min(k, n)):
+                own = tuple(ids[i - min(i, k - i) : i].tolist()), int(ids[i])
+                contexts[i], grams[i] = sum(c == own[0] for c, _ in short), short.count(own)
+                short.append(own)
+        p += weight * (grams + SMOOTHING) / (contexts + v)
     return -np.log2(np.clip(p, 1e-9, 1.0))
 
 
@@ -77,6 +114,19 @@ def hash64(word: str, kind: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big") if kind == "md5" else blake64(word)
 
 
+_hashes: dict[str, dict[str, int | None]] = {}
+
+
+def word_hash(piece: str, kind: str) -> int | None:
+    """The hash of the letters and digits of a piece in lower case, None if it has none; remembered in the worker."""
+    known = _hashes.setdefault(kind, {})
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    word = piece.lower() if piece.isalnum() else "".join(filter(str.isalnum, piece)).lower()
+    known[piece] = own = hash64(word, kind) if word else None
+    return own
+
+
 class TextFeatures:
     """Features of the prefixes of one text."""
 
@@ -97,35 +147,40 @@ class TextFeatures:
         breaks = np.r_[True, codes[1:] != codes[:-1]][:n] | excluded
         place = np.arange(n)
         self.longest = np.maximum.accumulate(place - np.maximum.accumulate(np.where(breaks, place, 0)) + 1) if n else place
-        self.surprise = surprises(codes)
+        self.ids = numbered(codes)
+        before = earlier(self.ids)
+        self.surprise = surprises(self.ids, before)
         self.mean = self.mad = 0.0
         head = self.surprise[:BASELINE].tolist()
         for i, x in enumerate(head):
             if i:
                 self.mad += ALPHA * (abs(x - self.mean) - self.mad)
             self.mean += (ALPHA if i else 1.0) * (x - self.mean)
-        self.new = np.cumsum(earlier(codes) == 0)
+        self.new = np.cumsum(before == 0)
         counts: dict[str, int] = {}
         nth = np.zeros(max(0, (n - SHINGLE) // STRIDE + 1), np.int64)
         for j in range(len(nth)):
             s = text[STRIDE * j : STRIDE * j + SHINGLE]
             nth[j] = counts[s] = counts.get(s, 0) + 1
         self.repeats, self.most = np.cumsum(nth > 1), np.maximum.accumulate(nth) if len(nth) else nth
-        separator = (self.cls == 1) | (self.cls == 2)
-        ends, bits, begin = [], [], 0
-        for e in np.flatnonzero(separator).tolist():
-            word = "".join(c for c in text[begin:e] if c.isalnum()).lower()
-            begin = e + 1
-            if word:
+        stops = np.flatnonzero((self.cls == 1) | (self.cls == 2))
+        begins = np.concatenate([np.zeros(1, np.int64), stops + 1])[: len(stops)]
+        some = stops > begins
+        ends, bits, known = [], [], _hashes.setdefault(hashed_by, {})
+        for begin, e in zip(begins[some].tolist(), stops[some].tolist(), strict=True):
+            piece = text[begin:e]
+            own = known[piece] if piece in known else word_hash(piece, hashed_by)
+            if own is not None:
                 ends.append(e + 1)
-                bits.append(hash64(word, hashed_by))
+                bits.append(own)
         self.word_ends = np.array(ends, np.int64)
-        self.bits = np.cumsum(np.r_[np.zeros((1, 64), np.int64), np.unpackbits(np.array(bits, ">u8").view(np.uint8)).reshape(-1, 64)], axis=0) if bits else np.zeros((1, 64), np.int64)
+        self.bits = np.array(bits, ">u8").view(np.uint8).reshape(-1, 8)
 
     def fingerprint(self, pos: int) -> tuple[np.ndarray, int]:
         k = int(np.searchsorted(self.word_ends, pos, side="right"))
         n = min(k, FINGERPRINT_WORDS)
-        return 2 * (self.bits[k] - self.bits[k - n]) > n, n
+        ones = np.unpackbits(self.bits[k - n : k], axis=1).sum(axis=0, dtype=np.int64)
+        return 2 * ones > n, n
 
     def at(self, pos: int, deflate_pos: int | None = None, baseline_pos: int | None = None) -> dict[str, float]:
         """The feature vector of the first ``pos`` characters.
@@ -142,7 +197,8 @@ class TextFeatures:
         recent = self.surprise[max(0, pos - RECENT) : pos]
         now = float(recent.mean()) if len(recent) else 0.0
         shingles = max(0, (pos - SHINGLE) // STRIDE + 1) if pos >= SHINGLE else 0
-        _, counts = np.unique(self.codes[low:pos], return_counts=True)
+        counts = np.bincount(self.ids[low:pos])
+        counts = counts[counts > 0]
         entropy = 1.0
         if counts.sum() >= 2:
             share = counts / counts.sum()
@@ -159,7 +215,7 @@ class TextFeatures:
         return {
             "digit_frac": of[0] / n, "foreign_frac": alien / letters if letters else 0.0, "repeat_rate": float(self.repeats[shingles - 1] / shingles) if shingles else 0.0,
             "zlib_ratio": ratio, "ttr": len(set(words)) / len(words) if words else 1.0, "script_switch_rate": float(self.switches[pos - 1]) / pos * 100 if pos else 0.0,
-            "structural_density": sum(len(p.findall(window)) for p in TRACES) / max(1.0, n / 100), "symbol_frac": of[2] / n, "max_char_run": min(int(self.longest[pos - 1]), LONGEST_RUN) / LONGEST_RUN if pos else 0.0,
+            "structural_density": sum(len(p.findall(window)) for needed, p in TRACES if any(x in window for x in needed)) / max(1.0, n / 100), "symbol_frac": of[2] / n, "max_char_run": min(int(self.longest[pos - 1]), LONGEST_RUN) / LONGEST_RUN if pos else 0.0,
             "space_frac": of[1] / n, "surprise_z": (now - self.mean) / (1.4826 * self.mad + 1e-6) if pos >= 3 else 0.0,
             "surprise_low_frac": float((recent < max(0.5, self.mean - self.mad)).mean()) if len(recent) else 0.0, "simhash_drift": drift, "entropy": entropy,
             "max_shingle_count": min(int(self.most[shingles - 1]), MOST_SHINGLES) / MOST_SHINGLES if shingles else 0.0,

@@ -57,9 +57,10 @@ def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(empty))
 
 
-def window_at(text: Column, position: Column, size: int) -> Column:
+def window_at(text: Column, position: Column, size: int | Column) -> Column:
     """The last ``size`` characters of the first ``position`` ones."""
-    return F.substring(text, F.greatest(position - size, F.lit(0)) + 1, F.least(position, F.lit(size)))
+    size = size if isinstance(size, Column) else F.lit(size)
+    return F.substring(text, F.greatest(position - size, F.lit(0)) + 1, F.least(position, size))
 
 
 def numbers_in(text: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of questions that say nothing about their subject.
 STOPWORDS = """what when where who whom why how which is are was were be been being the a an of in on at to for and or by with from as if then than
 that this these those it its do does did not no yes give state answer only one single specific number date name year percentage exact please tell me about""".split()
+#: Those and four more, left out of search queries.
 QUESTION_WORDS = sorted({*STOPWORDS, "am", "refuse", "hedge", "approximate"})
 MONTHS = "january february march april may june july august september october november december".split()
 #: Characters around a month in which its year is looked for.
@@ -31,16 +32,45 @@ def echoed(query: Column, evidence: Column) -> Column:
     return F.forall(core_tokens(query), lambda w: F.contains(F.lower(F.coalesce(evidence, F.lit(""))), w))
 
 
-def ground(queries: DataFrame, results: DataFrame, hits: DataFrame) -> DataFrame:
+def echo_counts(queries: DataFrame, texts: DataFrame, block: int = 500) -> DataFrame:
+    """For each query (item_id, query) of a stated set: how many texts there are, and how many echo it.
+
+    Queries are dealt into blocks of about ``block`` by hash, so what is broadcast at once has a bound; every block
+    passes over all texts, and counts are combined before they are shuffled.
+    """
+    n = max(1, -(-queries.count() // block))
+    total = texts.agg(F.count("*").alias("documents"))
+    words = queries.select("item_id", core_tokens(F.col("query")).alias("words"))
+    low = texts.select(F.lower("text").alias("text"))
+    out = None
+    for k in range(n):
+        part = words if n == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        told = low.join(F.broadcast(part), F.forall("words", lambda w: F.contains(F.col("text"), w))).groupBy("item_id").agg(F.count("*").alias("echoed"))
+        out = told if out is None else out.union(told)
+    every = queries.select("item_id").join(out, "item_id", "left")
+    return every.select("item_id", total.scalar().alias("documents"), F.coalesce("echoed", F.lit(0)).alias("echoed"))
+
+
+def ground(queries: DataFrame, results: DataFrame, hits: DataFrame, most: int = 20) -> DataFrame:
     """attested, thin or no_record for each query, with the reason and the source.
 
     queries: query; results: query, rank, title, snippet (best first); hits: query, hits, title of page hits.
+    All results count, and a core word may be in any of them; ``evidence`` lists the best ``most``.
     """
-    found = results.groupBy("query").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", evidence_line(F.col("title"), F.col("snippet")).alias("line")))).alias("e"), F.concat_ws(" ", F.collect_list(F.concat_ws(" ", "title", "snippet"))).alias("blob"))
+    asked = queries.select("query").distinct()
+    counted = results.groupBy("query").agg(F.count("*").alias("n"))
+    best = results.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("rank", "title", "snippet"))).where(F.col("__r") <= most)
+    listed = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("__r", evidence_line(F.col("title"), F.col("snippet")).alias("line")))).alias("e"))
     pages = hits.groupBy("query").agg(F.max("hits").alias("wiki_hits"), F.max_by("title", "hits").alias("wiki_title"))
-    out = queries.select("query").distinct().join(found, "query", "left").join(pages, "query", "left")
+    # each core word against each result and the page's title: rows of words, never one text of all results
+    words = asked.select("query", F.explode(F.array_distinct(core_tokens(F.col("query")))).alias("word"))
+    text = F.lower(F.concat_ws(" ", "title", "snippet"))
+    told = results.select("query", text.alias("text")).join(words, "query").groupBy("query", "word").agg(F.max(F.contains("text", F.col("word"))).alias("told"))
+    named = words.join(told, ["query", "word"], "left").join(pages.select("query", F.lower("wiki_title").alias("title")), "query", "left")
+    named = named.groupBy("query").agg(F.min(F.coalesce("told", F.lit(False)) | F.coalesce(F.contains("title", F.col("word")), F.lit(False))).alias("echo"))
+    out = asked.join(counted, "query", "left").join(listed, "query", "left").join(pages, "query", "left").join(named, "query", "left")
     out = out.withColumns({"n": F.coalesce("n", F.lit(0)), "wiki_hits": F.coalesce("wiki_hits", F.lit(0)), "wiki_title": F.coalesce("wiki_title", F.lit(""))})
-    echo = echoed(F.col("query"), F.concat_ws(" ", "blob", "wiki_title"))
+    echo = F.coalesce("echo", F.lit(True))
     none = (F.col("n") == 0) & (F.col("wiki_hits") == 0)
     strong = ((F.col("n") >= 2) | (F.col("wiki_hits") >= 5)) & echo
     verdict = F.when(none, "no_record").when(strong, "attested").otherwise("thin")
@@ -62,16 +92,20 @@ def month_years(text: Column) -> Column:
     """Distinct structs (month, year) of the months named in a text; year is ``?`` if none is near."""
     t = F.coalesce(text, F.lit(""))
     named = r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(MONTHS) + r")(?![\p{L}\p{N}_])"
-    # pieces between the months, so that each month has its surroundings on both sides
+    # pieces between the months; what is near a month lies in the few pieces next to it, as a month has three letters or more
     months = F.regexp_extract_all(t, F.lit(named), F.lit(0))
-    pieces = F.split(t, named)
-    def one(m: Column, i: Column) -> Column:
-        left = F.array_join(F.flatten(F.array(F.transform(F.slice(pieces, 1, i + 1), lambda p, j: F.concat(p, F.when(j < i, F.get(months, j)).otherwise(F.lit("")))))), "")
-        rest = F.substring(t, F.length(left) + F.length(m) + 1, F.lit(REACH))
-        around = F.concat(F.right(left, F.lit(REACH)), m, rest)
+    pieces = F.transform(F.split(t, named), lambda p: F.concat(F.left(p, F.lit(REACH)), F.when(F.length(p) > 2 * REACH, F.lit("\n")).otherwise(F.lit("")), F.right(p, F.least(F.lit(REACH), F.greatest(F.lit(0), F.length(p) - REACH)))))
+    near = REACH // 3 + 1
+    part = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    def one(s: Column, m: Column, i: Column) -> Column:
+        left = F.concat(*[x for k in range(near, 0, -1) for x in (part(s["p"], i - k), part(s["m"], i - k))], part(s["p"], i))
+        rest = F.concat(*[x for k in range(1, near + 1) for x in (part(s["p"], i + k), part(s["m"], i + k))])
+        around = F.concat(F.right(left, F.lit(REACH)), m, F.left(rest, F.lit(REACH)))
         year = F.regexp_extract(around, r"(?<![\p{L}\p{N}_])(?:19|20)[0-9][0-9](?![\p{L}\p{N}_])", 0)
         return F.struct(F.lower(m).alias("month"), F.when(year == "", "?").otherwise(year).alias("year"))
-    return F.array_distinct(F.transform(months, one))
+    # the arrays are bound to a name, or every month would cut the text anew
+    once = F.array(F.struct(months.alias("m"), pieces.alias("p")))
+    return F.array_distinct(F.flatten(F.transform(once, lambda s: F.transform(s["m"], lambda m, i: one(s, m, i)))))
 
 
 def dates_agree(claimed: Column, evident: Column) -> Column:

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirstream.functions.arrow import pieces
 from weirstream.operators import detectors
 from weirstream.operators.fusion import Thresholds
 from weirstream.operators.protocol import DEFLATE_EVERY, scored, verdicts
@@ -21,19 +22,21 @@ def deflate_position(pos: int, length: int, chunk: int) -> int | None:
     return regular or None
 
 
-def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: int = EVERY, with_deflate: bool = True, final: bool = True, expected: tuple[str, ...] = ("latin", "cyrillic"), hashed_by: str = "md5") -> DataFrame:
-    """Like ``protocol.features``: stream_id, k, pos, n_chars and the feature columns."""
+def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: int = EVERY, with_deflate: bool = True, final: bool = True, expected: tuple[str, ...] = ("latin", "cyrillic"), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
+    """Like ``protocol.features``: stream_id, k, pos, n_chars and the feature columns.
+
+    Texts stay where they are unless ``partitions`` is given: a text costs far more to score than to move, so a table
+    that is read in fewer partitions than there are cores is best dealt out.
+    """
     slim = streams.where(F.length("text") > 0).select("stream_id", "text", checkpoint_positions(F.length("text"), chunk, hold, every).alias("points"))
     kind = streams.schema["stream_id"].dataType.simpleString()
-    # a text costs far more to score than to move, so an input of fewer partitions than cores is dealt out
-    cores = streams.sparkSession.sparkContext.defaultParallelism
-    if slim.rdd.getNumPartitions() < cores:
-        slim = slim.repartition(cores)
+    if partitions:
+        slim = slim.repartition(partitions)
 
     def run(batches):
         from weirstream.functions.stream_kernel import TextFeatures
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             ids, texts, points = (batch.column(i).to_pylist() for i in range(3))
             rows = []
             for sid, text, at in zip(ids, texts, points, strict=True):
@@ -48,6 +51,12 @@ def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: in
     return slim.mapInArrow(run, f"stream_id {kind}, k int, pos int, n_chars int, " + ", ".join(f"{c} double" for c in detectors.VECTOR))
 
 
-def guard(streams: DataFrame, chunk: int = CHUNK, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5") -> DataFrame:
+def guard(streams: DataFrame, chunk: int = CHUNK, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
     """Verdicts as ``protocol.guard`` gives them, deflate ratio included; one shuffle of checkpoint rows, none of texts."""
-    return verdicts(scored(features(streams, chunk, hashed_by=hashed_by), thresholds=thresholds), thresholds)
+    return verdicts(scored(features(streams, chunk, hashed_by=hashed_by, partitions=partitions), thresholds=thresholds), thresholds)
+
+
+def verify_final(streams: DataFrame, chunk: int = 256, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
+    """The check of a finished text, read in larger chunks: the verdict columns of ``guard`` and ok (not corrupt)."""
+    found = guard(streams, chunk, thresholds, hashed_by, partitions)
+    return found.withColumn("ok", F.col("state") != "corrupt")

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks in which distinct scores are ordered.
+SCORE_BLOCKS = 200
 
-def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None, ties: str = "mid") -> DataFrame:
-    """Area under the ROC curve from rank sums; null if a class is missing.
+
+def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None, ties: str = "mid", one_class: float | None = None) -> DataFrame:
+    """Area under the ROC curve from rank sums; ``one_class`` (else null) if a class is missing.
 
     ``ties``: mid (equal scores count half), positive (positives come first among equals), negative.
-    Distinct scores are counted before they are ranked, so what is ordered is the scores, not the rows.
+    Distinct scores are counted before they are ranked. They are ordered in blocks between quantiles of them, and the
+    blocks' totals by group, so neither rows nor distinct scores of a group are ever one task's work.
     """
     by = by or []
-    counted = rows.groupBy(*by, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
+    counted = rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
     share = {"mid": 0.5, "positive": 0.0, "negative": 1.0}[ties]
-    # negatives below each positive, by a running sum over the distinct scores of a group
-    listed = counted.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), "pos", "neg"))).alias("c"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    zero = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("area"))
-    step = lambda a, x: F.struct((a["below"] + x["neg"]).alias("below"), (a["area"] + x["pos"] * (a["below"] + share * x["neg"])).alias("area"))
-    area = F.aggregate("c", zero, step)["area"]
-    return listed.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), area / (F.col("p") * F.col("n"))).alias("auroc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
+    group = [F.lit(0).alias("__g"), *by]
+    edges = counted.groupBy(*by).agg(F.percentile_approx("__s", [k / SCORE_BLOCKS for k in range(1, SCORE_BLOCKS)]).alias("__e")).select(*group, "__e")
+    placed = counted.select(*group, "__s", "pos", "neg").join(edges, ["__g", *by]).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("__s")))).drop("__e")
+    totals = placed.groupBy("__g", *by, "__b").agg(F.sum("neg").alias("__n"))
+    before = Window.partitionBy("__g", *by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__g", *by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__g", *by, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("__before") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
+    ranked = placed.join(totals, ["__g", *by, "__b"]).withColumn("__a", F.col("pos") * (below + share * F.col("neg")))
+    found = ranked.groupBy(*by).agg(F.sum("__a").alias("__a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return found.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("__a") / (F.col("p") * F.col("n"))).otherwise(F.lit(one_class)).alias("auroc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
 def log_loss(p: Column, label: Column, eps: float = 1e-7) -> Column:

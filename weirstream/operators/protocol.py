@@ -25,7 +25,7 @@ def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: in
     """
     points = checkpoints(streams, chunk, hold, every)
     if final:
-        points = points.unionByName(final_positions(streams.where(F.length("text") > 0)))
+        points = points.unionByName(final_positions(streams.where(F.length("text") > 0), chunk))
     at = points.select("stream_id", "pos").distinct()
     chars = characters(streams)
     ordered = surprise(char_runs(script_switches(chars))).persist()  # three branches read it; it may spill
@@ -51,7 +51,7 @@ def deflate_at(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     step = chunk * -(-DEFLATE_EVERY // chunk)
     regular = (F.floor(F.col("pos") / step) * step).cast("int")
     due = F.when((F.col("pos") == F.col("n_chars")) & (F.col("pos") - regular >= DEFLATE_EVERY), F.col("pos")).otherwise(regular)
-    return points.select("stream_id", "pos", F.coalesce(deflate_ratio(window_at(F.col("text"), due, WINDOW)), F.lit(1.0)).alias("zlib_ratio"))
+    return points.select("stream_id", "pos", F.coalesce(deflate_ratio(window_at(F.col("text"), F.length("text") - (F.col("pos") - due), F.least(due, F.lit(WINDOW)))), F.lit(1.0)).alias("zlib_ratio"))
 
 
 def scored(rows: DataFrame, learned_p: Column | None = None, thresholds: Thresholds = Thresholds(), chosen: list[str] | None = None) -> DataFrame:

@@ -126,8 +126,12 @@ def fingerprint_words(chars: DataFrame) -> DataFrame:
 
 def fingerprints(words: DataFrame, points: DataFrame) -> DataFrame:
     """stream_id, pos, n_words, fingerprint: the majority of each bit over the last words before each checkpoint (a tie is 0)."""
-    at = points.select("stream_id", "pos").join(words, "stream_id").where("i <= pos")
-    near = at.withColumn("__r", F.row_number().over(Window.partitionBy("stream_id", "pos").orderBy(F.desc("w")))).where(F.col("__r") <= FINGERPRINT_WORDS)
+    # words and checkpoints in one order: a checkpoint knows the number of the last word before it, and so which words it reads
+    both = words.select("stream_id", "i", "w", F.lit(None).cast("int").alias("pos")).unionByName(points.select("stream_id", F.col("pos").alias("i"), F.lit(None).cast("int").alias("w"), "pos"))
+    order = Window.partitionBy("stream_id").orderBy("i", F.col("pos").isNotNull())
+    last = both.withColumn("__w", F.max("w").over(order)).where("pos is not null and __w is not null").select("stream_id", "pos", F.col("__w"))
+    read = last.select("stream_id", "pos", F.explode(F.sequence(F.greatest(F.lit(1), F.col("__w") - FINGERPRINT_WORDS + 1), F.col("__w"))).alias("w"))
+    near = read.join(words.select("stream_id", "w", "bits"), ["stream_id", "w"])
     ones = [F.sum(F.substring("bits", b + 1, 1).cast("int")).alias(f"__b{b}") for b in range(64)]
     voted = near.groupBy("stream_id", "pos").agg(F.count("*").alias("n_words"), *ones)
     return voted.select("stream_id", "pos", "n_words", F.concat(*[F.when(2 * F.col(f"__b{b}") > F.col("n_words"), "1").otherwise("0") for b in range(64)]).alias("fingerprint"))

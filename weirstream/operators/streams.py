@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirstream.functions.text import window_at
+
 #: First checkpoint, distance of further ones, characters of a chunk, characters of the sliding window.
 HOLD, EVERY, CHUNK, WINDOW = 350, 400, 40, 600
+#: Characters that checkpoints carry, a chunk more: the deflate ratio is that of a window that ended up to 200 earlier.
+REACH = WINDOW + 200
 
 
 def chunks(streams: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -32,20 +36,25 @@ def checkpoint_positions(length: Column, chunk: int = CHUNK, hold: int = HOLD, e
 
 
 def checkpoints(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: int = EVERY) -> DataFrame:
-    """stream_id, text, k (from 1), pos, n_chars."""
+    """stream_id, k (from 1), pos, n_chars, and text: the last characters up to pos, as many as any window reads.
+
+    Texts are cut before positions become rows, so what is carried grows with a stream's length, not with its square.
+    """
     length = F.length("text")
-    return streams.select("stream_id", "text", length.alias("n_chars"), F.posexplode(checkpoint_positions(length, chunk, hold, every)).alias("k", "pos")).withColumn("k", F.col("k") + 1)
+    cut = F.transform(checkpoint_positions(length, chunk, hold, every), lambda p: F.struct(p.alias("pos"), window_at(F.col("text"), p, REACH + chunk).alias("text")))
+    each = streams.select("stream_id", length.alias("n_chars"), F.posexplode(cut).alias("k", "c"))
+    return each.select("stream_id", "c.text", "n_chars", (F.col("k") + 1).alias("k"), "c.pos")
 
 
-def final_positions(streams: DataFrame) -> DataFrame:
+def final_positions(streams: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row at the end of every stream, for scores on finishing: k is null."""
-    return streams.select("stream_id", "text", F.length("text").alias("n_chars"), F.lit(None).cast("int").alias("k"), F.length("text").alias("pos"))
+    return streams.select("stream_id", F.right("text", F.lit(REACH + chunk)).alias("text"), F.length("text").alias("n_chars"), F.lit(None).cast("int").alias("k"), F.length("text").alias("pos"))
 
 
-def characters(streams: DataFrame, partitions: int | None = None) -> DataFrame:
-    """stream_id, i (from 1), ch. Long streams spread over many partitions if a number is given."""
+def characters(streams: DataFrame, spread: bool = False) -> DataFrame:
+    """stream_id, i (from 1), ch. ``spread`` deals streams out before further work."""
     exploded = streams.where(F.length("text") > 0).select("stream_id", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''").withColumn("i", F.col("i") + 1)
-    return exploded.repartition(partitions, "stream_id") if partitions else exploded
+    return exploded.repartition("stream_id") if spread else exploded
 
 
 def by_stream(*more: str):

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstream.functions.text import ARTEFACTS, DIGITS, EXPECTED, LETTERS, SPACES, SYMBOLS, WORD, count_of, foreign, one_of, ratio, window_at
+from weirstream.functions.text import ARTEFACTS, DIGITS, EXPECTED, LETTERS, SPACES, SYMBOLS, WORD, count_of, foreign, one_of, ratio
 from weirstream.operators.streams import WINDOW
 
 
 def window_counts(points: DataFrame, expected: tuple[str, ...] = EXPECTED, size: int = WINDOW) -> DataFrame:
     """Adds n, digits, spaces, symbols, letters and foreign_letters of the window to checkpoints."""
     w = F.col("window")
-    counted = points.withColumn("window", window_at(F.col("text"), F.col("pos"), size))
+    counted = points.withColumn("window", F.right("text", F.lit(size)))
     other = foreign(expected)
     return counted.withColumns({
         "n": F.length(w).cast("long"),
@@ -42,7 +42,7 @@ def window_features(points: DataFrame, expected: tuple[str, ...] = EXPECTED, siz
 
 def char_entropy(points: DataFrame, chars: DataFrame, size: int = WINDOW) -> DataFrame:
     """stream_id, pos, entropy: of the window's characters, relative to the alphabet seen since the stream began."""
-    w = points.select("stream_id", "pos", F.explode(F.split(F.substring(F.col("text"), F.greatest(F.col("pos") - size, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(size))), "")).alias("ch")).where("ch <> ''")
+    w = points.select("stream_id", "pos", F.explode(F.split(F.right("text", F.lit(size)), "")).alias("ch")).where("ch <> ''")
     counts = w.groupBy("stream_id", "pos", "ch").agg(F.count("*").alias("c"))
     spread = counts.groupBy("stream_id", "pos").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     first = chars.groupBy("stream_id", "ch").agg(F.min("i").alias("i"))

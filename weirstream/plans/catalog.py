@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirstream.functions import kernels
@@ -12,6 +12,7 @@ from weirstream.functions.text import char_class, count_of
 from weirstream.operators import detectors, factuality, fusion, grounding, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth, window_features
 from weirstream.operators import streams as st
 from weirstream.plans import stream_sql as sql
+from weirstream.sources import corpus, sessions, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,16 +36,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), "text")
 
 
+def few(table: DataFrame) -> int | None:
+    """Partitions to deal a table file out to, if it is read in fewer than there are cores."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return cores if table.rdd.getNumPartitions() < cores else None  # of a bare scan: nothing runs
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-def r6(*names: str) -> list[Column]:
-    return [F.round(n, 6).alias(n) for n in names]
+def r6(*names: str, digits: int = 6) -> list[Column]:
+    return [F.round(n, digits).alias(n) for n in names]
 
 
-def sql6(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) as {n}" for n in names)
+def sql6(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) as {n}" for n in names)
 
 
 def with_(*ctes: str) -> str:
@@ -109,13 +116,13 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(sql.STREAMS, sql.CHARS, sql.SURPRISE) + "select stream_id, count(*)::bigint as n, round(avg(surprise), 6) as mean_bits, round(max(surprise), 6) as most_bits from su group by stream_id")
 def ngram_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), 64))
+    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), spread=True))
     return found.groupBy("stream_id").agg(F.count("*").alias("n"), F.round(F.avg("surprise"), 6).alias("mean_bits"), F.round(F.max("surprise"), 6).alias("most_bits"))
 
 
 @query(with_(sql.STREAMS, sql.CHARS, sql.SURPRISE, sql.BASE) + f"select stream_id, n::int as n, {sql6('mean', 'mad')} from ba")
 def surprise_baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), 64))
+    found = sequence_features.surprise(st.characters(documents(spark, sf_dir), spread=True))
     return sequence_features.baselines(found).select("stream_id", "n", *r6("mean", "mad"))
 
 
@@ -123,7 +130,7 @@ def surprise_baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surprise_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = documents(spark, sf_dir)
     at = st.checkpoints(s).unionByName(st.final_positions(s.where("text <> ''"))).select("stream_id", "pos").distinct()
-    found = sequence_features.surprise(st.characters(s, 64)).persist()  # two branches read it
+    found = sequence_features.surprise(st.characters(s, spread=True)).persist()  # two branches read it
     return sequence_features.surprise_windows(found, sequence_features.baselines(found), at).select("stream_id", "pos", *r6("surprise_z", "surprise_low_frac"))
 
 
@@ -159,7 +166,8 @@ def onset_or_none() -> Column:
 
 def all_features(spark: SparkSession, sf_dir: str, deflate: bool = False) -> DataFrame:
     """By the map-only tier; the window-function tier gives the same numbers (``guard_verdicts_windows``)."""
-    return kernel_tier.features(documents(spark, sf_dir), with_deflate=deflate)
+    docs = documents(spark, sf_dir)
+    return kernel_tier.features(docs, with_deflate=deflate, partitions=few(docs))
 
 
 @query(with_(ALL) + f"select stream_id, coalesce(k, 0)::int as k, pos::int as pos, {sql6(*detectors.VECTOR)} from f")
@@ -234,7 +242,14 @@ def guard_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def guard_with_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernel_tier.guard(documents(spark, sf_dir), hashed_by="blake2b").select("stream_id", "state", "p", "onset", "released_chars", "reasons", "classes")
+    docs = documents(spark, sf_dir)
+    return kernel_tier.guard(docs, hashed_by="blake2b", partitions=few(docs)).select("stream_id", "state", "p", "onset", "released_chars", "reasons", "classes")
+
+
+@query()
+def final_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return kernel_tier.verify_final(docs, partitions=few(docs)).select("stream_id", "state", "p", "ok", "reasons")
 
 
 # ---- calibration and metrics ---------------------------------------------------------------------------------------
@@ -252,13 +267,17 @@ def clean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 c1 as (select greatest(0.55, least(0.95, hi + 1e-6)) as corrupt_at, lo from q)
 select round(corrupt_at, 6) as corrupt_at, round(greatest(0.4, least(corrupt_at - 0.05, lo)), 6) as suspect_at from c1""")
 def conformal_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fusion.calibrate(clean_scores(spark, sf_dir).cache())
+    clean = clean_scores(spark, sf_dir).persist()
+    t = fusion.calibrate(clean)
+    clean.unpersist()
     return spark.createDataFrame([(round(t.corrupt_at, 6), round(t.suspect_at, 6))], "corrupt_at double, suspect_at double")
 
 
 @query(CLEAN_P + "select min(case when i = greatest(1, least(n, ceil(0.95 * (n + 1) - 1e-9))) then p end) as tau from x")
 def abstention_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tau = factuality.abstention_threshold(clean_scores(spark, sf_dir).cache(), "p")
+    clean = clean_scores(spark, sf_dir).persist()
+    tau = factuality.abstention_threshold(clean, "p")
+    clean.unpersist()
     return spark.createDataFrame([(tau,)], "tau double")
 
 
@@ -303,30 +322,65 @@ def hash_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- synthesis and evaluation --------------------------------------------------------------------------------------
 
-@query()
+@query(sql.SYNTH)
 def synth_corruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.corruptions(documents(spark, sf_dir))
 
 
 @query()
 def stream_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = synth.benchmark(documents(spark, sf_dir))
-    return metrics.stream_evaluation(kernel_tier.guard(bench.select("stream_id", "text")), bench.select("stream_id", "label", "onset_char", "corruption_class"))
+    docs = documents(spark, sf_dir)
+    found = kernel_tier.guard(synth.benchmark(docs).select("stream_id", "text"), partitions=few(docs))
+    truth = synth.benchmark(docs, texts=False).select("stream_id", "label", "onset_char", "corruption_class")
+    return metrics.stream_evaluation(found, truth)
+
+
+def labelled_vectors(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    truth = synth.benchmark(docs, texts=False).select("stream_id", "label", "onset_char", "corruption_class")
+    rows = kernel_tier.features(synth.benchmark(docs).select("stream_id", "text"), chunk=every, hold=every, every=every, final=False, partitions=few(docs)).join(truth, "stream_id")
+    y = learning.checkpoint_labels(F.col("pos"), F.col("label"), F.col("onset_char"))
+    return rows.withColumn("y", y).where("y is not null").withColumn("example_id", F.concat_ws(":", "stream_id", F.format_string("%08d", "pos")))
 
 
 @query()
 def sgd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = synth.benchmark(documents(spark, sf_dir))
-    rows = kernel_tier.features(bench.select("stream_id", "text"), chunk=300, hold=300, every=300, final=False).join(bench.select("stream_id", "label", "onset_char"), "stream_id")
-    y = learning.checkpoint_labels(F.col("pos"), F.col("label"), F.col("onset_char"))
-    return learning.fit(rows.withColumn("y", y).where("y is not null").withColumn("example_id", F.concat_ws(":", "stream_id", F.format_string("%08d", "pos"))), label="y")
+    return learning.fit(labelled_vectors(spark, sf_dir, 300), label="y")
+
+
+@query()
+def custom_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector of drift alone, fitted and judged on streams that it has not seen."""
+    rows = labelled_vectors(spark, sf_dir, 400).where("corruption_class in ('clean', '" + synth.DRIFT + "')").drop("label").withColumnRenamed("y", "label").persist()
+    report, _ = learning.fit_detector("drift", rows, register=False)
+    rows.unpersist()
+    return spark.createDataFrame([(report.name, report.auroc, report.tpr_at_1pct_fpr, report.clean, report.corrupt, report.verdict)], "name string, auroc double, tpr_at_1pct_fpr double, clean long, corrupt long, verdict string")
+
+
+@query()
+def online_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback on documents replayed in order, one model for each language, with its rolling figures."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("lang is not null")
+    share = lambda p: F.coalesce(count_of(F.col("text"), p) / F.greatest(F.lit(1), F.length("text")), F.lit(0.0))
+    x = F.array(share("[#*$%&|<>]") * 10, share("[0-9]") * 10, share(" "), F.least(F.lit(1.0), F.coalesce(F.length("text"), F.lit(0)) / 5000))
+    feedback = docs.select(F.col("lang").alias("model"), F.col("doc_id").alias("seq"), (1 - F.col("quality")).alias("label"), x.alias("x"))
+    found = learning.learn_online(feedback, width=4)
+    return learning.rolling_metrics(found.drop("w", "b")).select("model", "seq", "label", *r6("p", "loss", "rolling_acc"), "seen", "likes", "dislikes")
+
+
+@query("""select split, corruption_class, count(*)::bigint as n, sum(length(text))::bigint as chars from
+  (select case when ('0x' || substr(md5(doc_id::varchar), 1, 7))::bigint % 1000 < 200 then 'test' else 'train' end as split, coalesce(source, 'none') as corruption_class, text from documents)
+group by cube (split, corruption_class) having split is not null or corruption_class is null""")
+def dataset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(metrics.split_by_key(F.col("doc_id")).alias("split"), F.coalesce("source", F.lit("none")).alias("corruption_class"), "text")
+    return corpus.dataset_statistics(docs)
 
 
 # ---- healing -------------------------------------------------------------------------------------------------------
 
-@query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES, sql.VERDICTS) + "select stream_id, state, (simhash >= 0.5)::boolean as semantic, case when simhash >= 0.5 then 'retry' else 'repair' end as strategy from vd join (select stream_id, simhash from fu where k is null) using (stream_id) where not aborted")
+@query(with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES, sql.VERDICTS) + "select vd.stream_id, state, (simhash >= 0.5)::boolean as semantic, case when simhash >= 0.5 then 'retry' else 'repair' end as strategy from vd join fu on fu.stream_id = vd.stream_id and fu.k is not distinct from case when aborted then checkpoints end")
 def heal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = healing.plan(protocol.verdicts(protocol.scored(all_features(spark, sf_dir))).where("not aborted"))
+    found = healing.plan(protocol.verdicts(protocol.scored(all_features(spark, sf_dir))))
     return found.select("stream_id", "state", F.array_contains("heal_classes", detectors.SEMANTIC).alias("semantic"), "strategy")
 
 
@@ -335,8 +389,6 @@ g as (select conv_id, turn, prefix, text, unnest(range(least(length(prefix), 240
 m as (select conv_id, turn, max(k) as k from g where replace(lower(substr(text, 1, k)), ' ', '') = replace(lower(right(prefix, k)), ' ', '') group by all)
 select t.conv_id, t.turn, coalesce(m.k, 0)::int as echo from t left join m using (conv_id, turn) where prefix is not null""")
 def seam_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = turns(spark, sf_dir).withColumn("prefix", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("prefix is not null")
     return t.select("conv_id", "turn", healing.echo_length(F.col("prefix"), F.col("text")).alias("echo"))
 
@@ -348,8 +400,9 @@ def loop_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trim_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corrupt = synth.corruptions(documents(spark, sf_dir)).where(F.col("corruption_class") == detectors.REPETITION)
-    return healing.trim_to_clean(corrupt)
+    docs = documents(spark, sf_dir)
+    corrupt = synth.corruptions(docs)
+    return healing.trim_to_clean(corrupt.repartition(few(docs)) if few(docs) else corrupt)
 
 
 # ---- factuality ----------------------------------------------------------------------------------------------------
@@ -362,14 +415,12 @@ n as (select conv_id, turn, {NUMS.format('text')} as a, {NUMS.format("coalesce(c
 g as (select conv_id, turn, len(a) as claims, len(list_filter(a, lambda v: len(list_filter(c, lambda s: abs(v - s) <= greatest(0.05, 0.02 * abs(s)))) > 0)) as grounded from n)
 select conv_id, turn, claims::bigint as claims, grounded::bigint as grounded, case when claims = 0 then 1.0 else round(grounded / claims, 3) end as grounding from g""")
 def context_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     t = turns(spark, sf_dir).withColumn("context", F.array_join(F.collect_list("text").over(w), " ")).where("role = 'assistant'")
     return t.withColumn("g", factuality.context_grounding(F.col("text"), F.col("context"))).select("conv_id", "turn", "g.claims", "g.grounded", "g.grounding")
 
 
-@query()
+@query(sql.CLUSTERS)
 def answer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = turns(spark, sf_dir).select(F.col("conv_id").alias("question_id"), F.col("turn").alias("n"), F.col("text").alias("answer"))
     return factuality.answer_clusters(samples)
@@ -380,8 +431,6 @@ n as (select conv_id, turn, trim(other) as other, {NUMS.format('text')} as a, {N
 select conv_id, turn, case when starts_with(upper(other), 'UNSURE') then 'unsupported' when len(a) > 0 and len(b) > 0 then case when len(list_filter(a, lambda x: len(list_filter(b, lambda y: abs(x - y) <= greatest(0.05, 0.02 * abs(y)))) > 0)) > 0 then 'supported' else 'contradicted' end
   when len(cw) > 0 and len(list_intersect(cw, iw)) / len(cw) >= 0.34 then 'supported' else 'weak' end as verdict from n""")
 def numeric_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = turns(spark, sf_dir).withColumn("other", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("other is not null")
     return t.select("conv_id", "turn", factuality.claim_verdict(F.col("text"), F.col("other")).alias("verdict"))
 
@@ -406,28 +455,65 @@ def token_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("answer_id", "pos", F.round(factuality.token_entropy(F.col("top_logprobs")), 6).alias("entropy"), F.round(factuality.token_margin(F.col("top_logprobs")), 6).alias("margin"))
 
 
-@query()
+@query(with_(TOKENS, sql.KINDS, sql.FACT_SIGNALS) + sql.FACT_EWMA)
 def fact_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factuality.fact_uncertainty(factuality.token_signals(token_stream(spark, sf_dir)))
 
 
-@query()
+@query(with_(TOKENS, sql.KINDS, sql.FACT_ROWS) + "select answer_id, pos::int as pos, token, position, kind, entropy, norm_entropy, margin, top1_prob, chosen_prob, competing_numbers, competing_entities, array_to_string(top_alts, ' ') as top_alts, (answer_id % 2 = 0 and kind = 'number')::int as label from fr")
 def fact_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factuality.fact_rows(token_stream(spark, sf_dir), F.col("answer_id") % 2 == 0)
+    return factuality.fact_rows(token_stream(spark, sf_dir), F.col("answer_id") % 2 == 0).withColumn("top_alts", F.array_join("top_alts", " "))
 
 
-@query()
-def answer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.lit(0.0).alias("corruption"), F.length("text").alias("answer_len"))
     return factuality.answer_vectors(factuality.fact_rows(token_stream(spark, sf_dir)), answers)
 
 
-@query("""with x as (select doc_id, quality, toxic, (doc_id % 10) / 10 as c, (doc_id % 7) / 7 as f, case when toxic = 1 then 0.9 end as s, case when quality = 0 then 1.0 end as v from labels),
-r as (select doc_id, (0.40 * c + 0.35 * f + coalesce(0.15 * s, 0) + coalesce(0.10 * v, 0)) / (0.75 + case when s is not null then 0.15 else 0 end + case when v is not null then 0.10 else 0 end) as risk from x)
-select doc_id, round(risk, 6) as risk, case when round(risk, 6) >= 0.5 then 'abstain' when round(risk, 6) >= 0.35 then 'hedge' else 'confident' end as decision from r""")
+@query(with_(TOKENS, sql.KINDS, sql.FACT_ROWS, sql.ANSWERS) + f"select answer_id, {sql6(*factuality.ANSWER, digits=12)} from av")
+def answer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer_features(spark, sf_dir).select("answer_id", *r6(*factuality.ANSWER, digits=12))
+
+
+#: Weights of a linear model over the features of an answer, only to show its parts.
+WEIGHTS = dict(zip(factuality.ANSWER, (0.4, 1.1, 0.7, 0.9, -0.8, -0.5, -1.2, 0.6, 1.5, 0.1), strict=True))
+
+
+@query(with_(TOKENS, sql.KINDS, sql.FACT_ROWS, sql.ANSWERS) + "select answer_id, feature, round(part, 12) as part from (" + " union all ".join(f"select answer_id, '{k}' as feature, {k} * {w}::double as part from av" for k, w in WEIGHTS.items()) + ")")
+def answer_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = learning.contributions(F.array(*WEIGHTS), F.array(*map(F.lit, WEIGHTS.values())))
+    named = F.arrays_zip(F.array(*map(F.lit, WEIGHTS)).alias("feature"), parts.alias("part"))
+    return answer_features(spark, sf_dir).select("answer_id", F.inline(named)).select("answer_id", "feature", *r6("part", digits=12))
+
+
+REPLIES = ["Yes.", "no, it is not", "UNSURE", "I can't say"]
+
+
+@query("""with v as (select conv_id as claim_id, upper(regexp_extract(['Yes.', 'no, it is not', 'UNSURE', 'I can''t say'][('0x' || substr(md5(text), 1, 7))::int % 4 + 1], '(?i)\\b(YES|NO|UNSURE)\\b', 1)) as vote from conversations where text is not null),
+c as (select claim_id, sum((vote = 'YES')::int)::bigint as yes, sum((vote = 'NO')::int)::bigint as no, sum((vote = 'UNSURE')::int)::bigint as unsure from v group by claim_id)
+select claim_id, yes, no, unsure, yes + no + unsure as n, case when yes + no + unsure < 2 then 'hedge' when no / (yes + no + unsure) >= 0.6 then 'abstain' when yes / (yes + no + unsure) >= 0.6 then 'confident' else 'hedge' end as decision, yes + no + unsure < 2 as inconclusive from c""")
+def verifier_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("int") % 4
+    votes = turns(spark, sf_dir).where("text is not null").select(F.col("conv_id").alias("claim_id"), F.element_at(F.array(*map(F.lit, REPLIES)), n + 1).alias("reply"))
+    return factuality.verifier_votes(votes)
+
+
+@query("""select template_id, lang, n_name as entity, year, replace(replace(pattern, '{entity}', n_name), '{year}', year::varchar) as question from nation,
+  (values (1, 'en', 'How many ferries ran in {entity} in {year}?'), (2, 'en', 'Name one mayor of {entity}, {year}.')) t(template_id, lang, pattern), (values (1987), (2031)) y(year)""")
+def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame([(1, "en", "How many ferries ran in {entity} in {year}?"), (2, "en", "Name one mayor of {entity}, {year}.")], "template_id int, lang string, pattern string")
+    entities = table(spark, sf_dir, "nation").select(F.lit("en").alias("lang"), F.col("n_name").alias("entity"))
+    return factuality.question_bank(templates, entities, spark.createDataFrame([(1987,), (2031,)], "year int"))
+
+
+@query(with_(ALL, sql.SCORES, SCORED_LABELS) + """, felt as (select doc_id, round(fu.p, 6) as c, x.p as f, case when toxic = 1 then 0.9 end as s, case when quality = 0 then 1.0 end as v from fu join x on doc_id = stream_id where k is null),
+risks as (select doc_id, (0.40 * c + 0.35 * f + coalesce(0.15 * s, 0) + coalesce(0.10 * v, 0)) / (0.75 + case when s is not null then 0.15 else 0 end + case when v is not null then 0.10 else 0 end) as risk from felt)
+select doc_id, round(risk, 6) as risk, case when round(risk, 6) >= 0.5 then 'abstain' when round(risk, 6) >= 0.35 then 'hedge' else 'confident' end as decision from risks""")
 def abstain_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "labels")
-    risk = F.round(factuality.abstention_risk((F.col("doc_id") % 10) / 10, (F.col("doc_id") % 7) / 7, F.when(F.col("toxic") == 1, 0.9), F.when(F.col("quality") == 0, 1.0)), 6)
+    """Risk of labelled documents: corruption as the guard's last score, facts as the share of symbols."""
+    ends = protocol.scored(all_features(spark, sf_dir)).where("k is null").select(F.col("stream_id").alias("doc_id"), F.round("p", 6).alias("c"))
+    x = scored_labels(spark, sf_dir).join(ends, "doc_id")
+    risk = F.round(factuality.abstention_risk(F.col("c"), F.col("p"), F.when(F.col("toxic") == 1, 0.9), F.when(F.col("quality") == 0, 1.0)), 6)
     return x.select("doc_id", risk.alias("risk"), factuality.abstention_decision(risk).alias("decision"))
 
 
@@ -437,35 +523,119 @@ STOP = ", ".join(f"'{w}'" for w in grounding.STOPWORDS)
 CORE = "list_filter(regexp_extract_all(lower({}), '[a-z][a-z0-9''\\-]{{5,}}'), lambda w: not list_contains([" + STOP + "], w))"
 
 
-@query(f"""with b as (select item_id, {CORE.format("string_split(text, '.')[1]")} as words from benchmark)
+@query(f"""with i as (select item_id, unnest(string_split(text, '.')) as q, generate_subscripts(string_split(text, '.'), 1) - 1 as n from benchmark), b as (select item_id::varchar || '/' || n as item_id, {CORE.format("q")} as words from i where trim(q) <> '')
 select b.item_id, count(*)::bigint as documents, sum((len(list_filter(words, lambda w: not contains(lower(d.text), w))) = 0)::int)::bigint as echoed from b, (select text from documents where text is not null) d group by b.item_id""")
 def evidence_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "\\.")[0].alias("query"))
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("text")
-    # the few items are a stated query set; documents are scanned once for each
-    return docs.join(F.broadcast(items)).groupBy("item_id").agg(F.count("*").alias("documents"), F.sum(grounding.echoed(F.col("query"), F.col("text")).cast("long")).alias("echoed"))
-
-
-@query()
+    """Each sentence of each item as a query."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\\.")).alias("n", "query")).where("trim(query) <> ''")
+    return grounding.echo_counts(items.select(F.concat_ws("/", F.col("item_id").cast("string"), F.col("n").cast("string")).alias("item_id"), "query"), table(spark, sf_dir, "documents").where("text is not null"))
+
+
+@query(f"""with p as (select page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_replace(html, '<[^>]+>', ' ', 'g') as snippet from pages),
+s as (select *, array_to_string(string_split(title, ' ')[1:3], ' ') as query from p),
+res as (select query, page_id as rank, title, snippet from s where contains(url, '?') union all select s.query, n.page_id, n.title, n.snippet from s join p n on n.page_id = s.page_id + 1 where starts_with(s.url, 'https')),
+hits as (select query, max(case when contains(url, '#') then 7 else 2 end) as wiki_hits from s where contains(url, '#') or contains(url, 'blog') group by query),
+q as (select distinct query, list_distinct({CORE.format("query")}) as words from s),
+told as (select q.query, w, max(contains(lower(concat_ws(' ', nullif(title, ''), nullif(snippet, ''))), w)::int) as told from (select query, unnest(words) as w from q) q join res using (query) group by all),
+echo as (select q.query, min(coalesce(told, 0)) as echo from (select query, unnest(words) as w from q) q left join told on told.query = q.query and told.w = q.w group by q.query),
+n as (select query, count(*) as n, string_agg(nullif(concat_ws(' — ', nullif(title, ''), nullif(snippet, '')), ''), chr(10) order by rank, title, snippet) as evidence from res group by query),
+g as (select q.query, coalesce(n, 0) as n, coalesce(wiki_hits, 0) as wiki_hits, coalesce(echo, 1) = 1 as echo, coalesce(evidence, '') as evidence from q left join n using (query) left join hits using (query) left join echo using (query))
+select query, case when n = 0 and wiki_hits = 0 then 'no_record' when (n >= 2 or wiki_hits >= 5) and echo then 'attested' else 'thin' end as verdict,
+  case when n = 0 and wiki_hits = 0 then 'no record' when (n >= 2 or wiki_hits >= 5) and echo then 'attested by results' when n > 0 and not echo then 'results do not name the subject' else 'single weak signal' end as reason,
+  n::bigint as hits, wiki_hits::int as wiki_hits, case when n > 0 and wiki_hits > 0 then 'web+wiki' when n > 0 then 'web' when wiki_hits > 0 then 'wiki' else 'none' end as source, md5(evidence) as evidence from g""")
 def grounding_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    """Subjects of pages against made-up result lists: whole pages, the subject's own only if its url has a query."""
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    subject = F.array_join(F.slice(F.split(title, " "), 1, 3), " ")
-    results = pages.select(subject.alias("query"), F.col("page_id").alias("rank"), title.alias("title"), F.substring(F.regexp_replace("html", "<[^>]+>", " "), 1, 200).alias("snippet"))
-    hits = pages.groupBy(subject.alias("query")).agg((F.count("*") * 2).alias("hits"), F.min(title).alias("title"))
-    return grounding.ground(pages.select(subject.alias("query")), results, hits)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), F.regexp_replace("html", "<[^>]+>", " ").alias("snippet"))
+    asked = pages.select("page_id", "url", F.array_join(F.slice(F.split("title", " "), 1, 3), " ").alias("query"))
+    own = asked.where(F.contains("url", F.lit("?"))).select("query", F.col("page_id").alias("rank"))
+    following = asked.where(F.startswith("url", F.lit("https"))).select("query", (F.col("page_id") + 1).alias("rank"))
+    results = own.union(following).join(pages.select(F.col("page_id").alias("rank"), "title", "snippet"), "rank").select("query", "rank", "title", "snippet")
+    anchored = F.contains("url", F.lit("#"))
+    hits = asked.where(anchored | F.contains("url", F.lit("blog"))).select("query", F.when(anchored, 7).otherwise(2).alias("hits"), F.lit("").alias("title"))
+    return grounding.ground(asked, results, hits).select("query", "verdict", "reason", F.col("hits").cast("long").alias("hits"), "wiki_hits", "source", F.md5(F.array_join("evidence", "\n")).alias("evidence"))
 
 
-@query()
-def month_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.inline(grounding.month_years(F.col("html"))))
+#: Orders as sentences with two months, of which the second has no year near it.
+ORDER_TEXT = "'Ordered on ' || {} || ', then it was packed, checked and sent off again in ' || {} || ' by road'"
 
 
-@query()
+@query("with t as (select o_orderkey, " + ORDER_TEXT.format("strftime(o_orderdate, '%-d %B %Y')", "strftime(o_orderdate + interval 60 day, '%B')") + """ as text, o_orderdate as a, o_orderdate + interval 60 day as b from orders)
+select distinct o_orderkey, lower(strftime(a, '%B')) as month, strftime(a, '%Y') as year from t union select o_orderkey, lower(strftime(b, '%B')), '?' from t""")
+def month_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = F.date_format(F.col("o_orderdate") + F.expr("interval 60 day"), "MMMM")
+    text = F.concat(F.lit("Ordered on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(", then it was packed, checked and sent off again in "), later, F.lit(" by road"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(grounding.month_years(text)))
+
+
+@query("""with c as (select o_orderkey, strftime(o_orderdate, '%m') as m, strftime(o_orderdate, '%Y') as y, o_orderpriority from orders),
+e as (select l_orderkey as o_orderkey, count(*) as n, list(distinct strftime(l_shipdate, '%m%Y')) as d from lineitem group by 1),
+x as (select c.*, coalesce(n, 0) as n, case when n is not null then list_contains(d, m || y) end as agree, case when starts_with(o_orderpriority, '1') then 9 else 0 end as wiki from c left join e using (o_orderkey))
+select o_orderkey, case when n = 0 and wiki = 0 then 'abstain' when agree then 'confident' when n > 0 then 'abstain' when n >= 2 or wiki >= 5 then 'confident' else 'hedge' end as decision,
+  case when n = 0 and wiki = 0 then 'no record' when agree then 'date matches the evidence' when n > 0 then 'date contradicts the evidence' when n >= 2 or wiki >= 5 then 'attested' else 'thin evidence' end as reason from x""")
+def date_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that an order left in the month that it came in, against the dates of its shipments."""
+    said = F.concat(F.lit("A part left on "), F.date_format("l_shipdate", "d MMMM yyyy"), F.lit(" from the quay"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(said).alias("evidence"))  # an order has few lines
+    claim = F.concat(F.lit("It left in "), F.date_format("o_orderdate", "MMMM yyyy"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", claim.alias("answer"), F.when(F.startswith("o_orderpriority", F.lit("1")), 9).otherwise(0).alias("wiki_hits"))
+    answers = orders.join(shipped, "o_orderkey", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    return grounding.date_check(answers).select("o_orderkey", "decision", "reason")
+
+
+@query(f"""with w as (select conv_id, turn, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9''\\-]+'), lambda w: not list_contains([{', '.join(f"'{w}'" for w in grounding.QUESTION_WORDS)}], lower(w)))[1:6] as w from conversations where role = 'user')
+select conv_id, turn, coalesce(array_to_string(w, ' '), '') as query from w""")
 def subject_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", grounding.subject_query(F.col("text"), F.lit("")).alias("query"))
 
 
+# ---- landed events and sessions --------------------------------------------------------------------------------------
+
+def event_lines(words: DataFrame, event: Column) -> DataFrame:
+    """stream_id, seq, line: events of each turn, a comment, the end mark, and one event too late."""
+    data = words.select("stream_id", "seq", F.concat(F.lit("data: "), F.to_json(event)).alias("line"))
+    last = words.groupBy("stream_id").agg(F.max("seq").alias("seq"))
+    tail = last.select("stream_id", F.posexplode(F.array(*map(F.lit, (": ping", "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}')))).alias("i", "line"), F.col("seq").alias("s"))
+    return data.union(tail.select("stream_id", F.col("s") + F.col("i") + 1, "line"))
+
+
+@query("select conv_id * 1000 + turn as stream_id, seq::int as seq, word as chunk from (select conv_id, turn, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) - 1 as seq from conversations) where word <> ''")
+def sse_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.posexplode(F.split("text", " ")).alias("seq", "word"))
+    return sse.deltas(event_lines(words, F.struct(F.array(F.struct(F.struct(F.col("word").alias("content")).alias("delta"))).alias("choices"))))
+
+
+@query(with_(TOKENS) + "select answer_id, pos::int as pos, 'content' as phase, token, round(lp[1], 4) + 0.0::double as logprob, 3 as alternatives from te where token not in (" + ", ".join(sql.quoted(t) for t in sse.TEMPLATE_TOKENS) + ")")
+def sse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = token_stream(spark, sf_dir).select(F.col("answer_id").alias("stream_id"), F.col("pos").alias("seq"), "token", "logprob", "top_logprobs")
+    event = F.struct(F.array(F.struct(F.struct(F.lit(None).cast("string").alias("reasoning_content"), F.col("token").alias("content")).alias("delta"), F.struct(F.array(F.struct("token", "logprob", "top_logprobs")).alias("content")).alias("logprobs"))).alias("choices"))
+    found = sse.tokens(event_lines(t, event))
+    return found.select("answer_id", F.col("pos").cast("int").alias("pos"), "phase", "token", (F.round("logprob", 4) + 0.0).alias("logprob"), F.size("top_logprobs").alias("alternatives"))
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as guard sessions: a frame for each turn, the user's turns held back."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    frames = turns(spark, sf_dir).select(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 12).alias("session_id"), "conv_id", (F.col("turn") * 1000).alias("t"), F.sum(F.length("text")).over(w).alias("chars"), F.lit(0.25).alias("p"), F.lit("clean").alias("state"), F.when(F.col("role") != "user", F.col("text")).alias("released"))
+    ended = frames.groupBy("session_id").agg((F.max("conv_id") + 1_700_000_000).alias("created_at"), F.lit("replay").alias("mode"), F.lit("clean").alias("state"), F.max("p").alias("p"))
+    return sessions.record(frames.drop("conv_id"), ended)
+
+
+SESSIONS = """s as (select conv_id, substr(md5(conv_id::varchar), 1, 12) as session_id, turn * 1000 as t, sum(length(text)) over (partition by conv_id order by turn) as chars, case when role <> 'user' then text end as released from conversations)"""
+
+
+@query(with_(SESSIONS) + """select session_id, max(conv_id) + 1700000000 as created_at, max(chars)::bigint as chars, sum(length(coalesce(released, '')))::bigint as released_chars, (max(chars) - sum(length(coalesce(released, ''))))::bigint as blocked_chars
+from s group by session_id order by created_at desc, session_id limit 50""")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest sessions, as the list shows them."""
+    return sessions.newest(recorded(spark, sf_dir)).select("session_id", "created_at", "chars", "released_chars", "blocked_chars")
+
+
+@query(with_(SESSIONS) + "select session_id, t, chars::bigint as chars, t / 4.0 as emit_ms from s")
+def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.replay(recorded(spark, sf_dir), 4.0).select("session_id", "t", "chars", "emit_ms")
+
+
 # ---- events --------------------------------------------------------------------------------------------------------
 
 @query(f"""with e as (select user_id, list({{'mean': value::double, 'mad': 0.0::double}} order by ts, event_id) as l, count(*) as n from events where value is not null group by user_id),
@@ -482,8 +652,6 @@ h1 as (select *, x - avg(x) over (partition by user_id order by k) - 0.02 as d f
 h3 as (select *, cum - least(0.0, min(cum) over (partition by user_id order by k)) as ph from h2)
 select event_id, round(ph, 10) as ph, ph > 0.35 and k > 3 and sum((ph > 0.35 and k > 3)::int) over (partition by user_id order by k) = 1 as alarm from h3""")
 def value_changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").where("value is not null").withColumns({"k": F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "x": F.col("value") / 100})
     return protocol.page_hinkley(e, "x", "user_id").select("event_id", F.round("ph", 10).alias("ph"), "alarm")
 

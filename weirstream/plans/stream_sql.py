@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from weirstream.functions.text import ARTEFACTS, DIGITS, EXPECTED, LETTERS, RUN_EXCLUDED, SCRIPTS, SPACES, SYMBOLS, WORD, foreign
+from weirstream.operators import synth
+from weirstream.operators.factuality import OPENERS
 from weirstream.operators.sequence_features import ALPHA, BASELINE, FINGERPRINT_WORDS, LEAST_ALPHABET, LEAST_WORDS, LONGEST_RUN, MOST_SHINGLES, RECENT, SHINGLE, SMOOTHING, STRIDE, WEIGHTS
 
 Q = "'"
@@ -116,3 +118,80 @@ v as (select e.stream_id, e.n_chars, coalesce(la.state = 'corrupt', false) as ab
   case when la.state = 'corrupt' then 'corrupt' when e.p >= 0.7 then 'corrupt' when e.p >= 0.5 then 'suspect' else 'clean' end as state from (select * from fu where k is null) e left join la using (stream_id)),
 vd as materialized (select stream_id, n_chars, state, case when aborted then cp else fp end as p, (case when aborted then conset when state = 'corrupt' then coalesce(alarm_at, cpos) end)::bigint as onset, coalesce(checkpoints, 0)::bigint as checkpoints,
   (case when aborted then cpos else n_chars end)::bigint as read_chars, (case when aborted and checkpoints = 1 then 0 when aborted then cpos - 40 when checkpoints is null and fp >= 0.7 then 0 else n_chars end)::bigint as released_chars, aborted from v)"""
+
+
+def listed(words) -> str:
+    return "[" + ", ".join(quoted(w) for w in words) + "]"
+
+
+CAPITAL = r"^[^\p{L}\p{N}_]*[A-ZÀ-Þ][a-zà-þ]{2,}\n?$"
+BARE = "lower(regexp_replace({}, '[^A-Za-zÀ-þ]', '', 'g'))"
+NUMERIC = r"^[^\p{L}\p{N}_]*-?\p{Nd}"
+UNIT = r"%|pp([^\p{L}\p{N}_]|$)|bp([^\p{L}\p{N}_]|$)|\$|€|₼|percent|faiz"
+
+
+def kind(opens: str) -> str:
+    named = f"regexp_matches(token, {quoted(CAPITAL)}) and not list_contains({listed(OPENERS)}, {BARE.format('token')}) and not {opens}"
+    return rf"case when trim(regexp_replace(token, '\s', ' ', 'g')) = '' then '' when regexp_matches(token, {quoted(NUMERIC)}) or regexp_matches(token, {quoted(UNIT)}) then 'number' when {named} then 'entity' else '' end"
+
+
+def rivals(stop: bool) -> str:
+    """Distinct numbers and entities among the likely alternatives ``near``."""
+    more = f" and not list_contains({listed(OPENERS)}, {BARE.format('a')})" if stop else ""
+    return (
+        "len(list_distinct(list_filter(list_transform(near, lambda a: replace(regexp_extract(a, '-?[0-9]+(?:[.,][0-9]+)?', 0), ',', '.')), lambda n: n <> '')))::bigint as numbers, "
+        + f"len(list_distinct(list_transform(list_filter(near, lambda a: regexp_matches(a, {quoted(CAPITAL)}){more}), lambda a: {BARE.format('a')})))::bigint as entities"
+    )
+
+
+#: Tokens with entropy, margin and their likely alternatives.
+KINDS = rf"""solid as (select *, trim(regexp_replace(token, '\s', ' ', 'g')) as solid from te),
+ends as (select *, case when solid <> '' then right(solid, 1) in ('.', '!', '?', ':') or ends_with(token, chr(10)) end as ends from solid),
+ki as materialized (select answer_id, pos, token, lp, ps, coalesce(last_value(ends ignore nulls) over (partition by answer_id order by pos rows between unbounded preceding and 1 preceding), true) as opens,
+  -list_sum(list_transform(ps, lambda p: p / z * ln(p / z + 1e-12))) as entropy, sl[1] - sl[2] as margin,
+  list_transform(list_filter([{{'t': token, 'p': ps[1]}}, {{'t': '7' || token, 'p': ps[2]}}, {{'t': reverse(token), 'p': ps[3]}}], lambda x: x.p >= 0.03), lambda x: x.t) as near from ends)"""
+FACT_SIGNALS = f"""sg as (select *, {kind('opens')} as kind, {rivals(True)} from ki),
+fl as (select *, coalesce(case when kind = 'number' then numbers >= 2 when kind = 'entity' then entities >= 2 end, false) and (entropy >= 1.2 or margin <= 0.6) as flagged from sg),
+rs as (select *, case when flagged then least(1.0, greatest(0.0, least(entropy / 2.4, 1.0), case when margin < 0.6 then least(0.6 / (margin + 1e-6) - 1, 1.0) else 0.0 end)) else 0.0 end::double as risk from fl)"""
+FACT_EWMA = """, fa as (select answer_id, list_reduce(list(risk order by pos), lambda s, x: 0.7::double * s + 0.3::double * x, 0.0::double) as moving, max(risk) as peak, count(*) as facts, sum(flagged::int) as flags from rs where kind <> '' group by answer_id)
+select a.answer_id, coalesce(round(moving, 3), 0) as fact_uncertainty, coalesce(round(peak, 3), 0) as peak_fact_risk, coalesce(facts, 0)::bigint as fact_tokens, coalesce(flags, 0)::bigint as flagged_fact_tokens, coalesce(round(flags / facts, 3), 0) as flag_rate
+from (select distinct answer_id from te) a left join fa using (answer_id)"""
+FACT_ROWS = f"""nn as (select *, count(*) over (partition by answer_id) as n, {kind('false')} as kind, {rivals(False)} from ki),
+fr as materialized (select answer_id, pos, token, round(pos / n, 3) as position, kind, round(entropy, 4) as entropy, round(entropy / ln(3.0::double), 4) as norm_entropy, round(margin, 4) as margin, round(list_max(ps), 4) as top1_prob,
+  round(ps[1], 4) as chosen_prob, numbers as competing_numbers, entities as competing_entities, near[1:5] as top_alts from nn where kind <> '')"""
+ANSWERS = """ag as (select answer_id, least(count(*), 30) / 30 as n_fact, avg(norm_entropy) as mean_entropy, max(norm_entropy) as max_entropy, avg((norm_entropy > 0.15)::int::double) as high_ent_frac, avg(least(margin, 5.0::double) / 5) as mean_margin,
+  min(least(margin, 5.0::double) / 5) as min_margin, avg(top1_prob) as mean_top1, avg(least(competing_numbers + competing_entities, 4) / 4) as competing from fr group by answer_id),
+av as materialized (select c.conv_id * 1000 + c.turn as answer_id, coalesce(n_fact, 0.0) as n_fact, coalesce(mean_entropy, 0.0) as mean_entropy, coalesce(max_entropy, 0.0) as max_entropy, coalesce(high_ent_frac, 0.0) as high_ent_frac,
+  coalesce(mean_margin, 1.0) as mean_margin, coalesce(min_margin, 1.0) as min_margin, coalesce(mean_top1, 1.0) as mean_top1, coalesce(competing, 0.0) as competing, 0.0::double as corruption, least(length(c.text), 800) / 800 as answer_len
+  from conversations c left join ag on ag.answer_id = c.conv_id * 1000 + c.turn)"""
+
+_similar = "(case when len(list_distinct(list_concat(x.key, c.key))) = 0 then 1.0 else len(list_intersect(x.key, c.key)) / len(list_distinct(list_concat(x.key, c.key))) end) >= 0.5"
+_first = f"coalesce(list_position(list_transform(a.cl, lambda c: {_similar}), true), 0)"
+CLUSTERS = f"""with k as (select conv_id as question_id, turn, list_distinct(list_concat(list_transform(regexp_extract_all(coalesce(text, ''), '-?[0-9]+(?:[.,][0-9]+)?'), lambda n: replace(n, ',', '.')),
+  list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-zà-þ0-9]+'), lambda w: length(w) > 3))) as key from conversations),
+l as (select question_id, list({{'key': key, 'cl': []::struct(key varchar[], size int)[]}} order by turn) as l from k group by question_id),
+r as (select question_id, len(l) as n, list_transform(list_reduce(l, lambda a, x: {{'key': x.key, 'cl': case when {_first} > 0 then list_transform(a.cl, lambda c, i: {{'key': c.key, 'size': (c.size + case when i = {_first} then 1 else 0 end)::int}})
+  else list_concat(a.cl, [{{'key': x.key, 'size': 1::int}}]) end}}, {{'key': []::varchar[], 'cl': []::struct(key varchar[], size int)[]}}).cl, lambda c: c.size) as c from l),
+h as (select *, -list_sum(list_transform(c, lambda s: s / n * ln(s / n + 1e-12))) as h from r)
+select question_id, round(h, 3) as semantic_entropy, round(h / case when n > 1 then ln(n) else 1.0 end, 3) as normalized, len(c)::bigint as n_clusters, n::bigint as n_samples, round(list_max(c) / n, 3) as agreement from h"""
+
+
+def draw(key: str, salt: str, parts: int) -> str:
+    return f"(('0x' || substr(md5({key} || ':{salt}'), 1, 7))::int % {parts})"
+
+
+def among(options, n: str) -> str:
+    return f"{listed(options)}[{n} + 1]"
+
+
+_cell = f"case when {draw('key || (i * 100 + j)::varchar', 'cell', 10)} < 4 then printf('%.2f', {draw('key || (i * 100 + j)::varchar', 'value', 600)} / 100 - 3) else '0.00' end"
+SYNTH = f"""with k as (select doc_id, text, length(text) as n, cls, doc_id::varchar || '/' || cls || '/0' as key from documents, (select unnest({listed(synth.CLASSES)}) as cls) where length(text) >= {synth.LEAST_CLEAN}),
+o as (select *, floor(n * (0.7::double * {draw('key', 'onset', 10_000)} / 10000))::int as onset from k),
+w as (select *, greatest({synth.LEAST_TAIL}, n - onset) as size, list_filter(regexp_split_to_array(substr(text, 1, greatest(onset, 200)), '[ \t\n\r]+'), lambda w: length(w) > 3) as words from o),
+p as (select *, {draw('key', 'words', 1_000)} % greatest(len(words) - 3, 1) as start from w),
+u as (select *, case cls when {quoted(synth.REPETITION)} then (case when len(words) >= 4 then array_to_string(words[start + 1:start + 4], ' ') else 'over and over again' end) || {among(synth.SEPARATORS, draw('key', 'separator', len(synth.SEPARATORS)))}
+  when {quoted(synth.DRIFT)} then case when {draw('key', 'script', 10)} < 6 then {quoted(synth.HAN * 3)} else {quoted(synth.ARAB * 3)} end
+  when {quoted(synth.REGURGITATION)} then case when {draw('key', 'page', 10)} < 6 then {quoted(synth.README)} else {quoted(synth.NEWS)} end
+  else case when {draw('key', 'kind', 2)} = 0 then '#REF! ' || array_to_string(list_transform(range(1, 13), lambda i: {among(synth.LABELS, f'(i - 1) % {len(synth.LABELS)}')} || ' ' || array_to_string(list_transform(range(1, 16), lambda j: {_cell}), ' ') || ' '), '')
+  else array_to_string(list_transform(range(1, 41), lambda i: {among(synth.SOUP, draw('key || i::varchar', 'soup', len(synth.SOUP)))}), '') end end as unit from p)
+select key as stream_id, doc_id as source_id, substr(text, 1, onset) || substr(repeat(unit, (size // greatest(length(unit), 1) + 1)::int), 1, size) as text, 1 as label, onset as onset_char, cls as corruption_class from u"""
