@@ -38,11 +38,14 @@ class StreamState:
             if len(self.text) >= 120:
                 self.deflated = len(self.text)
 
+    def mark(self) -> tuple[int, int | None, int | None]:
+        """What the features of the text so far depend on: its length, and where things were renewed."""
+        return len(self.text), self.deflated if self.deflated >= 0 else None, self.frozen if 0 <= self.frozen < len(self.text) else None
+
     def vector(self) -> dict[str, float]:
         from weirstream.functions.stream_kernel import TextFeatures
 
-        frozen = self.frozen if 0 <= self.frozen < len(self.text) else None
-        return TextFeatures(self.text).at(len(self.text), self.deflated if self.deflated >= 0 else None, frozen)
+        return TextFeatures(self.text).at(*self.mark())
 
     def fused(self) -> tuple[float, dict[str, float]]:
         from weirstream.functions.stream_kernel import fused_probability
@@ -52,7 +55,11 @@ class StreamState:
 
 
 class Checkpoints(StatefulProcessor):
-    """Chunks (seq from 1, the last one marked) to features at checkpoints and at the end (k null)."""
+    """Chunks (seq from 1, the last one marked) to features at checkpoints and at the end (k null).
+
+    State is the text so far. The checkpoints that a micro-batch reaches are scored in one pass over it, so work grows
+    with micro-batches, not with checkpoints.
+    """
 
     def __init__(self, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None):
         self.hold, self.every, self.idle_ms = hold, every, idle_ms
@@ -79,16 +86,21 @@ class Checkpoints(StatefulProcessor):
                 pos = len(text.text)
                 if chunk and pos >= due:
                     k, due = k + 1, pos + self.every
-                    out.append({"k": k, "pos": pos} | text.vector())
+                    out.append((k, text.mark()))
                     if text.frozen < 0:
                         text.frozen = pos
                 if last:
                     ended = True
                     if pos:
-                        out.append({"k": None, "pos": pos} | text.vector())
+                        out.append((None, text.mark()))
             # an ended stream keeps only the mark that it ended
             self.state.update(("" if ended else text.text, text.since_deflate, text.deflated, text.frozen, next_seq, k, due, ended))
         columns = ["k", "pos", *detectors.VECTOR]
+        if out:
+            from weirstream.functions.stream_kernel import TextFeatures
+
+            features = TextFeatures(text.text)
+            out = [{"k": k, "pos": mark[0]} | features.at(*mark) for k, mark in out]
         frame = pd.DataFrame(out, columns=columns)
         frame.insert(0, "stream_id", [key[0]] * len(frame))
         yield frame.astype({"k": "Int32", "pos": "int32"})
