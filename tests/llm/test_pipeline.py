@@ -23,3 +23,38 @@ def test_stages(spark):
     leaked = {i for i, t in unique.items() if any(tuple(w[s : s + 10]) in windows for w in [brute_windows(t)] for s in range(len(w) - 9))}
     assert set(clean) == set(unique) - leaked
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(clean)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, kept boolean, n_words string, accepted string, contaminated int, `items` string, component_id long, __row0 int, __c0 string, id string"
+
+
+def test_any_columns_and_rows(spark):
+    """Columns of any name come through; nulls, blanks and repeated rows have a defined end; empty tables stay empty."""
+    sf = "/root/testdata/sf0.001"
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and length(text) between 600 and 1500").limit(4).collect()]
+    texts = [(1, good[0]), (1, good[0]), (None, good[1]), (None, good[1]), (2, good[2]), (2, good[3]), (3, None), (None, ""), (4, " \n"), (None, None)]
+    rows = [(i, t, None if k % 3 == 2 else "en", None, False, "x", "y", 7, "z", -1, k, "c", "i") for k, (i, t) in enumerate(texts)]
+    docs, empty = spark.createDataFrame(rows, CLASHING), spark.createDataFrame([], CLASHING)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, sf).schema == empty.schema and not stage(spark, empty, sf).count(), name
+    nothing = {(3, None), (None, ""), (4, " \n"), (None, None)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        left = [(r.doc_id, r.text) for r in got.collect()]
+        blank = [x for x in left if x in nothing]
+        assert len(blank) == (0 if name in ("quality rules", "language ID") else 4), name
+        if name == "n-gram Jaccard join":
+            assert sorted(map(str, (x for x in left if x not in nothing))) == sorted(map(str, dict.fromkeys(texts[:6])))
+    last = corpus_pipeline.STAGES[-1][1]
+    assert not last(spark, empty, sf).count() and {r.n_tokens for r in last(spark, docs.where("text is null"), sf).collect()} == {0}
+
+
+def test_run_is_its_stages(spark):
+    """run() gives what the stages give one after the other."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, want.collect()))
