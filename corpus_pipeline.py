@@ -1,7 +1,10 @@
 """A training corpus from raw documents: quality, language, near-duplicates, benchmark passages, tokens.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and gives the documents that stay,
-with the columns that it got. The last one gives the token digest of each remaining document.
+with the columns that it got, whatever their names. The last one gives the token digest of each remaining document.
+Stages decide by row: repeated rows fare alike but in the near-duplicate stage, null ids are ids like any other, and an
+empty table stays empty. A null or empty text fails the quality rules; a stage that is given one all the same says below
+what becomes of it. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstream.llm.bpe_codec import encode_decode
-from weirstream.llm.common import persisted, table
+from weirstream.llm.common import discard, persisted, shared_folder, table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.partition_jaccard import near_duplicates
 from weirstream.llm.prefix_decontam import decontaminate
@@ -33,12 +36,15 @@ def _at(docs: DataFrame, name: str) -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a fertility band go."""
+    """Documents that fail the base rule or a fertility band go; null and empty texts fail the base rule."""
     return _kept(docs, lambda d, keep: fertility(d, text=_at(docs, "text"), keep=keep), "kept")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose two best languages are too close, go."""
+    """Documents without a letter (null and empty texts too), or whose two best languages are too close (ties too), go.
+
+    If no document has a label, nothing is learned and all go.
+    """
     dictionaries = learn_dictionaries(docs)
     return _kept(docs, lambda d, keep: identify(d, dictionaries, text=_at(docs, "text"), keep=keep), "accepted")
 
@@ -47,6 +53,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each group of near-duplicates the row with the least id stays, null ids last; of equal ids one row.
 
     Groups are made of rows, not ids: null and repeated ids neither save a copy nor cost another text of that id.
+    Null and blank texts are copies of nothing and stay.
     """
     row = next(n for n in (f"__row{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     # written, so every branch sees the same key
@@ -61,13 +68,13 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none. Without items all stay."""
     items = table(spark, sf_dir, "benchmark")
     return _kept(docs, lambda d, keep: decontaminate(d, items, text=_at(docs, "text"), keep=keep), "not contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of every document that is left."""
+    """Token count and digests of every document that is left; of a null text those of the empty one."""
     return encode_decode(docs, keep=["doc_id", "lang", "source"])
 
 
@@ -84,7 +91,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        folder = shared_folder(spark, name.replace(" ", "-"))
+        docs = persisted(stage(spark, docs, sf_dir), "documents", folder)
+        if before is not None:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
