@@ -393,9 +393,10 @@ def seam_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", healing.echo_length(F.col("prefix"), F.col("text")).alias("echo"))
 
 
-@query()
+@query(sql.LOOPS)
 def loop_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return healing.loop_trimmed(documents(spark, sf_dir))
+    """-1 stands for no loop."""
+    return healing.loop_trimmed(documents(spark, sf_dir)).withColumn("loop_onset", F.coalesce("loop_onset", F.lit(-1)))
 
 
 @query()

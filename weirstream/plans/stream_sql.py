@@ -195,3 +195,14 @@ u as (select *, case cls when {quoted(synth.REPETITION)} then (case when len(wor
   else case when {draw('key', 'kind', 2)} = 0 then '#REF! ' || array_to_string(list_transform(range(1, 13), lambda i: {among(synth.LABELS, f'(i - 1) % {len(synth.LABELS)}')} || ' ' || array_to_string(list_transform(range(1, 16), lambda j: {_cell}), ' ') || ' '), '')
   else array_to_string(list_transform(range(1, 41), lambda i: {among(synth.SOUP, draw('key || i::varchar', 'soup', len(synth.SOUP)))}), '') end end as unit from p)
 select key as stream_id, doc_id as source_id, substr(text, 1, onset) || substr(repeat(unit, (size // greatest(length(unit), 1) + 1)::int), 1, size) as text, 1 as label, onset as onset_char, cls as corruption_class from u"""
+
+#: The period at which the last 800 characters agree most with themselves, and the last long run at that period.
+LOOPS = """with t as (select doc_id as stream_id, text, length(text) as n, string_split(text, '') as c from documents),
+e as (select stream_id, n, c[-800:] as e, least(n, 800) as m from t where n >= 24),
+sh as (select stream_id, list_transform(range(8, least(240, m - 8) + 1), lambda p: list_sum(list_transform(range(1, m - p + 1), lambda i: (e[i] = e[i + p])::int)) / (m - p)) as s from e),
+pe as (select stream_id, list_position(s, list_max(s)) + 7 as p from sh where list_max(s) >= 0.85),
+eq as (select stream_id, n, p, unnest(range(0, n - p)) as i, unnest(list_transform(range(1, n - p + 1), lambda k: (c[k] = c[k + p])::int)) as same from t join pe using (stream_id)),
+ru as (select stream_id, n, p, min(i) as start from (select *, i - row_number() over (partition by stream_id order by i) as g from eq where same = 1) group by stream_id, n, p, g having count(*) >= 2 * p),
+la as (select stream_id, n, p, max(start) as start from ru group by stream_id, n, p),
+lo as (select stream_id, start, instr(substr(text, start + 1, 200), ' ') as blank from la join t using (stream_id) where la.n - p - start >= 0.6 * least(600, la.n))
+select t.stream_id, coalesce(start, -1)::bigint as loop_onset, case when start is null then text else substr(text, 1, (case when start < n and blank > 0 then start + blank else start end)::int) end as trimmed from t left join lo using (stream_id)"""
