@@ -15,37 +15,71 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentences of public licences, by identifier.
+#: Sentences of public licences and notices, by identifier; ``normal`` gives the form that is looked up.
 SENTENCES = {
-    "mit.notice": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
-    "mit.grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
-    "mit.condition": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "asis.warranty": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "apache2.notice": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0"],
-    "apache2.comply": ["you may not use this file except in compliance with the license"],
-    "apache2.copy": ["you may obtain a copy of the license at"],
-    "gpl3.notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "gpl.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl.hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "bsd.redistribute": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "bsd.endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "ccbync4.notice": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
-    "ccby4.notice": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
-    "ccbysa4.notice": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
-    "cc0.notice": ["released under cc0 1 0", "this work is dedicated to the public domain"],
-    "reserved": ["all rights reserved"],
+    "mit.notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"],
+    "mit.grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
+    "mit.condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
+    "mit.spdx": ["SPDX-License-Identifier: MIT"],
+    "asis.warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
+    "asis.liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
+    "apache2.notice": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")", "Licensed under the Apache License, Version 2.0 the License", "Released under the Apache License, Version 2.0"],
+    "apache2.comply": ["you may not use this file except in compliance with the License"],
+    "apache2.header": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"],
+    "apache2.copy": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2.basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
+    "apache2.language": ["See the License for the specific language governing permissions and limitations under the License"],
+    "apache2.spdx": ["SPDX-License-Identifier: Apache-2.0"],
+    "gpl3.notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License version 3", "Released under the GNU General Public License, version 3"],
+    "gpl.free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl2.free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "lgpl3.free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3.free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl.hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "gpl.details": ["See the GNU General Public License for more details", "See the GNU Lesser General Public License for more details", "See the GNU Affero General Public License for more details"],
+    "gpl.received": ["You should have received a copy of the GNU General Public License along with this program", "You should have received a copy of the GNU Lesser General Public License along with this library", "You should have received a copy of the GNU Affero General Public License along with this program"],
+    "gpl3.spdx": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "bsd.redistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd.source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "bsd.binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd.endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "isc.grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "mpl2.subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "mpl2.obtain": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "zlib.grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "unlicense.domain": ["This is free and unencumbered software released into the public domain"],
+    "boost.notice": ["Distributed under the Boost Software License, Version 1.0"],
+    "ccbync4.notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0"],
+    "ccby4.notice": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "ccbysa4.notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc0.notice": ["Released under CC0 1.0", "This work is dedicated to the public domain"],
+    "reserved": ["All rights reserved"],
 }
 #: Fixed values: (rule, licence, identifiers in order); earlier rules come first, and one rule of each licence holds.
 RULES = [
     ("mit-text", "MIT", ["mit.grant", "mit.condition", "asis.warranty"]),
     ("mit-grant", "MIT", ["mit.grant"]),
     ("mit-notice", "MIT", ["mit.notice"]),
-    ("apache-header", "Apache-2.0", ["apache2.notice", "apache2.comply", "apache2.copy"]),
+    ("mit-spdx", "MIT", ["mit.spdx"]),
+    ("apache-header", "Apache-2.0", ["apache2.header", "apache2.copy"]),
+    ("apache-header-lines", "Apache-2.0", ["apache2.notice", "apache2.comply", "apache2.copy"]),
+    ("apache-header-short", "Apache-2.0", ["apache2.header"]),
     ("apache-notice", "Apache-2.0", ["apache2.notice"]),
+    ("apache-spdx", "Apache-2.0", ["apache2.spdx"]),
+    ("bsd-3-full", "BSD-3-Clause", ["bsd.redistribute", "bsd.source", "bsd.binary", "bsd.endorse"]),
     ("bsd-3-text", "BSD-3-Clause", ["bsd.redistribute", "bsd.endorse"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd.redistribute"]),
+    ("agpl-header", "AGPL-3.0-or-later", ["agpl3.free", "gpl.hope"]),
+    ("lgpl-header", "LGPL-3.0-or-later", ["lgpl3.free", "gpl.hope"]),
     ("gpl-header", "GPL-3.0-or-later", ["gpl.free", "gpl.hope"]),
+    ("gpl-spdx", "GPL-3.0-or-later", ["gpl3.spdx"]),
+    ("gpl-2-header", "GPL-2.0-or-later", ["gpl2.free", "gpl.hope"]),
     ("gpl-notice", "GPL-3.0-only", ["gpl3.notice"]),
+    ("isc-text", "ISC", ["isc.grant"]),
+    ("mpl-header", "MPL-2.0", ["mpl2.subject", "mpl2.obtain"]),
+    ("zlib-text", "Zlib", ["zlib.grant"]),
+    ("unlicense-text", "Unlicense", ["unlicense.domain"]),
+    ("boost-notice", "BSL-1.0", ["boost.notice"]),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", ["ccbync4.notice"]),
     ("cc-by-sa-notice", "CC-BY-SA-4.0", ["ccbysa4.notice"]),
     ("cc-by-notice", "CC-BY-4.0", ["ccby4.notice"]),
@@ -54,6 +88,11 @@ RULES = [
 ]
 
 
+def normal(known: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Sentences as ``pieces`` leaves them: words of ASCII letters and digits in lower case, one space between."""
+    return {k: list(dict.fromkeys(" ".join(re.findall("[a-z0-9]+", s.lower())) for s in own)) for k, own in known.items()}
+
+
 def pieces(text: Column) -> Column:
     """The text, normalised, with a line for each piece between line ends and after ``.!?`` with a blank.
 
@@ -83,7 +122,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, kno
     that they become don't grow with the input.
     """
     keep = keep or ["doc_id"]
-    known, rules = known or SENTENCES, rules or RULES
+    known, rules = normal(known or SENTENCES), rules or RULES
     of = F.create_map(*[F.lit(x) for k, own in known.items() for s in own for x in (s, k)])
     all_rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for n, lic, ids in rules])
     found = docs.select(*[F.col(k) for k in keep], pieces(F.col(text)).alias("__s"))
@@ -105,16 +144,16 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, kno
 
 
 def scan_sql(known: dict[str, list[str]] | None = None, rules: list[tuple[str, str, list[str]]] | None = None) -> str:
-    """The same over ``documents`` in DuckDB's SQL, by the first reading only: sentences on one line."""
-    known, rules = known or SENTENCES, rules or RULES
+    """The same over ``documents`` in DuckDB's SQL."""
+    known, rules = normal(known or SENTENCES), rules or RULES
     keys = ", ".join(f"'{s}'" for own in known.values() for s in own)
     values = ", ".join(f"'{k}'" for k, own in known.items() for _ in own)
     listed = ", ".join(f"{{'rule': '{n}', 'license': '{lic}', 'ids': '|{'|'.join(ids)}|'}}" for n, lic, ids in rules)
+    pattern = any_of(known).replace("(?md)", "(?m)")
     return rf"""
-with cut as (
-  select doc_id, list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?][ \t]+', chr(10), 'g'),
-    '[^A-Za-z0-9\n]+', ' ', 'g')), chr(10)), lambda s: trim(s)), lambda s: s <> '') as s from documents),
-known as (select doc_id, len(s) as n, list_filter(list_transform(s, lambda x: element_at(map([{keys}], [{values}]), x)[1]), lambda i: i is not null) as ids from cut),
+with ends as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[.!?]([ \t\r]*\n)', chr(10) || chr(10) || '\1', 'g'), '[.!?][ \t]+', chr(10) || chr(10), 'g') as t from documents),
+cut as (select doc_id, trim(regexp_replace(lower(regexp_replace(t, '[^A-Za-z0-9\n]+', ' ', 'g')), ' ?\n ?', chr(10), 'g')) as s from ends),
+known as (select doc_id, len(list_filter(string_split(s, chr(10)), lambda x: x <> '')) as n, list_transform(regexp_extract_all(s, '{pattern}'), lambda x: element_at(map([{keys}], [{values}]), replace(x, chr(10), ' '))[1]) as ids from cut),
 matched as (select *, case when len(ids) > 0 then list_filter([{listed}], lambda r: contains('|' || array_to_string(ids, '|') || '|', r.ids)) else [] end as m from known),
 firsts as (select *, list_filter(m, lambda r, i: list_position(list_transform(m, lambda x: x.license), r.license) = i) as f from matched)
 select doc_id, n::bigint as n_sentences, len(ids)::bigint as n_known, coalesce(array_to_string(ids, ','), '') as sentence_ids,
