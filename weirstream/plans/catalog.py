@@ -32,14 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), "text")
+def dealt(scan: DataFrame) -> DataFrame:
+    """A table file that is read in fewer partitions than there are cores, dealt out by stream; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, "stream_id") if scan.rdd.getNumPartitions() < cores else scan  # of a bare scan: nothing runs
 
 
-def few(table: DataFrame) -> int | None:
-    """Partitions to deal a table file out to, if it is read in fewer than there are cores."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return cores if table.rdd.getNumPartitions() < cores else None  # of a bare scan: nothing runs
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), "text"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with s as (select page_id as stream_id, html as text, length(html) as n_chars from pages),\n" + ",\n".join([sql.POINTS, sql.windowed("p")]) + f"\nselect stream_id, pos::int as pos, {sql6('structural_density')} from wf")
 def structural_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("stream_id"), F.col("html").alias("text"))
+    pages = dealt(table(spark, sf_dir, "pages").select(F.col("page_id").alias("stream_id"), F.col("html").alias("text")))
     return window_features.window_features(st.checkpoints(pages)).select("stream_id", "pos", *r6("structural_density"))
 
 
@@ -166,8 +166,7 @@ def onset_or_none() -> Column:
 
 def all_features(spark: SparkSession, sf_dir: str, deflate: bool = False) -> DataFrame:
     """By the map-only tier; the window-function tier gives the same numbers (``guard_verdicts_windows``)."""
-    docs = documents(spark, sf_dir)
-    return kernel_tier.features(docs, with_deflate=deflate, partitions=few(docs))
+    return kernel_tier.features(documents(spark, sf_dir), with_deflate=deflate)
 
 
 @query(with_(ALL) + f"select stream_id, coalesce(k, 0)::int as k, pos::int as pos, {sql6(*detectors.VECTOR)} from f")
@@ -242,14 +241,12 @@ def guard_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def guard_with_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return kernel_tier.guard(docs, hashed_by="blake2b", partitions=few(docs)).select("stream_id", "state", "p", "onset", "released_chars", "reasons", "classes")
+    return kernel_tier.guard(documents(spark, sf_dir), hashed_by="blake2b").select("stream_id", "state", "p", "onset", "released_chars", "reasons", "classes")
 
 
 @query()
 def final_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return kernel_tier.verify_final(docs, partitions=few(docs)).select("stream_id", "state", "p", "ok", "reasons")
+    return kernel_tier.verify_final(documents(spark, sf_dir)).select("stream_id", "state", "p", "ok", "reasons")
 
 
 # ---- calibration and metrics ---------------------------------------------------------------------------------------
@@ -330,7 +327,7 @@ def synth_corruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = kernel_tier.guard(synth.benchmark(docs).select("stream_id", "text"), partitions=few(docs))
+    found = kernel_tier.guard(synth.benchmark(docs).select("stream_id", "text"))
     truth = synth.benchmark(docs, texts=False).select("stream_id", "label", "onset_char", "corruption_class")
     return metrics.stream_evaluation(found, truth)
 
@@ -338,7 +335,7 @@ def stream_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_vectors(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
     docs = documents(spark, sf_dir)
     truth = synth.benchmark(docs, texts=False).select("stream_id", "label", "onset_char", "corruption_class")
-    rows = kernel_tier.features(synth.benchmark(docs).select("stream_id", "text"), chunk=every, hold=every, every=every, final=False, partitions=few(docs)).join(truth, "stream_id")
+    rows = kernel_tier.features(synth.benchmark(docs).select("stream_id", "text"), chunk=every, hold=every, every=every, final=False).join(truth, "stream_id")
     y = learning.checkpoint_labels(F.col("pos"), F.col("label"), F.col("onset_char"))
     return rows.withColumn("y", y).where("y is not null").withColumn("example_id", F.concat_ws(":", "stream_id", F.format_string("%08d", "pos")))
 
@@ -401,9 +398,7 @@ def loop_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trim_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    corrupt = synth.corruptions(docs)
-    return healing.trim_to_clean(corrupt.repartition(few(docs)) if few(docs) else corrupt)
+    return healing.trim_to_clean(synth.corruptions(documents(spark, sf_dir)))
 
 
 # ---- factuality ----------------------------------------------------------------------------------------------------
