@@ -249,8 +249,8 @@ def test_auroc_by_group_and_block(spark, monkeypatch, ties, share, blocks):
     r = random.Random(blocks)
     rows = [(g, round(r.random(), d), r.randrange(2)) for g, d in (("a", 1), ("b", 6), (None, 2)) for _ in range(150)] + [("c", 0.5, 1), ("c", None, 0)]
     frame = spark.createDataFrame(rows, "g string, s double, y int")
-    found = {x.g: x for x in metrics.auroc(frame.where("g is not null"), "s", "y", ["g"], ties, one_class=0.5).collect()}
-    for g in "ab":
+    found = {x.g: x for x in metrics.auroc(frame, "s", "y", ["g"], ties, one_class=0.5).collect()}
+    for g in ("a", "b", None):
         pos, neg = ([s for h, s, y in rows if h == g and y == v] for v in (1, 0))
         want = sum(1.0 if p > q else share if p == q else 0.0 for p in pos for q in neg) / len(pos) / len(neg)
         assert abs(found[g].auroc - want) < 1e-12 and (found[g].positives, found[g].negatives) == (len(pos), len(neg))

@@ -19,15 +19,15 @@ def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None,
     by = by or []
     counted = rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
     share = {"mid": 0.5, "positive": 0.0, "negative": 1.0}[ties]
-    group = [F.lit(0).alias("__g"), *by]
-    edges = counted.groupBy(*by).agg(F.percentile_approx("__s", [k / SCORE_BLOCKS for k in range(1, SCORE_BLOCKS)]).alias("__e")).select(*group, "__e")
-    placed = counted.select(*group, "__s", "pos", "neg").join(edges, ["__g", *by]).withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("__s")))).drop("__e")
-    totals = placed.groupBy("__g", *by, "__b").agg(F.sum("neg").alias("__n"))
-    before = Window.partitionBy("__g", *by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__g", *by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__g", *by, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    group = F.struct(F.lit(0).alias("all"), *by).alias("__g")  # a key in which nulls are equal
+    edges = counted.groupBy(*by).agg(F.percentile_approx("__s", [k / SCORE_BLOCKS for k in range(1, SCORE_BLOCKS)]).alias("__e")).select(group, "__e")
+    placed = counted.select(group, *by, "__s", "pos", "neg").join(edges, "__g").withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("__s")))).drop("__e")
+    totals = placed.groupBy("__g", "__b").agg(F.sum("neg").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__g", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__g", "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("__before") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    ranked = placed.join(totals, ["__g", *by, "__b"]).withColumn("__a", F.col("pos") * (below + share * F.col("neg")))
+    ranked = placed.join(totals, ["__g", "__b"]).withColumn("__a", F.col("pos") * (below + share * F.col("neg")))
     found = ranked.groupBy(*by).agg(F.sum("__a").alias("__a"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return found.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("__a") / (F.col("p") * F.col("n"))).otherwise(F.lit(one_class)).alias("auroc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
