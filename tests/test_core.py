@@ -342,3 +342,32 @@ def test_stream_evaluation_against_a_loop(spark):
     x = found["loop"]
     assert (x.streams, x.flagged, x.early_alarms, x.rate, x.latency_median, x.onset_error_median, x.nothing_leaked, x.could_leak) == (4, 3, 1, 0.75, 330.0, 200.0, 1, 2)
     assert (found["clean"].flagged, found["clean"].read_chars) == (0, 900)
+
+
+def test_finished_text_is_one_checkpoint(spark, streams):
+    found = {x.stream_id: x for x in kernel_tier.check_finished(streams).collect()}
+    for i, text in enumerate(ODD):
+        if text:
+            n = len(text)
+            assert found[i].checkpoints == (n >= 350)
+            f = TextFeatures(text).at(n, n if n >= 200 else None, None)
+            assert abs(found[i].p - fused_probability(f)) < 1e-9 and found[i].ok == (found[i].state != "corrupt")
+
+
+def test_training_in_four_phases(spark):
+    from weirstream.plans import training
+
+    clean = spark.createDataFrame([(i, " ".join(random.Random(i).choices(PROSE.split(), k=230))) for i in range(120)], "stream_id long, text string")
+    done = training.train(clean)
+    assert len(done.weights) == len(detectors.VECTOR) and done.seen > 100 and 0.55 <= done.thresholds.corrupt_at <= 0.95 and done.thresholds.suspect_at <= done.thresholds.corrupt_at - 0.05 + 1e-9
+    report = {x.corruption_class: x for x in done.evaluation.collect()}
+    tests = {x.stream_id for x in clean.withColumn("s", metrics.split_by_key(F.col("stream_id"))).where("s = 'test'").collect()}
+    assert sum(x.streams for c, x in report.items() if c != "clean") == 4 * sum(1 for x in clean.where(metrics.bucket(F.col("stream_id"), 2) != 0).collect() if x.stream_id in tests)
+    assert report[detectors.DRIFT].rate >= 0.9
+
+
+def test_assessment(spark):
+    v = spark.createDataFrame([(1, "clean", 0.1), (2, "corrupt", 0.2), (3, "clean", 0.6), (4, "clean", 0.0)], "answer_id int, state string, p double")
+    facts = spark.createDataFrame([(1, 0.2), (2, 0.0), (3, 0.6)], "answer_id int, fact_uncertainty double")
+    found = {x.answer_id: (round(x.risk, 6), x.decision) for x in factuality.assess(v, facts).collect()}
+    assert found == {1: (round((0.04 + 0.07) / 0.75, 6), "confident"), 2: (round(0.08 / 0.75, 6), "abstain"), 3: (0.6, "abstain"), 4: (0.0, "confident")}

@@ -184,6 +184,15 @@ def abstention_risk(corruption: Column, fact: Column, semantic: Column, verify_f
     return total / sum((F.when(c.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for w, c in parts), F.lit(0.0))
 
 
+def assess(verdicts: DataFrame, facts: DataFrame, tau: float = 0.5, band: float = 0.15) -> DataFrame:
+    """answer_id, state, corruption, fact_uncertainty, risk and decision: the guard's verdict of an answer's text joined
+    with the uncertainty of its facts. verdicts: answer_id, state, p; facts: as ``fact_uncertainty`` gives them."""
+    both = verdicts.select("answer_id", "state", F.col("p").alias("corruption")).join(facts.select("answer_id", "fact_uncertainty"), "answer_id", "left")
+    none = F.lit(None).cast("double")
+    risk = abstention_risk(F.col("corruption"), F.col("fact_uncertainty"), none, none)
+    return both.withColumn("risk", risk).withColumn("decision", F.when(F.col("state") == "corrupt", "abstain").otherwise(abstention_decision(F.col("risk"), tau, band)))
+
+
 def abstention_decision(risk: Column, tau: float = 0.5, band: float = 0.15) -> Column:
     return F.when(risk >= tau, "abstain").when(risk >= tau - band, "hedge").otherwise("confident")
 

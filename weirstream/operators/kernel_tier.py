@@ -12,6 +12,9 @@ from weirstream.operators.fusion import Thresholds
 from weirstream.operators.protocol import DEFLATE_EVERY, scored, verdicts
 from weirstream.operators.streams import CHUNK, EVERY, HOLD, checkpoint_positions
 
+#: A chunk longer than any text: all of it comes at once.
+WHOLE = 1 << 30
+
 
 def deflate_position(pos: int, length: int, chunk: int) -> int | None:
     """The latest chunk end at which the deflate ratio was due."""
@@ -60,3 +63,8 @@ def verify_final(streams: DataFrame, chunk: int = 256, thresholds: Thresholds =
     """The check of a finished text, read in larger chunks: the verdict columns of ``guard`` and ok (not corrupt)."""
     found = guard(streams, chunk, thresholds, hashed_by, partitions)
     return found.withColumn("ok", F.col("state") != "corrupt")
+
+
+def check_finished(streams: DataFrame, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
+    """The check of a text that is given at once: one checkpoint at its end if it is long enough, and the end itself."""
+    return verify_final(streams, WHOLE, thresholds, hashed_by, partitions)

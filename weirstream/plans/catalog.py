@@ -12,6 +12,7 @@ from weirstream.functions.text import char_class, count_of
 from weirstream.operators import detectors, factuality, fusion, grounding, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth, window_features
 from weirstream.operators import streams as st
 from weirstream.plans import stream_sql as sql
+from weirstream.plans import training
 from weirstream.sources import corpus, sessions, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,6 +250,11 @@ def final_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_tier.verify_final(documents(spark, sf_dir)).select("stream_id", "state", "p", "ok", "reasons")
 
 
+@query()
+def finished_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_tier.check_finished(documents(spark, sf_dir)).select("stream_id", "state", "p", "ok", "checkpoints")
+
+
 # ---- calibration and metrics ---------------------------------------------------------------------------------------
 
 CLEAN_P = with_(ALL, sql.SCORES) + ", x as (select round(p, 6) as p, row_number() over (order by round(p, 6)) as i, count(*) over () as n from fu join labels on doc_id = stream_id where k is null and quality = 1)".replace(", x", ",\nx", 1)
@@ -354,6 +360,12 @@ def custom_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(report.name, report.auroc, report.tpr_at_1pct_fpr, report.clean, report.corrupt, report.verdict)], "name string, auroc double, tpr_at_1pct_fpr double, clean long, corrupt long, verdict string")
 
 
+@query()
+def live_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = training.train(documents(spark, sf_dir))
+    return done.evaluation.withColumns({"corrupt_at": F.lit(done.thresholds.corrupt_at), "suspect_at": F.lit(done.thresholds.suspect_at), "examples_seen": F.lit(done.seen)})
+
+
 @query()
 def online_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback on documents replayed in order, one model for each language, with its rolling figures."""
@@ -471,6 +483,13 @@ def answer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_features(spark, sf_dir).select("answer_id", *r6(*factuality.ANSWER, digits=12))
 
 
+@query()
+def answer_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "text")
+    verdicts = kernel_tier.guard(dealt(texts)).withColumnRenamed("stream_id", "answer_id")
+    return factuality.assess(verdicts, factuality.fact_uncertainty(factuality.token_signals(token_stream(spark, sf_dir))))
+
+
 #: Weights of a linear model over the features of an answer, only to show its parts.
 WEIGHTS = dict(zip(factuality.ANSWER, (0.4, 1.1, 0.7, 0.9, -0.8, -0.5, -1.2, 0.6, 1.5, 0.1), strict=True))
 
