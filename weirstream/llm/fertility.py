@@ -169,12 +169,12 @@ def token_entropy(token: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray
 
 
 def token_counts(words: list[str], encoding) -> list[int]:
-    """Tokens of each word. Words are encoded as lines of one text; those with blanks of any kind, by themselves."""
-    plain = [w for w in words if w.split() == [w]]
-    ids = np.array(encoding.encode_ordinary("\n".join(plain)), np.int64)
+    """Tokens of each word. Words are encoded as lines of one text; if blanks in them touch line ends, one by one."""
+    ids = np.array(encoding.encode_ordinary("\n".join(words)), np.int64)
     ends = np.append(np.flatnonzero(ids == encoding.encode_single_token("\n")), len(ids))
-    known = dict(zip(plain, np.diff(ends, prepend=-1) - 1, strict=True)) if plain else {}
-    return [int(known[w]) if w in known else len(encoding.encode_ordinary(w)) for w in words]
+    if len(ends) != len(words):
+        return [len(encoding.encode_ordinary(w)) for w in words]
+    return (np.diff(ends, prepend=-1) - 1).tolist()
 
 
 def measure(texts: list[str | None], processor, is_byte: np.ndarray, cache: dict, encoding) -> dict[str, np.ndarray]:

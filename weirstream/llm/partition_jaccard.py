@@ -40,6 +40,7 @@ of their own. Every pair left out is linked already or provably below t.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -355,7 +356,7 @@ def renamed_classes(classes: DataFrame) -> dict[tuple[int, int], int]:
 
 
 def index(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], renamed: dict, seed: int) -> DataFrame:
-    """key, part, sid (the class), tag (slack and band) for all documents; a task leaves out classes that it has just indexed.
+    """key, sid (the class), tag (slack and band), part for all documents; a task leaves out classes that it has just indexed.
 
     part: 0, or for contents expected in very many texts one of several groups, by class.
     """
@@ -387,11 +388,11 @@ def index(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], r
                         sids.append(np.full(len(k), sid, np.int64))
                         tags.append(np.full(len(k), slack << 4 | band, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "part": pa.array(np.concatenate(parts)), "sid": pa.array(np.concatenate(sids)), "tag": pa.array(np.concatenate(tags))})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "sid": pa.array(np.concatenate(sids)), "tag": pa.array(np.concatenate(tags)), "part": pa.array(np.concatenate(parts))})
                 if short:
-                    yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(short), pa.int64()), "part": pa.nulls(len(short), pa.int32()), "sid": pa.array(short, pa.int64()), "tag": pa.nulls(len(short), pa.int32())})
+                    yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(short), pa.int64()), "sid": pa.array(short, pa.int64()), "tag": pa.nulls(len(short), pa.int32()), "part": pa.nulls(len(short), pa.int32())})
 
-    return docs.select(text).mapInArrow(run, "key long, part int, sid long, tag int")
+    return docs.select(text).mapInArrow(run, "key long, sid long, tag int, part int")  # alike columns last: rows shuffle smaller
 
 
 def shared_contents(indexed: DataFrame, folder: str) -> DataFrame | None:
@@ -401,7 +402,7 @@ def shared_contents(indexed: DataFrame, folder: str) -> DataFrame | None:
     """
     group = Window.partitionBy("key", "part")
     met = indexed.withColumns({"first": F.min("sid").over(group), "last": F.max("sid").over(group), "n": F.count("*").over(group)})
-    common = persisted(met.where("first < last or part > 0 or key is null").select("key", "part", "sid", "tag", "n").distinct(), "common", folder)
+    common = persisted(met.where("first < last or part > 0 or key is null").select("key", "sid", "tag", "n", "part").distinct(), "common", folder)
     if common.where("key is null").limit(1).count():
         return None
     hot = common.where("part > 0")
@@ -524,13 +525,15 @@ def family_links(families: DataFrame, docs: DataFrame, shared, folder: str) -> D
     homes = persisted(homes, "family-homes", folder)
     if not homes.limit(1).count():
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    placed = persisted(families.join(homes, ["family", "component"]), "family-members", folder)
+    members = f"{folder}/members-{uuid.uuid4().hex}"
+    placed = persisted(families.join(homes, ["family", "component"]), "family-members", members)
     sizes = placed.groupBy("family", "own", "home", "n_shingles").agg(F.sum(weight).alias("weight"))
     smaller = Window.partitionBy("family", "own", "home").orderBy("n_shingles")  # a row for each size, not for each text
     upto = sizes.withColumn("upto", F.sum("weight").over(smaller))
     spans = upto.select("family", "own", "home", "n_shingles", F.floor((F.col("upto") - F.col("weight")) / BLOCK).alias("low"), F.floor((F.col("upto") - 1) / BLOCK).alias("high"))
     block = F.col("low") + F.pmod(F.xxhash64("sid"), F.col("high") - F.col("low") + 1)
     blocked = persisted(placed.join(spans, ["family", "own", "home", "n_shingles"]).select("family", F.struct("own", "home", block.alias("block")).alias("block"), "sid", "component", "id", "n_shingles"), "families", folder)
+    discard(docs.sparkSession, members)
     blocks = blocked.groupBy("family", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     met = blocks.alias("p").join(blocks.alias("q"), "family").where("p.block <= q.block and not (p.block.own and q.block.own and p.block.home = q.block.home)")
     met = met.where(100 * F.col("p.high") >= PERCENT * F.col("q.low")).where(100 * F.col("q.high") >= PERCENT * F.col("p.low"))
@@ -556,16 +559,21 @@ def family_links(families: DataFrame, docs: DataFrame, shared, folder: str) -> D
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, component (least node reachable) of every node of a, b edges; labels spread and jump until none changes."""
-    both = persisted(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("node", "other"), "edges", folder)
-    labels = persisted(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels", folder)
+    spark, rounds = edges.sparkSession, f"{folder}/rounds-{uuid.uuid4().hex}"
+    both = persisted(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("node", "other"), "edges", f"{rounds}/edges")
+    labels = persisted(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels", f"{rounds}/0")
+    n = 0
     while True:
         heard = both.join(labels.toDF("other", "heard"), "other").groupBy("node").agg(F.min("heard").alias("heard"))
         least = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("before"))
         jump = labels.toDF("component", "jump")
-        moved = persisted(least.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "before"), "labels", folder)
-        if not moved.where("component <> before").limit(1).count():
-            return moved.select("node", "component")
+        moved = persisted(least.join(jump, "component").select("node", F.least("component", "jump").alias("component"), "before"), "labels", f"{rounds}/{n + 1}")
+        discard(spark, f"{rounds}/{n}")
         labels = moved.select("node", "component")
+        if not moved.where("component <> before").limit(1).count():
+            discard(spark, f"{rounds}/edges")
+            return labels
+        n += 1
 
 
 def linked(common: Column, united: Column) -> Column:
@@ -635,16 +643,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         classes = classes.withColumn("sid", F.col("h1"))
     frequent = frequent_shingles(digested, work)
     seed = 0
-    while (common := shared_contents(index(slim, "text", frequent, renamed, seed), work)) is None:
+    while (common := shared_contents(index(slim, "text", frequent, renamed, seed), f"{work}/contents")) is None:
         seed += 1
     own = Window.partitionBy("sid", "tag")
     place = F.row_number().over(own.orderBy(F.desc("n"), "key"))
     left = common.withColumns({"place": place, "own": F.count("*").over(own), "slack": F.shiftright("tag", 4)}).where("own >= slack and place >= slack")
-    left = persisted(left.withColumn("met", F.sum("n").over(Window.partitionBy("sid"))).select("key", "sid", "met"), "left", work)
+    left = persisted(left.withColumn("met", F.sum("n").over(Window.partitionBy("sid"))).select("key", "sid", "met"), "left", f"{work}/left")
+    discard(spark, f"{work}/contents")
     # the order of leaders: how much a class meets, ties by name
     order = F.shiftleft(F.least("met", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("sid").bitwiseAND(F.lit(0xFFFFFFFF)))
     leaders = left.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.max_by("sid", order).alias("leader")).where("first < last").select("key", "leader")
     shared_keys = persisted(left.join(leaders, "key").select("key", "sid", "leader"), "shared", work)
+    discard(spark, f"{work}/left")
     # the leader that each one meets most often
     often = shared_keys.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("n"))
     best = persisted(often.groupBy("sid").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader")), "best", work)
