@@ -56,7 +56,9 @@ def deflate_at(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def scored(rows: DataFrame, learned_p: Column | None = None, thresholds: Thresholds = Thresholds(), chosen: list[str] | None = None) -> DataFrame:
     """Adds scores, p, reasons, classes, top, and hard (rules alone are sure)."""
-    out = rows.withColumn("scores", detectors.build(chosen)).withColumn("__f", fuse(F.col("scores"), learned_p, thresholds))
+    # one-element explodes: else every field that is read later would score and fuse anew
+    out = rows.withColumn("scores", F.explode(F.array(detectors.build(chosen))))
+    out = out.withColumn("__f", F.explode(F.array(fuse(F.col("scores"), learned_p, thresholds))))
     hard = F.exists("scores", lambda s: (s["name"] == "rules") & (s["p"] >= HARD))
     return out.select("*", "__f.*", hard.alias("hard")).drop("__f")
 
