@@ -10,8 +10,10 @@ from weirstream.llm.bpe_codec import encode_decode
 from weirstream.llm.common import table
 from weirstream.llm.fertility import fertility
 from weirstream.llm.flow_reshard import shard_documents
+from weirstream.llm.merkle_manifest import document_manifest, manifest_sql
 from weirstream.llm.partition_jaccard import near_duplicates, near_duplicates_sql
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
+from weirstream.llm.tiled_whitening import whiten
 from weirstream.llm.token_attribution import attribute
 from weirstream.llm.url_markov import filter_sql, filter_urls
 from weirstream.llm.warc_members import archive_pages, archive_sql
@@ -60,9 +62,17 @@ def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute(table(spark, sf_dir, "documents"), ["source", "lang", "text"], lead_of="text", rule="most", separator=" ")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op7_partition_jaccard, op8_bpe_codec, op9_license_rules, op10_token_attribution)}
+    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op7_partition_jaccard, op8_bpe_codec, op9_license_rules, op10_token_attribution, op11_merkle_manifest, op13_tiled_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op7_partition_jaccard": near_duplicates_sql(), "op9_license_rules": license_rules.scan_sql()}
+    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op7_partition_jaccard": near_duplicates_sql(), "op9_license_rules": license_rules.scan_sql(), "op11_merkle_manifest": manifest_sql()}
