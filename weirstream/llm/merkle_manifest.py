@@ -136,8 +136,8 @@ def prove(manifest: Manifest, changed: Column) -> DataFrame:
     (of ``changed``, or where that is null the leaf, put in the leaf's place) and verified."""
     nothing = F.array().cast("array<struct<preimage:string,slot:int>>")
     # one row: the tree over the groups
-    forest = manifest.root().crossJoin(F.broadcast(manifest.subroots.agg(F.min("tree").alias("tree"), (F.max("size") == 1).alias("lone"))))
-    groups = paths(manifest.subroots, manifest.upper, forest.select("tree", "lone", "root", nothing.alias("steps")))
+    forest = tops(manifest.subroots, manifest.upper).select("tree", F.col("hash").alias("root"), F.lit(not manifest.upper).alias("lone"), nothing.alias("steps"))
+    groups = paths(manifest.subroots, manifest.upper, forest)
     crown = groups.select(F.col("member").alias("tree"), F.col("hash").alias("subroot"), "root", "steps")
     lone = manifest.leaves.where("size = 1").select("tree", F.lit(True).alias("lone"))
     # a row for each group, read by every level

@@ -13,6 +13,7 @@ from weirstream.llm.flow_reshard import shard_documents
 from weirstream.llm.merkle_manifest import document_manifest, manifest_sql
 from weirstream.llm.partition_jaccard import near_duplicates, near_duplicates_sql
 from weirstream.llm.prefix_decontam import decontaminate, decontaminate_sql
+from weirstream.llm.recompression import dedup_sql, substring_dedup
 from weirstream.llm.tiled_whitening import whiten
 from weirstream.llm.token_attribution import attribute
 from weirstream.llm.url_markov import filter_sql, filter_urls
@@ -66,13 +67,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op7_partition_jaccard, op8_bpe_codec, op9_license_rules, op10_token_attribution, op11_merkle_manifest, op13_tiled_whitening)}
+    return {f.__name__: f for f in (op1_fertility, op2_flow_reshard, op3_url_markov, op4_zstd_langid, op5_prefix_decontam, op6_warc_members, op7_partition_jaccard, op8_bpe_codec, op9_license_rules, op10_token_attribution, op11_merkle_manifest, op12_recompression, op13_tiled_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op7_partition_jaccard": near_duplicates_sql(), "op9_license_rules": license_rules.scan_sql(), "op11_merkle_manifest": manifest_sql()}
+    return {"op3_url_markov": filter_sql(), "op5_prefix_decontam": decontaminate_sql(), "op6_warc_members": archive_sql(), "op7_partition_jaccard": near_duplicates_sql(), "op9_license_rules": license_rules.scan_sql(), "op11_merkle_manifest": manifest_sql(), "op12_recompression": dedup_sql()}
