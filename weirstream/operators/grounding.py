@@ -51,15 +51,17 @@ def echo_counts(queries: DataFrame, texts: DataFrame, block: int = 500) -> DataF
     return every.select("item_id", total.scalar().alias("documents"), F.coalesce("echoed", F.lit(0)).alias("echoed"))
 
 
-def ground(queries: DataFrame, results: DataFrame, hits: DataFrame, most: int = 20) -> DataFrame:
+def ground(queries: DataFrame, results: DataFrame, hits: DataFrame, most: int | None = None) -> DataFrame:
     """attested, thin or no_record for each query, with the reason and the source.
 
     queries: query; results: query, rank, title, snippet (best first); hits: query, hits, title of page hits.
-    All results count, and a core word may be in any of them; ``evidence`` lists the best ``most``.
+    All results count, and a core word may be in any of them; ``evidence`` lists them all, or with ``most`` the best so many.
     """
     asked = queries.select("query").distinct()
     counted = results.groupBy("query").agg(F.count("*").alias("n"))
-    best = results.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("rank", "title", "snippet"))).where(F.col("__r") <= most)
+    best = results.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("rank", "title", "snippet")))
+    if most is not None:
+        best = best.where(F.col("__r") <= most)
     listed = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("__r", evidence_line(F.col("title"), F.col("snippet")).alias("line")))).alias("e"))
     pages = hits.groupBy("query").agg(F.max("hits").alias("wiki_hits"), F.max_by("title", "hits").alias("wiki_title"))
     # each core word against each result and the page's title: rows of words, never one text of all results

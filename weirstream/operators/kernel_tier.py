@@ -54,17 +54,17 @@ def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: in
     return slim.mapInArrow(run, f"stream_id {kind}, k int, pos int, n_chars int, " + ", ".join(f"{c} double" for c in detectors.VECTOR))
 
 
-def guard(streams: DataFrame, chunk: int = CHUNK, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
-    """Verdicts as ``protocol.guard`` gives them, deflate ratio included; one shuffle of checkpoint rows, none of texts."""
-    return verdicts(scored(features(streams, chunk, hashed_by=hashed_by, partitions=partitions), thresholds=thresholds), thresholds)
+def guard(streams: DataFrame, chunk: int = CHUNK, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None, with_deflate: bool = True) -> DataFrame:
+    """Verdicts as ``protocol.guard`` gives them, by default with the deflate ratio; one shuffle of checkpoint rows, none of texts."""
+    return verdicts(scored(features(streams, chunk, with_deflate=with_deflate, hashed_by=hashed_by, partitions=partitions), thresholds=thresholds), thresholds, chunk)
 
 
-def verify_final(streams: DataFrame, chunk: int = 256, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
+def verify_final(streams: DataFrame, chunk: int = 256, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None, with_deflate: bool = True) -> DataFrame:
     """The check of a finished text, read in larger chunks: the verdict columns of ``guard`` and ok (not corrupt)."""
-    found = guard(streams, chunk, thresholds, hashed_by, partitions)
+    found = guard(streams, chunk, thresholds, hashed_by, partitions, with_deflate)
     return found.withColumn("ok", F.col("state") != "corrupt")
 
 
-def check_finished(streams: DataFrame, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None) -> DataFrame:
+def check_finished(streams: DataFrame, thresholds: Thresholds = Thresholds(), hashed_by: str = "md5", partitions: int | None = None, with_deflate: bool = True) -> DataFrame:
     """The check of a text that is given at once: one checkpoint at its end if it is long enough, and the end itself."""
-    return verify_final(streams, WHOLE, thresholds, hashed_by, partitions)
+    return verify_final(streams, WHOLE, thresholds, hashed_by, partitions, with_deflate)

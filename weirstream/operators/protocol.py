@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirstream.operators import detectors
 from weirstream.operators.fusion import Thresholds, decide, fuse
 from weirstream.operators.sequence_features import LONGEST_RUN, baselines, char_runs, drift, fingerprint_words, repetition, script_switches, surprise, surprise_windows
-from weirstream.operators.streams import CHUNK, EVERY, HOLD, characters, checkpoints, final_positions
+from weirstream.operators.streams import CHUNK, EVERY, HOLD, characters, checkpoint_at, checkpoints, chunks, final_positions
 from weirstream.operators.window_features import char_entropy, window_features
 
 #: Page-Hinkley: tolerated drift, alarm level, updates before the first alarm. Score from which rules alone abort.
@@ -90,8 +90,8 @@ def states(points: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFram
     return out.where("__before = 0").withColumn("state", state).drop("__c", "__before")
 
 
-def verdicts(scored_rows: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """One row for each stream from its scored checkpoints and final row (k null).
+def verdicts(scored_rows: DataFrame, thresholds: Thresholds = Thresholds(), chunk: int = CHUNK) -> DataFrame:
+    """One row for each stream from its scored checkpoints and final row (k null), read in chunks of ``chunk`` characters.
 
     stream_id, n_chars, state, p, reasons, classes, onset, checkpoints, read_chars (up to the abort),
     released_chars, blocked_chars, aborted. An aborted stream has the verdict of its abort; any other is
@@ -104,7 +104,7 @@ def verdicts(scored_rows: DataFrame, thresholds: Thresholds = Thresholds()) -> D
     aborted = F.coalesce(F.col("c.state") == "corrupt", F.lit(False))
     state = F.when(aborted, "corrupt").otherwise(decide(F.col("fp"), thresholds))
     # text goes out chunk by chunk once the first checkpoint has passed; the chunk of the abort stays back
-    released = F.when(aborted & (F.col("checkpoints") == 1), F.lit(0)).when(aborted, F.col("c.pos") - F.lit(CHUNK)).when(F.col("checkpoints").isNull() & (F.col("fp") >= thresholds.corrupt_at), F.lit(0)).otherwise(F.col("n_chars"))
+    released = F.when(aborted & (F.col("checkpoints") == 1), F.lit(0)).when(aborted, F.floor((F.col("c.pos") - 1) / chunk) * chunk).when(F.col("checkpoints").isNull() & (F.col("fp") >= thresholds.corrupt_at), F.lit(0)).otherwise(F.col("n_chars"))
     read = F.when(aborted, F.col("c.pos")).otherwise(F.col("n_chars"))
     onset = F.when(aborted, F.col("c.onset")).when(state == "corrupt", F.coalesce("alarm_at", "c.pos"))
     return both.select(
@@ -117,9 +117,35 @@ def verdicts(scored_rows: DataFrame, thresholds: Thresholds = Thresholds()) -> D
 
 def guard(streams: DataFrame, chunk: int = CHUNK, thresholds: Thresholds = Thresholds(), with_deflate: bool = False, learned_p: Column | None = None) -> DataFrame:
     """Verdicts of finished texts that are read as if they had come in chunks."""
-    return verdicts(scored(features(streams, chunk, with_deflate=with_deflate, final=True), learned_p, thresholds), thresholds)
+    return verdicts(scored(features(streams, chunk, with_deflate=with_deflate, final=True), learned_p, thresholds), thresholds, chunk)
 
 
 def released_text(streams: DataFrame, found: DataFrame) -> DataFrame:
     """stream_id, released: what was safe to show."""
     return streams.join(found.select("stream_id", "released_chars"), "stream_id").select("stream_id", F.substring(F.col("text"), F.lit(1), F.col("released_chars").cast("int")).alias("released"))
+
+
+def events(streams: DataFrame, scored_rows: DataFrame, thresholds: Thresholds = Thresholds(), chunk: int = CHUNK, hold: int = HOLD, every: int = EVERY) -> DataFrame:
+    """What a reader of the guard is told, chunk by chunk: a row where text goes out, a score is above 0 or the state changes.
+
+    stream_id, seq, chars (read so far), p, state, released, reasons, onset, features (null where p is 0). Text is held up
+    to the first checkpoint and then goes out whole; the first chunk tells the state; nothing comes after a corrupt
+    chunk. A chunk finds its checkpoint by arithmetic, so a long stream is rows of many keys, not one ordered window.
+    Null and empty texts have no events; what is still held at the end of a short stream is released by its verdict.
+    """
+    checked = states(scored_rows.where(F.col("k").isNotNull()), thresholds)
+    vector = F.struct(*[F.round(c, 5).alias(c) for c in detectors.VECTOR])
+    known = checked.select("stream_id", F.col("k").alias("__k"), F.col("pos").alias("__pos"), "p", "state", "reasons", "onset", vector.alias("features"))
+    length = F.length("text")
+    # the first chunks as one text, for the release of what was held
+    whole = streams.where(length > 0).select("stream_id", length.alias("__n"), F.left("text", F.lit(hold + chunk)).alias("__held"))
+    told = chunks(streams, chunk).join(whole, "stream_id").withColumn("chars", F.least(F.col("seq") * chunk, F.col("__n")))
+    told = told.withColumn("__k", checkpoint_at(F.col("chars"), F.col("__n"), chunk, hold, every))
+    out = told.join(known, ["stream_id", "__k"], "left").where("__k = 0 or (__pos is not null and (state <> 'corrupt' or chars = __pos))")
+    here = F.col("chars") == F.col("__pos")
+    state = F.coalesce("state", F.lit("clean"))
+    released = F.when((F.col("__k") == 0) | (state == "corrupt"), "").when(here & (F.col("__k") == 1), F.left("__held", F.col("chars").cast("int"))).otherwise(F.col("chunk"))
+    p = F.when(here, F.round("p", 6)).otherwise(0.0)
+    hot = here & (F.col("p") > 0)
+    out = out.select("stream_id", "seq", "chars", p.alias("p"), state.alias("state"), released.alias("released"), F.when(here, F.col("reasons")).otherwise(F.array().cast("array<string>")).alias("reasons"), F.when(here, F.col("onset")).alias("onset"), F.when(hot, F.col("features")).alias("features"), hot.alias("__hot"))
+    return out.where((F.col("released") != "") | F.col("__hot") | (F.col("seq") == 1)).drop("__hot")

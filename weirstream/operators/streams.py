@@ -35,6 +35,16 @@ def checkpoint_positions(length: Column, chunk: int = CHUNK, hold: int = HOLD, e
     return F.when((length >= due) & (F.size(regular) == 0) | (length >= due) & (F.element_at(regular, -1) < length), F.concat(regular, F.array(length))).otherwise(regular)
 
 
+def checkpoint_at(chars: Column, length: Column, chunk: int = CHUNK, hold: int = HOLD, every: int = EVERY) -> Column:
+    """The number of the last of ``checkpoint_positions`` that a chunk end has reached; 0 before the first."""
+    first, step = chunk * -(-hold // chunk), chunk * -(-every // chunk)
+    reached = lambda n: F.when(n >= first, F.floor((n - first) / step) + 1).otherwise(F.lit(0))
+    regular = reached(length)
+    last = F.lit(first) + (regular - 1) * step
+    extra = F.when(regular > 0, (last < length) & (length >= last + every)).otherwise(length >= hold)
+    return (reached(chars) + F.when(extra & (chars == length), 1).otherwise(0)).cast("int")
+
+
 def checkpoints(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: int = EVERY) -> DataFrame:
     """stream_id, k (from 1), pos, n_chars, and text: the last characters up to pos, as many as any window reads.
 

@@ -245,6 +245,43 @@ def guard_with_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_tier.guard(documents(spark, sf_dir), hashed_by="blake2b").select("stream_id", "state", "p", "onset", "released_chars", "reasons", "classes")
 
 
+def all_of(chunk: int) -> str:
+    """The features, scores and verdicts of texts that come in chunks of another length."""
+    return with_(ALL.replace(sql.POINTS, sql.points_of(chunk)), sql.SCORES, sql.HINKLEY, sql.STATES, sql.verdicts_of(chunk))
+
+
+def plain_verdicts(found: DataFrame) -> DataFrame:
+    return found.select("stream_id", "n_chars", "state", F.round("p", 6).alias("p"), onset_or_none(), "checkpoints", "read_chars", "released_chars", "blocked_chars", "aborted", "ok")
+
+
+OK_COLUMNS = VERDICT_COLUMNS + ", read_chars - released_chars as blocked_chars, state <> 'corrupt' as ok"
+
+
+@query(all_of(256) + f"select {OK_COLUMNS} from vd")
+def final_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``final_check`` without the deflate ratio, which SQL doesn't know."""
+    return plain_verdicts(kernel_tier.verify_final(documents(spark, sf_dir), with_deflate=False))
+
+
+@query(all_of(kernel_tier.WHOLE) + f"select {OK_COLUMNS} from vd")
+def finished_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``finished_check`` without the deflate ratio."""
+    return plain_verdicts(kernel_tier.check_finished(documents(spark, sf_dir), with_deflate=False))
+
+
+def plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return protocol.events(documents(spark, sf_dir), protocol.scored(all_features(spark, sf_dir)))
+
+
+EVENTS = with_(ALL, sql.SCORES, sql.HINKLEY, sql.STATES, sql.VERDICTS, sql.EVENTS)
+
+
+@query(EVENTS + "select ev.stream_id, seq::bigint as seq, chars::int as chars, p, state, released, coalesce(onset, -1) as onset, " + ", ".join(f"case when hot then round({c}, 5) end as {c}" for c in detectors.VECTOR) + " from ev left join f on f.stream_id = ev.stream_id and f.k = ev.k")
+def guard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk by chunk what is released, with scores and features of checkpoints."""
+    return plain_events(spark, sf_dir).select("stream_id", "seq", F.col("chars").cast("int").alias("chars"), "p", "state", "released", onset_or_none(), "features.*")
+
+
 @query()
 def final_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_tier.verify_final(documents(spark, sf_dir)).select("stream_id", "state", "p", "ok", "reasons")
@@ -629,26 +666,30 @@ def sse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as guard sessions: a frame for each turn, the user's turns held back."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    frames = turns(spark, sf_dir).select(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 12).alias("session_id"), "conv_id", (F.col("turn") * 1000).alias("t"), F.sum(F.length("text")).over(w).alias("chars"), F.lit(0.25).alias("p"), F.lit("clean").alias("state"), F.when(F.col("role") != "user", F.col("text")).alias("released"))
-    ended = frames.groupBy("session_id").agg((F.max("conv_id") + 1_700_000_000).alias("created_at"), F.lit("replay").alias("mode"), F.lit("clean").alias("state"), F.max("p").alias("p"))
-    return sessions.record(frames.drop("conv_id"), ended)
+    """The guard's events over the documents as sessions, a character each millisecond."""
+    session = F.substring(F.md5(F.col("stream_id").cast("string")), 1, 12).alias("session_id")
+    rows = protocol.scored(all_features(spark, sf_dir))
+    frames = protocol.events(documents(spark, sf_dir), rows).select(session, F.col("chars").alias("t"), "chars", "p", "state", "released", "reasons", "onset", "features")
+    ended = protocol.verdicts(rows).select(session, (F.col("stream_id") + 1_700_000_000).alias("created_at"), F.lit("analyze").alias("mode"), "state", F.round("p", 6).alias("p"), F.col("read_chars").alias("chars"))
+    return sessions.record(frames, ended)
 
 
-SESSIONS = """s as (select conv_id, substr(md5(conv_id::varchar), 1, 12) as session_id, turn * 1000 as t, sum(length(text)) over (partition by conv_id order by turn) as chars, case when role <> 'user' then text end as released from conversations)"""
+SESSIONS = EVENTS.rstrip() + ",\nse as (select stream_id, count(*) as frames, sum(length(released)) as released_chars, count(hot or null) as scored from ev group by stream_id)\n"
 
 
-@query(with_(SESSIONS) + """select session_id, max(conv_id) + 1700000000 as created_at, max(chars)::bigint as chars, sum(length(coalesce(released, '')))::bigint as released_chars, (max(chars) - sum(length(coalesce(released, ''))))::bigint as blocked_chars
-from s group by session_id order by created_at desc, session_id limit 50""")
+@query(SESSIONS + """select substr(md5(stream_id::varchar), 1, 12) as session_id, stream_id + 1700000000 as created_at, state, round(p, 6) as p, read_chars as chars, released_chars::bigint as released_chars, (read_chars - released_chars)::bigint as blocked_chars, frames::int as frames, scored::int as with_features
+from vd join (select * exclude (released_chars), released_chars from se) se using (stream_id) order by created_at desc, session_id limit 50""".replace("read_chars - released_chars", "read_chars - se.released_chars").replace("chars, released_chars::", "chars, se.released_chars::"))
 def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest sessions, as the list shows them."""
-    return sessions.newest(recorded(spark, sf_dir)).select("session_id", "created_at", "chars", "released_chars", "blocked_chars")
+    """The newest sessions, as the list shows them; scored frames have features."""
+    found = recorded(spark, sf_dir)
+    counted = found.withColumns({"n": F.size("frames"), "with_features": F.size(F.filter("frames", lambda f: f["features"].isNotNull()))})
+    return sessions.newest(counted).select("session_id", "created_at", "state", "p", "chars", "released_chars", "blocked_chars", F.col("n").alias("frames"), "with_features")
 
 
-@query(with_(SESSIONS) + "select session_id, t, chars::bigint as chars, t / 4.0 as emit_ms from s")
+@query(EVENTS + "select substr(md5(stream_id::varchar), 1, 12) as session_id, chars::int as t, chars::int as chars, p, state, length(released)::int as released, coalesce(onset, -1) as onset, chars / 4.0 as emit_ms from ev")
 def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.replay(recorded(spark, sf_dir), 4.0).select("session_id", "t", "chars", "emit_ms")
+    found = sessions.replay(recorded(spark, sf_dir), 4.0)
+    return found.select("session_id", F.col("t").cast("int").alias("t"), F.col("chars").cast("int").alias("chars"), "p", "state", F.length("released").alias("released"), onset_or_none(), "emit_ms")
 
 
 # ---- events --------------------------------------------------------------------------------------------------------

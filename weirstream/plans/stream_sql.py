@@ -6,6 +6,7 @@ from weirstream.functions.text import ARTEFACTS, DIGITS, EXPECTED, LETTERS, RUN_
 from weirstream.operators import synth
 from weirstream.operators.factuality import OPENERS
 from weirstream.operators.sequence_features import ALPHA, BASELINE, FINGERPRINT_WORDS, LEAST_ALPHABET, LEAST_WORDS, LONGEST_RUN, MOST_SHINGLES, RECENT, SHINGLE, SMOOTHING, STRIDE, WEIGHTS
+from weirstream.operators.streams import CHUNK, EVERY, HOLD
 
 Q = "'"
 
@@ -19,9 +20,16 @@ def count(pattern: str, text: str = "w") -> str:
 
 
 STREAMS = "s as materialized (select doc_id as stream_id, text, length(text) as n_chars from documents)"
-#: Chunks of 40 characters: checkpoints at 360, 760, ..., or at the end of a text of 350 to 359.
-POINTS = """p as materialized (select stream_id, text, n_chars, pos, case when n_chars >= 360 then (pos - 360) // 400 + 1 else 1 end as k from (
-  select *, unnest(case when n_chars >= 360 then range(360, n_chars + 1, 400) when n_chars >= 350 then [n_chars] else [] end) as pos from s))"""
+def points_of(chunk: int, hold: int = HOLD, every: int = EVERY) -> str:
+    """Checkpoints of texts that come in chunks: the first chunk end that reaches hold, each one that is every further on, and an
+    end that is due. A chunk longer than any text leaves the end."""
+    first, step = chunk * -(-hold // chunk), chunk * -(-every // chunk)
+    return f"""p as materialized (select stream_id, text, n_chars, pos, row_number() over (partition by stream_id order by pos) as k from (
+  select * exclude (regular), unnest(case when n_chars >= coalesce(regular[-1] + {every}, {hold}) and coalesce(regular[-1] < n_chars, true) then list_append(regular, n_chars) else regular end) as pos
+  from (select *, range({first}, n_chars + 1, {step}) as regular from s)))"""
+
+
+POINTS = points_of(CHUNK)
 #: Those and the end of every text (k null); positions once.
 ENDS = "pe as materialized (select stream_id, text, n_chars, pos, k from p union all select stream_id, text, n_chars, n_chars, null from s where n_chars > 0)"
 AT = "a as materialized (select stream_id, pos, min(k) as k, any_value(text) as text, any_value(n_chars) as n_chars from pe group by stream_id, pos)"
@@ -113,11 +121,23 @@ h4 as (select *, ph > 0.35 and n > 3 and sum((ph > 0.35 and n > 3)::int) over (p
 STATES = """t1 as (select *, hard or (p >= 0.7 and (k = 1 or coalesce(lag(p >= 0.7) over (partition by stream_id order by k), false))) as corrupt from h4),
 t2 as (select *, coalesce(max(corrupt::int) over (partition by stream_id order by k rows between unbounded preceding and 1 preceding), 0) as before, first_value(case when alarm then pos end ignore nulls) over (partition by stream_id order by k) as alarm_pos from t1),
 st as materialized (select *, case when corrupt then 'corrupt' when p >= 0.5 then 'suspect' else 'clean' end as state, case when corrupt then coalesce(alarm_pos, pos) end as onset from t2 where before = 0)"""
-VERDICTS = """la as (select stream_id, arg_max(state, k) as state, arg_max(p, k) as p, arg_max(onset, k) as onset, arg_max(pos, k) as pos, max(k) as checkpoints, min(case when alarm then pos end) as alarm_at from st group by stream_id),
+def verdicts_of(chunk: int) -> str:
+    return VERDICT_ROWS.replace("{{chunk}}", str(chunk))
+
+
+VERDICT_ROWS = """la as (select stream_id, arg_max(state, k) as state, arg_max(p, k) as p, arg_max(onset, k) as onset, arg_max(pos, k) as pos, max(k) as checkpoints, min(case when alarm then pos end) as alarm_at from st group by stream_id),
 v as (select e.stream_id, e.n_chars, coalesce(la.state = 'corrupt', false) as aborted, e.p as fp, la.p as cp, la.onset as conset, la.pos as cpos, checkpoints, alarm_at,
   case when la.state = 'corrupt' then 'corrupt' when e.p >= 0.7 then 'corrupt' when e.p >= 0.5 then 'suspect' else 'clean' end as state from (select * from fu where k is null) e left join la using (stream_id)),
 vd as materialized (select stream_id, n_chars, state, case when aborted then cp else fp end as p, (case when aborted then conset when state = 'corrupt' then coalesce(alarm_at, cpos) end)::bigint as onset, coalesce(checkpoints, 0)::bigint as checkpoints,
-  (case when aborted then cpos else n_chars end)::bigint as read_chars, (case when aborted and checkpoints = 1 then 0 when aborted then cpos - 40 when checkpoints is null and fp >= 0.7 then 0 else n_chars end)::bigint as released_chars, aborted from v)"""
+  (case when aborted then cpos else n_chars end)::bigint as read_chars, (case when aborted and checkpoints = 1 then 0 when aborted then (cpos - 1) // {{chunk}} * {{chunk}} when checkpoints is null and fp >= 0.7 then 0 else n_chars end)::bigint as released_chars, aborted from v)"""
+VERDICTS = verdicts_of(CHUNK)
+
+#: Events: chunks of 40 characters with the last checkpoint that each has reached, up to the corrupt one.
+EVENTS = """ec as (select stream_id, text, n_chars, unnest(range(1, (n_chars + 39) // 40 + 1)) as seq from s where n_chars > 0),
+ex as (select *, least(seq * 40, n_chars) as chars from ec),
+ek as (select ex.*, st.k, st.pos, st.p as cp, st.state as cs, st.onset as co from ex asof left join st on ex.stream_id = st.stream_id and ex.chars >= st.pos),
+eo as (select *, coalesce(chars = pos, false) as here, case when k is null or cs = 'corrupt' then '' when chars = pos and k = 1 then substr(text, 1, chars) else substr(text, (seq - 1) * 40 + 1, 40) end as released from ek where k is null or cs <> 'corrupt' or chars = pos),
+ev as materialized (select stream_id, k, pos, seq, chars, case when here then round(cp, 6) else 0.0 end as p, coalesce(cs, 'clean') as state, released, case when here then co end as onset, here and cp > 0 as hot from eo where released <> '' or (here and cp > 0) or seq = 1)"""
 
 
 def listed(words) -> str:
