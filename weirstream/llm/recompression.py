@@ -1,36 +1,36 @@
 """Removal of passages that repeat across documents, found by recompression.
 
-Texts become chunks: word numbers of some documents in the order of their ids, with the chunk's words. In each round
-Spark names, for all chunks at once, what the round has joined: first words, then maximal runs of one symbol and
-pairs of neighbours (the left one's name hashes to one side, the right one's to the other). A name stands for one string
-of words and equal strings get equal names, whatever stands around them; only symbols at the rim of a passage depend on
-its surroundings. Each window of words carries the part of itself that doesn't (its interior). A symbol that no two
-documents share is dead, and so are windows with a dead symbol in their interior: each round leaves fewer windows, and
-longer symbols. Windows that are left when rounds end are compared by 128 bits of their words.
-
-A round asks for the name of what is new in a chunk once for each chunk, with the least and largest id of its documents
-there, so what is shuffled are distinct symbols, not words. Names are the places of sorted keys in their partitions: no
-hash decides which are equal. A symbol of every chunk is one row for each chunk, in a window that spills.
+Texts become chunks: word numbers of some documents in the order of their ids, with the chunk's words. Each round joins
+maximal runs of one symbol and then pairs of neighbours (the left one's name hashes to one side, the right one's to the
+other). The name of what is joined depends on its parts alone, so equal strings of words get equal names in all chunks,
+whatever stands around them; only symbols at the rim of a passage depend on its surroundings. Each window of words
+carries the part of itself that doesn't (its interior). Spark gathers the round's new names of all chunks and tells which
+are shared by two documents. A symbol that is not is dead, and so are windows with a dead symbol in their interior: each
+round leaves fewer windows, and longer symbols. Windows that are left are told apart by 128 bits of their words.
+
+Names have 64 bits; two strings of one name make a window a candidate, never a repetition. A chunk sends each distinct name
+once, sorted, in a block for each range of names, and gets a bit for each back. Blocks of a range are one group; their
+number follows the words of the corpus. Between rounds a chunk keeps only the words of windows that are left.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
-from bisect import bisect_right
+import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstream.llm.common import Lexicon, discard, persisted, shared_folder
 
-#: Words of a repeated window, rounds of naming after the words, words of a chunk.
-WINDOW, ROUNDS, CHUNK_WORDS = 50, 4, 1_000_000
-#: A name's place is this many times larger, plus its round, so names of all rounds differ.
-NAME_STEP = 64
+#: Words of a repeated window, rounds of naming, words of a chunk, words of the corpus for each range of names.
+WINDOW, ROUNDS, CHUNK_WORDS, RANGE_WORDS = 50, 4, 1_000_000, 2_000_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -55,8 +55,12 @@ def _mixed(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
+#: A chunk's row; {} is the type of ids.
+CHUNK_COLUMNS = "chunk long, ids array<{}>, n_words long, words binary, data binary"
+
+
 def to_chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """(doc_id, text) as rows chunk, ids, words (of the chunk, in one text), data (word counts of documents; word numbers)."""
+    """(doc_id, text) as rows chunk, ids, n_words, words (of the chunk, in one text), data (word counts of documents; word numbers)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -69,7 +73,7 @@ def to_chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
             held.sort(key=lambda d: (d[0] is None, d[0]))
             lengths, ids = np.array([len(d[1]) for d in held], np.int32), np.concatenate([d[1] for d in held])
             row = {
-                "chunk": pa.array([(part << 32) + number], pa.int64()), "ids": pa.array([[d[0] for d in held]], pa.list_(kind)),
+                "chunk": pa.array([(part << 32) + number], pa.int64()), "ids": pa.array([[d[0] for d in held]], pa.list_(kind)), "n_words": pa.array([len(ids)], pa.int64()),
                 "words": pa.array([zstandard.compress(b" ".join(lexicon), 1)], pa.binary()), "data": pa.array([pack(lengths, ids)], pa.binary()),
             }
             number, held, words, lexicon = number + 1, [], 0, Lexicon()
@@ -87,24 +91,31 @@ def to_chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
             yield chunk()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(gather, f"chunk long, ids array<{kind}>, words binary, data binary")
+    return docs.select("doc_id", "text").mapInArrow(gather, CHUNK_COLUMNS.format(kind))
 
 
 class Chunk:
-    """Documents of a chunk: their ids in order (nulls last), the first word of each, the document of each word."""
+    """Documents of a chunk: their ids in order (nulls last), the first word of each, the document of each word, the
+    words and the number of each one's word (-1: no longer of interest)."""
 
-    def __init__(self, ids: list, lengths: np.ndarray):
-        self.ids, self.lengths = ids, lengths
-        self.starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    def __init__(self, row: dict):
+        self.ids, self.words = row["ids"], zstandard.decompress(row["words"]).split()
+        self.lengths, self.numbers = unpack(row["data"])
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
         self.size = int(self.starts[-1])
-        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
 
-    def seen(self, codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list, list, list]:
-        """Of codes with documents in order: the distinct ones, their least and largest id, whether in one without id."""
-        unique, first = np.unique(codes, return_index=True)
-        last = len(codes) - 1 - np.unique(codes[::-1], return_index=True)[1]
-        low, high = [self.ids[d] for d in doc[first]], [self.ids[d] for d in doc[last]]
-        return unique, low, high, [h is None for h in high]
+    def windows(self, window: int) -> np.ndarray:
+        place = np.arange(self.size)
+        return place[place + window <= self.starts[1:][self.doc]]
+
+    def reduced(self, windows: np.ndarray, window: int) -> dict:
+        """Columns words and data with only what the windows hold."""
+        held = covered(self.size, windows, windows + window)
+        used, own = np.unique(self.numbers[held], return_inverse=True)
+        numbers = np.full(self.size, -1, np.int32)
+        numbers[held] = own
+        return {"words": zstandard.compress(b" ".join([self.words[w] for w in used.tolist()]), 1), "data": pack(self.lengths, numbers)}
 
 
 def _interior(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,31 +124,40 @@ def _interior(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Parse:
-    """One round on a chunk's symbols: runs and pairs are joined, interiors lose what the text beyond a window decides.
+    """The symbols of a chunk after some rounds, and of each window the interior.
 
-    start, length, name: of symbols, in order; windows: first word; begin, end: of the windows' interiors, at bounds of
-    symbols. Afterwards ``code`` has, for each new symbol, the number of its key (-1: unchanged), ``keys`` the distinct keys
-    (left name, count, right name or -1, count).
+    start, length, name, doc: of symbols in order (words at first); begin, end: of the windows' interiors, at bounds of
+    symbols. ``advance`` makes a round; ``new`` then marks the symbols that it has made.
     """
 
-    def __init__(self, chunk: Chunk, state: list[np.ndarray], turn: int):
-        start, length, name, self.windows, begin, end = state
-        n = len(start)
-        doc = chunk.doc[start]
-        beside = (start[:-1] + length[:-1] == start[1:]) & (doc[:-1] == doc[1:])
+    def __init__(self, chunk: Chunk, windows: np.ndarray, window: int):
+        self.size, self.windows = chunk.size, windows
+        self.begin, self.end = windows, windows + window
+        self.start = np.flatnonzero(covered(chunk.size, self.begin, self.end))
+        self.length, self.doc = np.ones(len(self.start), np.int64), chunk.doc[self.start]
+        names = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in chunk.words]), np.uint64)
+        self.name = names[chunk.numbers[self.start]]
+        self.new = np.ones(len(self.start), bool)
+
+    def advance(self, turn: int) -> None:
+        n, start, name = len(self.start), self.start, self.name
+        stop = start + self.length
+        beside = (stop[:-1] == start[1:]) & (self.doc[:-1] == self.doc[1:])
         head = np.ones(n, bool)
         head[1:] = ~(beside & (name[:-1] == name[1:]))
         run, first = np.cumsum(head) - 1, np.flatnonzero(head)
-        after = np.append(first[1:], n)
-        count, from_, to = after - first, start[first], (start + length)[after - 1] if n else start
-        starting, ending = np.zeros(chunk.size + 1, np.int64), np.zeros(chunk.size + 1, np.int64)
-        starting[start], ending[start + length] = run, run
+        after = np.append(first[1:], n)[: len(first)]
+        count, from_, to = (after - first).astype(np.uint64), start[first], stop[after - 1]
+        starting, ending = np.zeros(self.size + 1, np.int64), np.zeros(self.size + 1, np.int64)
+        starting[start], ending[stop] = run, run
         # the first and the last run may go on beyond the window
+        begin, end = self.begin.copy(), self.end.copy()
         some = np.flatnonzero(begin < end)
-        begin, end = begin.copy(), end.copy()
         begin[some], end[some] = to[starting[begin[some]]], from_[ending[end[some]]]
         begin, end = _interior(begin, end)
-        side = ((_mixed(name[first].astype(np.uint64) + np.uint64(turn * 0x9E3779B9)) >> np.uint64(40)) & np.uint64(1)).astype(bool)
+        name = name[first]
+        side = ((_mixed(name + np.uint64(turn * 0x9E3779B9)) >> np.uint64(40)) & np.uint64(1)).astype(bool)
+        named = np.where(count > 1, _mixed(name * np.uint64(0x9FB21C651E98DF25) + count), name)
         pair = np.zeros(len(first), bool)
         pair[:-1] = side[:-1] & ~side[1:] & beside[first[1:] - 1]
         # a right one may belong to a left one before the window, a left one to a right one behind it
@@ -148,68 +168,40 @@ class Parse:
         self.begin, self.end = _interior(begin, end)
         second = np.zeros(len(first), bool)
         second[1:] = pair[:-1]
+        # symbols inside no window are of no further use
         left = np.flatnonzero(~second)
-        left = left[covered(chunk.size, self.begin, self.end)[from_[left]]]
+        left = left[covered(self.size, self.begin, self.end)[from_[left]]]
         paired = pair[left]
-        right = np.minimum(left + 1, max(len(first) - 1, 0))
-        self.start = from_[left]
+        right = np.minimum(left + 1, len(first) - 1)
+        self.start, self.doc = from_[left], self.doc[first[left]]
         self.length = np.where(paired, to[right], to[left]) - self.start
-        self.name, counts = name[first[left]], count[left]
-        self.code = np.full(len(left), -1)
-        new = np.flatnonzero(paired | (counts > 1))
-        other = np.where(paired[new], name[first[right[new]]], -1)
-        others = np.where(paired[new], count[right[new]], 0)
-        # one number for each key: dense numbers of the four parts, joined two at a time
-        code = np.zeros(len(new), np.int64)
-        for part in (self.name[new], counts[new], other, others):
-            values, dense = np.unique(part, return_inverse=True)
-            code = np.unique(code * len(values) + dense, return_inverse=True)[1]
-        self.code[new] = code
-        unique, self.low, self.high, self.free = chunk.seen(code, doc[first[left[new]]])
-        one = np.zeros(len(unique), np.int64)
-        one[code] = np.arange(len(new))
-        self.keys = [self.name[new][one], counts[new][one], other[one], others[one]]
-        self.chunk = chunk
-
-    def named(self, names: np.ndarray) -> list[np.ndarray]:
-        """The next state, given a name for each key (-1: dead)."""
-        name = np.where(self.code >= 0, names[self.code] if len(names) else -1, self.name)
-        return survivors(self.chunk, self.start, self.length, name, self.windows, self.begin, self.end)
+        self.name = np.where(paired, _mixed(named[left] * np.uint64(0xD6E8FEB86659FD93) + _mixed(named[right] + np.uint64(turn))), named[left])
+        self.new = paired | (count[left] > 1)
+
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct new names, sorted, and whether two documents of the chunk have each."""
+        name, doc = self.name[self.new], self.doc[self.new]
+        order = np.argsort(name, kind="stable")
+        name, doc = name[order], doc[order]
+        head = np.ones(len(name), bool)
+        head[1:] = name[1:] != name[:-1]
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(name))[: len(first)] - 1
+        return name[first], doc[first] != doc[last]
+
+    def live(self, shared: np.ndarray) -> np.ndarray:
+        """Windows without a dead symbol inside; ``shared``: of the distinct new names."""
+        dead = np.zeros(self.size + 1, np.int32)
+        if self.new.any():
+            at = np.searchsorted(self.names()[0], self.name[self.new])
+            dead[self.start[self.new][~shared[at]] + 1] = 1
+        before = np.cumsum(dead)
+        return self.windows[before[self.end] == before[self.begin]]
 
 
 def covered(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """For each word whether one of the intervals holds it."""
-    return np.cumsum(np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1)) > 0
-
-
-def survivors(chunk: Chunk, start: np.ndarray, length: np.ndarray, name: np.ndarray, windows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """The state without windows that have a dead symbol inside, and without symbols inside no window."""
-    dead = np.zeros(chunk.size + 1, np.int32)
-    dead[start[name < 0] + 1] = 1
-    before = np.cumsum(dead)
-    live = before[end] == before[begin]
-    windows, begin, end = windows[live], begin[live], end[live]
-    kept = covered(chunk.size, begin, end)[start]
-    return [start[kept], length[kept], name[kept], windows, begin, end]
-
-
-def first_state(chunk: Chunk, numbers: np.ndarray, names: np.ndarray, window: int) -> list[np.ndarray]:
-    """Words as symbols and all windows of the documents, but for those with a dead word."""
-    place = np.arange(chunk.size)
-    windows = place[place + window <= chunk.starts[1:][chunk.doc]]
-    return survivors(chunk, place, np.ones(chunk.size, np.int64), names[numbers], windows, windows, windows + window)
-
-
-def packed(state: list[np.ndarray]) -> bytes:
-    """Differences, so neighbours take few bits."""
-    start, length, name, windows, begin, end = state
-    return pack(np.diff(start, prepend=0).astype(np.int32), length.astype(np.int32), name, np.diff(windows, prepend=0).astype(np.int32), (begin - windows).astype(np.int32), (end - windows).astype(np.int32))
-
-
-def unpacked(data: bytes) -> list[np.ndarray]:
-    start, length, name, windows, begin, end = [a.astype(np.int64) for a in unpack(data)]
-    windows = np.cumsum(windows)
-    return [np.cumsum(start), length, name, windows, begin + windows, end + windows]
+    return np.cumsum(np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] > 0
 
 
 def window_keys(numbers: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,158 +222,183 @@ def window_keys(numbers: np.ndarray, words: list[bytes], window: int) -> tuple[n
 
 
 class Finals:
-    """Distinct keys of a chunk's windows that are left; ``group``: of each window."""
+    """Distinct keys of a chunk's windows, in order of the first half; ``group``: of each window; ``low``: the first document."""
 
-    def __init__(self, chunk: Chunk, numbers: np.ndarray, words: list[bytes], windows: np.ndarray, window: int):
-        if not len(windows):
-            self.group, self.one, self.other, self.low, self.high, self.free = windows, [], [], [], [], []
-            return
-        one, other = (k[windows] for k in window_keys(numbers, words, window))
+    def __init__(self, chunk: Chunk, windows: np.ndarray, window: int):
+        one, other = (k[windows] for k in window_keys(np.maximum(chunk.numbers, 0), chunk.words, window)) if len(windows) else (np.zeros(0, np.uint64),) * 2
         order = np.argsort(one, kind="stable")
         a, b = one[order], other[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.group = np.zeros(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
-        self.one, self.other = a[new].view(np.int64), b[new].view(np.int64)
-        doc = chunk.doc[windows][order]
-        first = np.flatnonzero(new)
-        self.low, self.high = [chunk.ids[d] for d in doc[first]], [chunk.ids[d] for d in doc[np.append(first[1:], len(order)) - 1]]
-        self.free = [h is None for h in self.high]
-
-
-def _shared(requests: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
-    """Requests with their place among the sorted keys, and what all chunks say of a key."""
-    numbered = requests.repartition(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
-    over = Window.partitionBy(*keys)
-    return numbered, {"low": F.min("low").over(over), "high": F.max("high").over(over), "free": F.max("free").over(over), "at": F.min("at").over(over)}
-
-
-def named(requests: DataFrame, keys: list[str], turn: int) -> DataFrame:
-    """chunk, idx, name of keys that two documents share."""
-    numbered, of = _shared(requests, keys)
-    found = numbered.select("chunk", "idx", *[c.alias(k) for k, c in of.items()])
-    return found.where("low < high or (free and low is not null)").select("chunk", "idx", (F.col("at") * NAME_STEP + turn).alias("name"))
+        self.one, self.other, self.low = a[new], b[new], chunk.doc[windows][order][new]
+
+
+def in_ranges(names: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of sorted 64-bit names, cut evenly into ranges by their upper bits."""
+    of = ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    return [(int(of[f]), int(f), int(e)) for f, e in zip(first, [*first[1:], len(of)], strict=True)]
+
+
+def _steps(sorted_names: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_names, prepend=np.uint64(0))
+
+
+def shared_names(requests: pa.Table) -> pa.Table:
+    """Blocks of one range of names (name steps; bits of those that a chunk has twice): bits of shared ones for each chunk."""
+    parts = [unpack(x) for x in requests["names"].to_pylist()]
+    names = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+    twice = [np.unpackbits(p[1], count=len(p[0])) for p in parts]
+    values, at = np.unique(np.concatenate(names), return_inverse=True)
+    shared = np.bincount(at, weights=1 + np.concatenate(twice)) > 1
+    ends = np.cumsum([len(n) for n in names])[:-1]
+    return pa.table({"chunk": requests["chunk"], "range": requests["range"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(shared[at], ends)], pa.binary())})
+
+
+def earlier_windows(requests: pa.Table) -> pa.Table:
+    """Blocks of one range of windows (steps of the key's first half; second half; ids): bits of those in a smaller document."""
+    parts = [unpack(x) for x in requests["names"].to_pylist()]
+    sizes = [len(p[0]) for p in parts]
+    one, other = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts])
+    ids = [i for x in requests["ids"].to_pylist() for i in json.loads(zstandard.decompress(x))]
+    known = sorted({i for i in ids if i is not None})
+    place = {i: n for n, i in enumerate(known)} | {None: len(known)}  # nulls come last
+    rank = np.fromiter(map(place.__getitem__, ids), np.int64, len(ids))
+    order = np.lexsort((other, one))
+    a, b = one[order], other[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    least = np.minimum.reduceat(rank[order], np.flatnonzero(new))
+    earlier = np.zeros(len(order), bool)
+    earlier[order] = least[np.cumsum(new) - 1] < rank[order]
+    return pa.table({"chunk": requests["chunk"], "range": requests["range"], "bits": pa.array([np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum(sizes)[:-1])], pa.binary())})
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def _batches(rows: dict[str, pa.Array], step: int = 50_000) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_pydict(rows)
-    for i in range(0, whole.num_rows, step):
-        yield whole.slice(i, step)
+def _answered(names: np.ndarray, ranges: int, answers: pa.Table) -> np.ndarray:
+    """The bits of all ranges, put in the order of the sorted names."""
+    bits = dict(zip(answers["range"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+    found = [np.unpackbits(np.frombuffer(bits[r], np.uint8), count=e - f) for r, f, e in in_ranges(names, ranges)]
+    return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
 
 
-def _asked(chunk: int, own: dict, low: list, high: list, free: list, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    n = len(low)
-    yield from _batches({"chunk": pa.array([chunk] * n, pa.int64()), "idx": pa.array(range(n), pa.int32()), **own, "low": pa.array(low, kind), "high": pa.array(high, kind), "free": pa.array(free, pa.bool_())})
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.DataType]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}, batch.schema.field("ids").type.value_type
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", texts: bool = False, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text", texts: bool = False, chunk_words: int = CHUNK_WORDS, range_words: int = RANGE_WORDS) -> DataFrame:
     """Remove words of windows that also start in a document with a smaller id.
 
     Returns a row for each of ``docs``: the id (as doc_id), n_words, n_removed, kept_sha256 (of the kept words joined by a
     space), spans (first and end of the removed words, from 0) and, if asked for, kept. Windows are judged on the
     texts as given. A null or empty text has no words. Rows with a null id come last: they lose what any
     document with an id has, and nothing to each other; nor do rows of equal ids to each other, or a document to itself.
-    Documents shorter than a window keep everything; an empty table gives no rows; other columns are not read.
+    Documents shorter than a window keep everything; an empty table gives no rows; other columns are not read. Ids are
+    integers or texts. Needs at least one round.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark, "recompression")
-    chunks = persisted(to_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), chunk_words), "chunks", folder)
     kind = docs.schema[doc_id].dataType.simpleString()
-    asked = f"low {kind}, high {kind}, free boolean"
+    chunks = persisted(to_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), chunk_words), "chunks", folder)
+    ranges = max(1, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // range_words))
+    state_columns = CHUNK_COLUMNS.format(kind) + ", windows binary"
+
+    def windows_of(row: dict, chunk: Chunk) -> np.ndarray:
+        return chunk.windows(window) if row.get("windows") is None else np.cumsum(unpack(row["windows"])[0], dtype=np.int64)
 
-    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, id_type in _rows(batches):
-            lengths, numbers = unpack(row["data"])
-            chunk = Chunk(row["ids"], lengths)
-            words = zstandard.decompress(row["words"]).split()
-            _, low, high, free = chunk.seen(numbers, chunk.doc)
-            yield from _asked(row["chunk"], {"word": pa.array(words, pa.binary())}, low, high, free, id_type)
+    def parsed(row: dict, turn: int) -> tuple[Chunk, Parse]:
+        chunk = Chunk(row)
+        parse = Parse(chunk, windows_of(row, chunk), window)
+        for k in range(1, turn + 1):
+            parse.advance(k)
+        return chunk, parse
 
     def ask(turn: int) -> Callable:
         def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row, id_type in _rows(batches):
-                parse = Parse(Chunk(row["ids"], unpack(row["lengths"])[0]), unpacked(row["state"]), turn)
-                keys = {k: pa.array(v, pa.int64()) for k, v in zip(("a", "ka", "b", "kb"), parse.keys, strict=True)}
-                yield from _asked(row["chunk"], keys, parse.low, parse.high, parse.free, id_type)
+            for row in _rows(batches):
+                names, twice = parsed(row, turn)[1].names()
+                for r, f, e in in_ranges(names, ranges):
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "chunk": pa.array([row["chunk"]], pa.int64()), "names": pa.array([pack(_steps(names[f:e]), np.packbits(twice[f:e]))], pa.binary())})
 
         return requests
 
-    def names_of(answers: pa.Table, n: int) -> np.ndarray:
-        names = np.full(n, -1, np.int64)
-        names[answers["idx"].to_numpy()] = answers["name"].to_numpy()
-        return names
-
-    def advance(turn: int) -> Callable:
-        def step(own: pa.Table, answers: pa.Table) -> pa.Table:
+    def step(turn: int) -> Callable:
+        def of(own: pa.Table, answers: pa.Table) -> pa.Table:
             row = {c: own[c][0].as_py() for c in own.column_names}
-            if turn:
-                lengths = unpack(row["lengths"])[0]
-                parse = Parse(Chunk(row["ids"], lengths), unpacked(row["state"]), turn)
-                state = parse.named(names_of(answers, len(parse.low)))
-            else:
-                lengths, numbers = unpack(row["data"])
-                state = first_state(Chunk(row["ids"], lengths), numbers, names_of(answers, len(numbers)), window)
-            return pa.table({"chunk": own["chunk"], "ids": own["ids"], "lengths": pa.array([pack(lengths)], pa.binary()), "state": pa.array([packed(state)], pa.binary())})
-
-        return step
-
-    state = None
-    for turn in range(rounds + 1):
-        if turn:
-            own, keys = state, ["a", "ka", "b", "kb"]
-            requests = own.mapInArrow(ask(turn), f"chunk long, idx int, a long, ka long, b long, kb long, {asked}")
-        else:
-            own, keys = chunks, ["word"]
-            requests = own.mapInArrow(ask_words, f"chunk long, idx int, word binary, {asked}")
-        answers = named(requests, keys, turn)
-        state = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(advance(turn), f"chunk long, ids array<{kind}>, lengths binary, state binary")
-        place = f"{folder}/round-{turn}"
-        state = persisted(state, "state", place)
-        if turn:
+            chunk, parse = parsed(row, turn)
+            left = parse.live(_answered(parse.names()[0], ranges, answers))
+            columns = chunk.reduced(left, window) | {"windows": pack(np.diff(left, prepend=0).astype(np.int32))}
+            return pa.table({c: own[c] for c in ("chunk", "ids", "n_words")} | {c: pa.array([v], pa.binary()) for c, v in columns.items()})
+
+        return of
+
+    state = chunks
+    for turn in range(1, rounds + 1):
+        requests = state.mapInArrow(ask(turn), "range int, chunk long, names binary")
+        answers = requests.groupBy("range").applyInArrow(shared_names, "chunk long, range int, bits binary")
+        found = state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(step(turn), state_columns)
+        state = persisted(found, "state", f"{folder}/round-{turn}")
+        if turn > 1:
             discard(spark, f"{folder}/round-{turn - 1}")
+        del requests, answers, found
+        forget(spark)
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, id_type in _rows(batches):
-            lengths, numbers = unpack(row["data"])
-            last = Finals(Chunk(row["ids"], lengths), numbers, zstandard.decompress(row["words"]).split(), unpacked(row["state"])[3], window)
-            yield from _asked(row["chunk"], {"one": pa.array(last.one, pa.int64()), "other": pa.array(last.other, pa.int64())}, last.low, last.high, last.free, id_type)
-
-    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            last = Finals(chunk, windows_of(row, chunk), window)
+            for r, f, e in in_ranges(last.one, ranges):
+                ids = zstandard.compress(json.dumps([chunk.ids[d] for d in last.low[f:e].tolist()]).encode(), 1)
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "chunk": pa.array([row["chunk"]], pa.int64()), "names": pa.array([pack(_steps(last.one[f:e]), last.other[f:e])], pa.binary()), "ids": pa.array([ids], pa.binary())})
+
+    def mark(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """Words of windows that a document with a smaller id has: another chunk's, or one of this chunk."""
         row = {c: own[c][0].as_py() for c in own.column_names}
-        lengths, numbers = unpack(row["data"])
-        words, chunk, windows = zstandard.decompress(row["words"]).split(), Chunk(row["ids"], lengths), unpacked(row["state"])[3]
-        last = Finals(chunk, numbers, words, windows, window)
-        # documents are in order of their ids: from one of them on they lose a window
+        chunk = Chunk(row)
+        windows = windows_of(row, chunk)
+        last = Finals(chunk, windows, window)
+        earlier = _answered(last.one, ranges, answers)
+        # documents of equal ids have equal rank; nulls come after all ids, and lose nothing to each other
         known = [i for i in chunk.ids if i is not None]
-        losing = np.full(len(last.low), len(chunk.ids))
-        losing[answers["idx"].to_numpy()] = [bisect_right(known, low) for low in answers["low"].to_pylist()]
-        hit = chunk.doc[windows] >= losing[last.group]
-        gone = covered(chunk.size, windows[hit], windows[hit] + window)
+        rank = np.array([len(known) if i is None else bisect_left(known, i) for i in chunk.ids], np.int64)
+        hit = earlier[last.group] | (rank[chunk.doc[windows]] > rank[last.low[last.group]])
+        edge = np.flatnonzero(np.diff(covered(chunk.size, windows[hit], windows[hit] + window), prepend=False, append=False))
+        return pa.table({"chunk": own["chunk"], "gone": pa.array([pack(np.diff(edge, prepend=0).astype(np.int32))], pa.binary())})
+
+    def finish(own: pa.Table, gone: pa.Table) -> pa.Table:
+        row = {c: own[c][0].as_py() for c in own.column_names}
+        chunk = Chunk(row)
+        edge = np.cumsum(unpack(gone["gone"][0].as_py())[0], dtype=np.int64)
+        out_of = covered(chunk.size, edge[0::2], edge[1::2])
         removed, digests, spans, kept_texts = [], [], [], []
         for k in range(len(chunk.ids)):
             a, b = int(chunk.starts[k]), int(chunk.starts[k + 1])
-            out = gone[a:b]
-            kept = b" ".join([words[w] for w in numbers[a:b][~out].tolist()])
-            edge = np.flatnonzero(np.diff(out, prepend=False, append=False))
+            out = out_of[a:b]
+            kept = b" ".join([chunk.words[w] for w in chunk.numbers[a:b][~out].tolist()])
+            own_edge = np.flatnonzero(np.diff(out, prepend=False, append=False))
             removed.append(int(out.sum()))
             digests.append(hashlib.sha256(kept).hexdigest())
-            spans.append([{"first": f, "end": e} for f, e in edge.reshape(-1, 2).tolist()])
+            spans.append([{"first": f, "end": e} for f, e in own_edge.reshape(-1, 2).tolist()])
             kept_texts.append(kept.decode() if texts else None)
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": own["ids"].combine_chunks().flatten(), "n_words": pa.array(lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, span), "kept": pa.array(kept_texts, pa.string())})
-
-    whole = chunks.join(state.select("chunk", "state"), "chunk").select("chunk", "ids", "words", "data", "state")
-    requests = whole.mapInArrow(ask_windows, f"chunk long, idx int, one long, other long, {asked}")
-    numbered, of = _shared(requests, ["one", "other"])
-    low = numbered.select("chunk", "idx", "high", "free", of["low"].alias("low")).where("low < high or (free and low is not null)").select("chunk", "idx", "low")
-    done = whole.groupBy("chunk").cogroup(low.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept string")
+        return pa.table({"doc_id": own["ids"].combine_chunks().flatten(), "n_words": pa.array(chunk.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, span), "kept": pa.array(kept_texts, pa.string())})
+
+    requests = state.mapInArrow(ask_windows, "range int, chunk long, names binary, ids binary")
+    answers = requests.groupBy("range").applyInArrow(earlier_windows, "chunk long, range int, bits binary")
+    gone = persisted(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, "chunk long, gone binary"), "gone", folder)
+    del requests, answers, state
+    discard(spark, f"{folder}/round-{rounds}")
+    forget(spark)
+    done = chunks.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept string")
     return done if texts else done.drop("kept")
 
 
