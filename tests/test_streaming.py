@@ -1,9 +1,12 @@
 """The live guard gives the verdicts of the batch guard, however chunks fall into micro-batches."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from weirstream.functions.stream_kernel import TextFeatures
+from weirstream.functions.stream_state import MOST_BYTES, MOST_CONTEXTS, GrowingFeatures
 from weirstream.operators import kernel_tier
 from weirstream.operators.streams import chunks
 from weirstream.streaming.guard import guard_stream, with_last
@@ -51,3 +54,68 @@ def test_later_text_never_changes_earlier_checkpoints(spark):
     rows = kernel_tier.features(streams, final=False).where(F.col("pos") <= 1000).drop("n_chars").collect()
     one, two = ([tuple(r)[1:] for r in rows if r.stream_id == i] for i in (1, 2))
     assert one and one == two[: len(one)]
+
+
+def test_bounded_features_are_those_of_the_whole_text():
+    texts = [t for _, t in texts_of_all_kinds()]
+    draw = random.Random(1)
+    for t in texts:
+        whole, grown, pos, frozen = TextFeatures(t), GrowingFeatures(), 0, None
+        while pos < len(t):
+            piece = t[pos : pos + draw.choice([1, 2, 7, 40, 300, 5000])]
+            if draw.random() < 0.3:
+                grown = GrowingFeatures.load(grown.dump())
+            grown.feed(piece)
+            for at in {pos + 1, pos + len(piece)}:
+                a, b = grown.at(at), whole.at(at, None, frozen)
+                assert all(abs(a[k] - b[k]) < 1e-9 for k in a if k != "zlib_ratio"), (t[:40], at)
+            pos += len(piece)
+            if frozen is None and pos >= 350:
+                frozen = pos
+                grown.freeze(pos)
+
+
+def texts_of_all_kinds():
+    odd = ["a", "ab" * 300, "年月日" * 400 + " x", "\U00010330 1٣ Σας ΣΑΣ " * 60, "--- === " * 100, "x" * 900]
+    return [*texts(), *enumerate(odd, 100)]
+
+
+def test_state_is_bounded_and_work_linear():
+    """Every character combination anew: counts reach their caps, time for the second half is that for the first."""
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0x3400, 0x4400)]
+    text = "".join(draw.choices(letters, k=600_000)) + "word " * 20_000
+    took, grown = [], GrowingFeatures()
+    for half in (text[:350_000], text[350_000:]):
+        began = time.process_time()
+        for i in range(0, len(half), 10_000):
+            grown = GrowingFeatures.load(grown.dump())
+            grown.feed(half[i : i + 10_000])
+        took.append(time.process_time() - began)
+    size = sum(map(len, grown.dump().values()))
+    assert 4_000_000 < size < MOST_BYTES
+    assert len(grown.contexts[2].keys) == MOST_CONTEXTS and grown.sketch.rows.any()
+    assert took[1] < 3 * took[0] + 0.5
+    once = GrowingFeatures()
+    for i in range(0, len(text), 65_536):
+        once.feed(text[i : i + 65_536])
+    assert once.at(len(text)) == grown.at(len(text))
+
+
+def test_live_chunks_one_at_a_time(spark, tmp_path):
+    """A long stream over many micro-batches, its last chunk empty: as in batch."""
+    long = PROSE * 40 + LOOP * 3 + PROSE * 3
+    streams = spark.createDataFrame([(9, long)], "stream_id long, text string")
+    pieces = [(9, r.seq, r.chunk, False) for r in chunks(streams).orderBy("seq").collect()]
+    pieces.append((9, len(pieces) + 1, "", True))
+    schema = "stream_id long, seq long, chunk string, last boolean"
+    source, cut = tmp_path / "in", -(-(len(pieces) - 1) // 3)
+    for part in (*(pieces[i : i + cut] for i in range(0, len(pieces) - 1, cut)), pieces[-1:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = guard_stream(live).writeStream.format("memory").queryName("long_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    (row,) = spark.table("long_rows").where("done").collect()
+    (batch,) = kernel_tier.guard(streams).collect()
+    assert (row.state, round(row.p, 9), row.onset) == (batch.state, round(batch.p, 9), batch.onset)
+    assert spark.table("long_rows").where("k is not null").count() == batch.checkpoints

@@ -150,12 +150,14 @@ class TextFeatures:
         self.ids = numbered(codes)
         before = earlier(self.ids)
         self.surprise = surprises(self.ids, before)
-        self.mean = self.mad = 0.0
+        mean = mad = 0.0
+        self.bases = [(0.0, 0.0)]  # after each of the first characters
         head = self.surprise[:BASELINE].tolist()
         for i, x in enumerate(head):
             if i:
-                self.mad += ALPHA * (abs(x - self.mean) - self.mad)
-            self.mean += (ALPHA if i else 1.0) * (x - self.mean)
+                mad += ALPHA * (abs(x - mean) - mad)
+            mean += (ALPHA if i else 1.0) * (x - mean)
+            self.bases.append((mean, mad))
         self.new = np.cumsum(before == 0)
         counts: dict[str, int] = {}
         nth = np.zeros(max(0, (n - SHINGLE) // STRIDE + 1), np.int64)
@@ -196,6 +198,7 @@ class TextFeatures:
         words = WORDS.findall(window)
         recent = self.surprise[max(0, pos - RECENT) : pos]
         now = float(recent.mean()) if len(recent) else 0.0
+        mean, mad = self.bases[min(pos, BASELINE)]
         shingles = max(0, (pos - SHINGLE) // STRIDE + 1) if pos >= SHINGLE else 0
         counts = np.bincount(self.ids[low:pos])
         counts = counts[counts > 0]
@@ -216,8 +219,8 @@ class TextFeatures:
             "digit_frac": of[0] / n, "foreign_frac": alien / letters if letters else 0.0, "repeat_rate": float(self.repeats[shingles - 1] / shingles) if shingles else 0.0,
             "zlib_ratio": ratio, "ttr": len(set(words)) / len(words) if words else 1.0, "script_switch_rate": float(self.switches[pos - 1]) / pos * 100 if pos else 0.0,
             "structural_density": sum(len(p.findall(window)) for needed, p in TRACES if any(x in window for x in needed)) / max(1.0, n / 100), "symbol_frac": of[2] / n, "max_char_run": min(int(self.longest[pos - 1]), LONGEST_RUN) / LONGEST_RUN if pos else 0.0,
-            "space_frac": of[1] / n, "surprise_z": (now - self.mean) / (1.4826 * self.mad + 1e-6) if pos >= 3 else 0.0,
-            "surprise_low_frac": float((recent < max(0.5, self.mean - self.mad)).mean()) if len(recent) else 0.0, "simhash_drift": drift, "entropy": entropy,
+            "space_frac": of[1] / n, "surprise_z": (now - mean) / (1.4826 * mad + 1e-6) if pos >= 3 else 0.0,
+            "surprise_low_frac": float((recent < max(0.5, mean - mad)).mean()) if len(recent) else 0.0, "simhash_drift": drift, "entropy": entropy,
             "max_shingle_count": min(int(self.most[shingles - 1]), MOST_SHINGLES) / MOST_SHINGLES if shingles else 0.0,
         }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weirstream.functions.kernels import loop_onset
 from weirstream.operators.detectors import DRIFT, REGURGITATION, REPETITION, SEMANTIC, STRUCTURAL
+from weirstream.operators.protocol import DEFLATE_EVERY
 
 #: Instructions of a repair, by class in order of priority; our own words.
 INSTRUCTIONS = {
@@ -74,6 +75,36 @@ def loop_trimmed(streams: DataFrame) -> DataFrame:
     return found.select("stream_id", "loop_onset", F.when(F.col("loop_onset").isNull(), F.col("text")).otherwise(snapped(F.col("text"), F.col("loop_onset").cast("int"))).alias("trimmed"))
 
 
+class StreamState:
+    """A short text that grows by chunks, with what its features depend on besides: where things were renewed."""
+
+    def __init__(self, text: str = "", since_deflate: int = 0, deflated: int = -1, frozen: int = -1):
+        self.text, self.since_deflate, self.deflated, self.frozen = text, since_deflate, deflated, frozen
+
+    def feed(self, chunk: str) -> None:
+        self.text += chunk
+        self.since_deflate += len(chunk)
+        if self.since_deflate >= DEFLATE_EVERY:
+            self.since_deflate = 0
+            if len(self.text) >= 120:
+                self.deflated = len(self.text)
+
+    def mark(self) -> tuple[int, int | None, int | None]:
+        """What the features of the text so far depend on: its length, and where things were renewed."""
+        return len(self.text), self.deflated if self.deflated >= 0 else None, self.frozen if 0 <= self.frozen < len(self.text) else None
+
+    def vector(self) -> dict[str, float]:
+        from weirstream.functions.stream_kernel import TextFeatures
+
+        return TextFeatures(self.text).at(*self.mark())
+
+    def fused(self) -> tuple[float, dict[str, float]]:
+        from weirstream.functions.stream_kernel import fused_probability
+
+        f = self.vector()
+        return fused_probability(f), f
+
+
 def trim_to_clean(streams: DataFrame, min_len: int = 0, windows: tuple[int, ...] = (250, 600, 1200), corrupt_at: float = 0.7) -> DataFrame:
     """stream_id, trimmed: the longest prefix whose end scores clean, null if none can be trusted.
 
@@ -82,7 +113,6 @@ def trim_to_clean(streams: DataFrame, min_len: int = 0, windows: tuple[int, ...]
     in the task that holds the text, so no probe needs a shuffle.
     """
     from weirstream.functions.kernels import loop_start
-    from weirstream.streaming.guard import StreamState
 
     def clean(text: str, at: int) -> bool:
         for size in windows:

@@ -21,87 +21,82 @@ from weirstream.operators.fusion import Thresholds
 from weirstream.operators.protocol import BURN_IN, DEFLATE_EVERY, DELTA, LAMBDA, scored
 from weirstream.operators.streams import EVERY, HOLD
 
+#: Characters that are counted at once.
+PIECE = 65_536
 FEATURES = ", ".join(f"{c} double" for c in detectors.VECTOR)
 
 
-class StreamState:
-    """A text that grows by chunks, with what its features depend on besides: where things were renewed."""
-
-    def __init__(self, text: str = "", since_deflate: int = 0, deflated: int = -1, frozen: int = -1):
-        self.text, self.since_deflate, self.deflated, self.frozen = text, since_deflate, deflated, frozen
-
-    def feed(self, chunk: str) -> None:
-        self.text += chunk
-        self.since_deflate += len(chunk)
-        if self.since_deflate >= DEFLATE_EVERY:
-            self.since_deflate = 0
-            if len(self.text) >= 120:
-                self.deflated = len(self.text)
-
-    def mark(self) -> tuple[int, int | None, int | None]:
-        """What the features of the text so far depend on: its length, and where things were renewed."""
-        return len(self.text), self.deflated if self.deflated >= 0 else None, self.frozen if 0 <= self.frozen < len(self.text) else None
-
-    def vector(self) -> dict[str, float]:
-        from weirstream.functions.stream_kernel import TextFeatures
-
-        return TextFeatures(self.text).at(*self.mark())
-
-    def fused(self) -> tuple[float, dict[str, float]]:
-        from weirstream.functions.stream_kernel import fused_probability
-
-        f = self.vector()
-        return fused_probability(f), f
-
-
 class Checkpoints(StatefulProcessor):
     """Chunks (seq from 1, the last one marked) to features at checkpoints and at the end (k null).
 
-    State is the text so far. The checkpoints that a micro-batch reaches are scored in one pass over it, so work grows
-    with micro-batches, not with checkpoints.
+    State is that of ``GrowingFeatures``, in named parts of bounded size, never the text; a micro-batch reads it once,
+    counts its new characters in pieces of about ``PIECE`` and writes the parts that changed.
     """
 
     def __init__(self, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None):
         self.hold, self.every, self.idle_ms = hold, every, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "text string, since_deflate int, deflated int, frozen int, next_seq long, k int, due int, ended boolean", ttlDurationMs=self.idle_ms)
+        self.state = handle.getValueState("state", "pos long, since_deflate long, next_seq long, k int, due long, ended boolean", ttlDurationMs=self.idle_ms)
+        self.parts = handle.getMapState("parts", "part string", "data binary", ttlDurationMs=self.idle_ms)
         self.early = handle.getMapState("early", "seq long", "chunk string, last boolean", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self.state.get() if self.state.exists() else ("", 0, -1, -1, 1, 0, self.hold, False)
-        text = StreamState(*s[:4])
-        next_seq, k, due, ended = s[4:]
-        out = []
+        from weirstream.functions.stream_state import GrowingFeatures
+
+        pos, since, next_seq, k, due, ended = self.state.get() if self.state.exists() else (0, 0, 1, 0, self.hold, False)
+        out: list[dict] = []
         if not ended:
             for frame in rows:
                 for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["last"], strict=True):
                     if seq >= next_seq and not self.early.containsKey((int(seq),)):
                         self.early.updateValue((int(seq),), (chunk or "", bool(last)))
+            before = {part[0]: bytes(data[0]) for part, data in self.parts.iterator()} if pos else {}
+            features = GrowingFeatures.load(before) if before else GrowingFeatures()
+            piece, begun, due_now = [], pos, []
+
+            def settle() -> None:
+                """Counts the piece, then what falls due in it, in order."""
+                features.feed("".join(piece))
+                for what, at, number in due_now:
+                    if what == "renew":
+                        features.renew(at)
+                    elif what == "freeze":
+                        features.freeze(at)
+                    else:
+                        out.append({"k": number, "pos": at} | features.at(at))
+                piece.clear()
+                due_now.clear()
+
             while not ended and self.early.containsKey((next_seq,)):
-                chunk, last = self.early.getValue((next_seq,))
+                chunk, ended = self.early.getValue((next_seq,))
                 self.early.removeKey((next_seq,))
                 next_seq += 1
-                text.feed(chunk)
-                pos = len(text.text)
+                piece.append(chunk)
+                pos, since = pos + len(chunk), since + len(chunk)
+                if since >= DEFLATE_EVERY:
+                    since = 0
+                    due_now.append(("renew", pos, None))
                 if chunk and pos >= due:
                     k, due = k + 1, pos + self.every
-                    out.append((k, text.mark()))
-                    if text.frozen < 0:
-                        text.frozen = pos
-                if last:
-                    ended = True
-                    if pos:
-                        out.append((None, text.mark()))
-            # an ended stream keeps only the mark that it ended
-            self.state.update(("" if ended else text.text, text.since_deflate, text.deflated, text.frozen, next_seq, k, due, ended))
-        columns = ["k", "pos", *detectors.VECTOR]
-        if out:
-            from weirstream.functions.stream_kernel import TextFeatures
-
-            features = TextFeatures(text.text)
-            out = [{"k": k, "pos": mark[0]} | features.at(*mark) for k, mark in out]
-        frame = pd.DataFrame(out, columns=columns)
+                    due_now.append(("check", pos, k))
+                    if k == 1:
+                        due_now.append(("freeze", pos, None))
+                if ended and pos:
+                    due_now.append(("check", pos, None))
+                if pos - begun >= PIECE and chunk:
+                    settle()
+                    begun = pos
+            if piece and (pos > begun or due_now):
+                settle()
+            if ended:  # keeps only the mark that it ended
+                self.parts.clear()
+            else:
+                for part, data in features.dump().items():
+                    if before.get(part) != data:
+                        self.parts.updateValue((part,), (data,))
+            self.state.update((pos, since, next_seq, k, due, ended))
+        frame = pd.DataFrame(out, columns=["k", "pos", *detectors.VECTOR])
         frame.insert(0, "stream_id", [key[0]] * len(frame))
         yield frame.astype({"k": "Int32", "pos": "int32"})
 
