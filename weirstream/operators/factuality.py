@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirstream.functions.text import NUMBER, numbers_in
+from weirstream.operators.blocks import block_lists, moving
 
 #: Uncertain from this entropy (nats) on or up to this margin; rate of the moving risk; log-probability of a missing one.
 ENTROPY_BAR, MARGIN_BAR, RATE, MISSING = 1.2, 0.6, 0.3, -20.0
@@ -86,10 +87,12 @@ def token_signals(tokens: DataFrame, as_listed: bool = False) -> DataFrame:
 
 
 def fact_uncertainty(signals: DataFrame) -> DataFrame:
-    """By answer: fact_uncertainty (a moving average over facts in order), peak_fact_risk, counts and flag_rate."""
-    facts = signals.where("kind <> ''").groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("pos", "risk"))).alias("r"), F.max("risk").alias("peak"), F.count("*").alias("facts"), F.sum(F.col("flagged").cast("long")).alias("flags"))
-    moving = F.aggregate("r", F.lit(0.0), lambda s, x: (1 - RATE) * s + RATE * x["risk"])
-    found = facts.select("answer_id", F.round(moving, 3).alias("fact_uncertainty"), F.round("peak", 3).alias("peak_fact_risk"), F.col("facts").alias("fact_tokens"), F.col("flags").alias("flagged_fact_tokens"), F.round(F.col("flags") / F.col("facts"), 3).alias("flag_rate"))
+    """By answer: fact_uncertainty (a moving average over facts in order, by blocks of tokens), peak_fact_risk, counts and flag_rate."""
+    told = signals.where("kind <> ''")
+    facts = told.groupBy("answer_id").agg(F.max("risk").alias("peak"), F.count("*").alias("facts"), F.sum(F.col("flagged").cast("long")).alias("flags"))
+    average = moving(block_lists(told.withColumn("__at", F.col("pos") + 1), "answer_id", "__at", "risk"), "answer_id", RATE, start=0.0)
+    facts = facts.join(average.select("answer_id", "mean"), "answer_id")
+    found = facts.select("answer_id", F.round("mean", 3).alias("fact_uncertainty"), F.round("peak", 3).alias("peak_fact_risk"), F.col("facts").alias("fact_tokens"), F.col("flags").alias("flagged_fact_tokens"), F.round(F.col("flags") / F.col("facts"), 3).alias("flag_rate"))
     every = signals.select("answer_id").distinct().join(found, "answer_id", "left")
     return every.na.fill(0.0, ["fact_uncertainty", "peak_fact_risk", "flag_rate"]).na.fill(0, ["fact_tokens", "flagged_fact_tokens"])
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirstream.operators import detectors
+from weirstream.operators.blocks import block_of, scan
 from weirstream.operators.fusion import Thresholds, decide, fuse
-from weirstream.operators.sequence_features import LONGEST_RUN, baselines, char_runs, drift, fingerprint_words, repetition, script_switches, surprise, surprise_windows
-from weirstream.operators.streams import CHUNK, EVERY, HOLD, characters, checkpoint_at, checkpoints, chunks, final_positions
+from weirstream.operators.sequence_features import BASELINE, LONGEST_RUN, baselines, char_runs, drift, fingerprint_words, repetition, script_switches, surprise, surprise_windows
+from weirstream.operators.streams import CHUNK, EVERY, HOLD, blocked_characters, characters, checkpoint_at, checkpoints, chunks, final_positions
 from weirstream.operators.window_features import char_entropy, window_features
 
 #: Page-Hinkley: tolerated drift, alarm level, updates before the first alarm. Score from which rules alone abort.
@@ -28,12 +29,13 @@ def features(streams: DataFrame, chunk: int = CHUNK, hold: int = HOLD, every: in
         points = points.unionByName(final_positions(streams.where(F.length("text") > 0), chunk))
     at = points.select("stream_id", "pos").distinct()
     chars = characters(streams)
-    ordered = surprise(char_runs(script_switches(chars))).persist()  # three branches read it; it may spill
     here = at.withColumnRenamed("pos", "i")
-    running = ordered.join(here, ["stream_id", "i"]).select("stream_id", F.col("i").alias("pos"), (F.col("switches") / F.col("i") * 100).alias("script_switch_rate"), (F.least(F.col("longest_run"), F.lit(LONGEST_RUN)) / LONGEST_RUN).alias("max_char_run"))
+    # the baseline is that of a text's first characters: their surprise is computed anew rather than kept
+    base = baselines(surprise(characters(streams.withColumn("text", F.left("text", F.lit(BASELINE))))))
+    running = char_runs(script_switches(blocked_characters(streams))).join(here, ["stream_id", "i"]).select("stream_id", F.col("i").alias("pos"), (F.col("switches") / F.col("i") * 100).alias("script_switch_rate"), (F.least(F.col("longest_run"), F.lit(LONGEST_RUN)) / LONGEST_RUN).alias("max_char_run"))
     known = points.groupBy("stream_id", "pos").agg(F.min("k").alias("k"), F.first("text").alias("text"), F.first("n_chars").alias("n_chars"))
     out = points.select("stream_id", "k", "pos").join(window_features(known, expected).drop("k"), ["stream_id", "pos"])
-    for part in (running, surprise_windows(ordered, baselines(ordered), at), repetition(streams, at), drift(fingerprint_words(chars), known), char_entropy(known, chars)):
+    for part in (running, surprise_windows(surprise(chars), base, at), repetition(streams, at), drift(fingerprint_words(chars), known), char_entropy(known, chars)):
         out = out.join(part, ["stream_id", "pos"])
     if with_deflate:
         out = out.join(deflate_at(known, chunk), ["stream_id", "pos"])
@@ -63,8 +65,20 @@ def scored(rows: DataFrame, learned_p: Column | None = None, thresholds: Thresho
     return out.select("*", "__f.*", hard.alias("hard")).drop("__f")
 
 
-def page_hinkley(rows: DataFrame, value: str = "p", key: str = "stream_id", order: str = "k", delta: float = DELTA, level: float = LAMBDA, burn_in: int = BURN_IN) -> DataFrame:
-    """Adds ph (cumulative excess over its minimum) and alarm (the first row that passes the level)."""
+def page_hinkley(rows: DataFrame, value: str = "p", key: str = "stream_id", order: str = "k", delta: float = DELTA, level: float = LAMBDA, burn_in: int = BURN_IN, block: int | None = None) -> DataFrame:
+    """Adds ph (cumulative excess over its minimum) and alarm (the first row that passes the level).
+
+    With ``block`` the order is a whole number from 1 without gaps, and a key's rows are scanned in blocks of so many.
+    """
+    if block:
+        out = scan(rows.withColumn("__b", block_of(F.col(order), block)), key, order, sums={"__s": F.col(value)}, block="__b")
+        out = out.withColumn("__x", F.col(value) - F.col("__s") / F.col(order) - delta)
+        out = scan(scan(out, key, order, sums={"__cum": F.col("__x")}, block="__b"), key, order, minima={"__low": F.col("__cum")}, block="__b")
+        out = out.withColumn("ph", F.col("__cum") - F.least(F.lit(0.0), "__low"))
+        out = out.withColumn("__o", (F.col("ph") > level) & (F.col(order) > burn_in))
+        first = out.where("__o").groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"))
+        out = out.join(first, F.col(key) == F.col("__key"), "left")
+        return out.withColumn("alarm", F.coalesce(F.col(order) == F.col("__first"), F.lit(False))).drop("__b", "__s", "__x", "__cum", "__low", "__o", "__key", "__first")
     w = Window.partitionBy(key).orderBy(order)
     out = rows.withColumn("__n", F.row_number().over(w)).withColumn("__x", F.col(value) - F.avg(value).over(w) - delta)
     out = out.withColumn("__cum", F.sum("__x").over(w))

@@ -1,7 +1,7 @@
 """Features that depend on the order of characters since a stream began, as window functions.
 
-All windows are partitioned by the stream first, so one exchange serves them all. A stream is one
-partition of a window; texts are bounded, and many streams fill a cluster.
+Switches and runs are scans by blocks of positions (``blocks``), so one stream may be many tasks. The other windows are
+partitioned by the stream and what they count.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirstream.functions.text import RUN_EXCLUDED, SCRIPTS, char_class
+from weirstream.operators.blocks import block_of, scan
 from weirstream.operators.streams import by_stream
 
 #: Weights of orders 3 to 0 and additive smoothing of the online model; least alphabet.
@@ -22,19 +23,25 @@ SHINGLE, STRIDE, FINGERPRINT_WORDS, LEAST_WORDS = 12, 4, 48, 8
 LONGEST_RUN, MOST_SHINGLES = 40, 30
 
 
+def with_block(chars: DataFrame) -> DataFrame:
+    return chars if "block" in chars.columns else chars.withColumn("block", block_of(F.col("i")))
+
+
 def script_switches(chars: DataFrame) -> DataFrame:
-    """Adds ``switches``: changes of script between successive letters up to each character."""
+    """Adds ``switches``: changes of script between successive letters up to each character; by blocks of positions."""
     letter = F.col("cls").isin(*SCRIPTS)
-    before = F.last(F.when(letter, F.col("cls")), ignorenulls=True).over(by_stream().rowsBetween(Window.unboundedPreceding, -1))
-    switched = chars.withColumn("cls", char_class(F.col("ch"))).withColumn("__s", (letter & (before != F.col("cls"))).cast("long"))
-    return switched.withColumn("switches", F.coalesce(F.sum("__s").over(by_stream()), F.lit(0))).drop("__s")
+    known = with_block(chars).withColumn("cls", char_class(F.col("ch")))
+    known = scan(known, "stream_id", "i", lasts={"__from": F.when(letter, F.col("cls"))})
+    return scan(known, "stream_id", "i", sums={"switches": F.coalesce((letter & (F.col("__from") != F.col("cls"))).cast("long"), F.lit(0))}).drop("__from")
 
 
 def char_runs(chars: DataFrame) -> DataFrame:
-    """Adds ``longest_run``: length of the longest run of one character so far; excluded characters never accumulate."""
-    breaks = F.coalesce((F.col("ch") != F.lag("ch").over(by_stream())) | F.col("ch").isin(*RUN_EXCLUDED), F.lit(True))
-    runs = chars.withColumn("__run", F.sum(breaks.cast("long")).over(by_stream())).withColumn("__len", F.row_number().over(by_stream("__run")).cast("long"))
-    return runs.withColumn("longest_run", F.max("__len").over(by_stream())).drop("__run", "__len")
+    """Adds ``longest_run``: length of the longest run of one character so far; excluded characters never accumulate. By
+    blocks of positions: a run is as long as the last break lies back."""
+    known = scan(with_block(chars), "stream_id", "i", lasts={"__from": F.col("ch")})
+    breaks = F.coalesce((F.col("ch") != F.col("__from")) | F.col("ch").isin(*RUN_EXCLUDED), F.lit(True))
+    known = scan(known, "stream_id", "i", maxima={"__start": F.when(breaks, F.col("i"))})
+    return scan(known, "stream_id", "i", maxima={"longest_run": (F.col("i") - F.col("__start") + 1).cast("long")}).drop("__from", "__start")
 
 
 def surprise(chars: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirstream.functions.text import window_at
+from weirstream.operators.blocks import BLOCK
 
 #: First checkpoint, distance of further ones, characters of a chunk, characters of the sliding window.
 HOLD, EVERY, CHUNK, WINDOW = 350, 400, 40, 600
@@ -61,9 +62,21 @@ def final_positions(streams: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return streams.select("stream_id", F.right("text", F.lit(REACH + chunk)).alias("text"), F.length("text").alias("n_chars"), F.lit(None).cast("int").alias("k"), F.length("text").alias("pos"))
 
 
+def blocked_characters(streams: DataFrame, spread: bool = True, size: int = BLOCK) -> DataFrame:
+    """stream_id, block, i (from 1), ch. Texts are cut into blocks in one pass; with ``spread`` these are dealt out by stream
+    and block before they become characters, so windows by both shuffle no character."""
+    whole = streams.where(F.length("text") > 0)
+    cut = F.when(F.length("text") <= size, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    pieces = whole.select("stream_id", F.posexplode(cut).alias("block", "piece")).withColumn("block", F.col("block").cast("long"))
+    if spread:
+        pieces = pieces.repartition("stream_id", "block")
+    chars = pieces.select("stream_id", "block", F.posexplode(F.split("piece", "")).alias("i", "ch")).where("ch <> ''")
+    return chars.withColumn("i", (F.col("block") * size + F.col("i") + 1).cast("int"))
+
+
 def characters(streams: DataFrame, spread: bool = False) -> DataFrame:
     """stream_id, i (from 1), ch. ``spread`` deals streams out before further work."""
-    exploded = streams.where(F.length("text") > 0).select("stream_id", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''").withColumn("i", F.col("i") + 1)
+    exploded = blocked_characters(streams, spread=False).drop("block")
     return exploded.repartition("stream_id") if spread else exploded
 
 

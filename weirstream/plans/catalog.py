@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weirstream.functions import kernels
 from weirstream.functions.text import char_class, count_of
-from weirstream.operators import detectors, factuality, fusion, grounding, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth, window_features
+from weirstream.operators import blocks, detectors, factuality, fusion, grounding, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth, window_features
 from weirstream.operators import streams as st
 from weirstream.plans import stream_sql as sql
 from weirstream.plans import training
@@ -100,12 +100,12 @@ def structural_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(sql.STREAMS, sql.CHARS, sql.SWITCHES) + "select stream_id, max(switches)::bigint as switches from sc group by stream_id")
 def script_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence_features.script_switches(st.characters(documents(spark, sf_dir))).groupBy("stream_id").agg(F.max("switches").alias("switches"))
+    return sequence_features.script_switches(st.blocked_characters(documents(spark, sf_dir))).groupBy("stream_id").agg(F.max("switches").alias("switches"))
 
 
 @query(with_(sql.STREAMS, sql.CHARS, sql.RUNS) + "select stream_id, max(longest_run)::bigint as longest_run from ru group by stream_id")
 def char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence_features.char_runs(st.characters(documents(spark, sf_dir))).groupBy("stream_id").agg(F.max("longest_run").alias("longest_run"))
+    return sequence_features.char_runs(st.blocked_characters(documents(spark, sf_dir))).groupBy("stream_id").agg(F.max("longest_run").alias("longest_run"))
 
 
 @query(with_(sql.STREAMS, sql.POINTS, sql.ENDS, sql.AT, sql.CHARS, sql.ENTROPY) + f"select stream_id, pos::int as pos, {sql6('entropy')} from en")
@@ -131,8 +131,10 @@ def surprise_baseline_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surprise_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = documents(spark, sf_dir)
     at = st.checkpoints(s).unionByName(st.final_positions(s.where("text <> ''"))).select("stream_id", "pos").distinct()
-    found = sequence_features.surprise(st.characters(s, spread=True)).persist()  # two branches read it
-    return sequence_features.surprise_windows(found, sequence_features.baselines(found), at).select("stream_id", "pos", *r6("surprise_z", "surprise_low_frac"))
+    head = st.characters(s.withColumn("text", F.left("text", F.lit(sequence_features.BASELINE))), spread=True)
+    base = sequence_features.baselines(sequence_features.surprise(head))
+    found = sequence_features.surprise(st.characters(s, spread=True))
+    return sequence_features.surprise_windows(found, base, at).select("stream_id", "pos", *r6("surprise_z", "surprise_low_frac"))
 
 
 @query(with_(sql.STREAMS, sql.POINTS, sql.ENDS, sql.AT, sql.SHINGLES) + f"select stream_id, pos::int as pos, {sql6('repeat_rate', 'max_shingle_count')} from re")
@@ -694,13 +696,18 @@ def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- events --------------------------------------------------------------------------------------------------------
 
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a value and their place ``k`` among those of the user, put in order hour by hour."""
+    e = table(spark, sf_dir, "events").where("value is not null and user_id is not null")
+    return blocks.positions(e, "user_id", F.date_trunc("hour", "ts"), ["ts", "event_id"], "k")
+
+
 @query(f"""with e as (select user_id, list({{'mean': value::double, 'mad': 0.0::double}} order by ts, event_id) as l, count(*) as n from events where value is not null group by user_id),
 b as (select user_id, n, list_reduce(l, lambda a, x: {{'mean': a.mean + {sql.ALPHA}::double * (x.mean - a.mean), 'mad': a.mad + {sql.ALPHA}::double * (abs(x.mean - a.mean) - a.mad)}}) as b from e)
 select user_id, n::bigint as n, round(b.mean, 6) as mean, round(b.mad, 6) as mad from b""")
 def value_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("l"))
-    b = e.select("user_id", F.size("l").cast("long").alias("n"), sequence_features.moving_baseline(F.transform("l", lambda x: x["value"])).alias("b"))
-    return b.select("user_id", "n", F.round("b.mean", 6).alias("mean"), F.round("b.mad", 6).alias("mad"))
+    b = blocks.moving(blocks.block_lists(user_events(spark, sf_dir), "user_id", "k", "value"), "user_id", sequence_features.ALPHA)
+    return b.select("user_id", "n", F.round("mean", 6).alias("mean"), F.round("mad", 6).alias("mad"))
 
 
 @query("""with e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k, value / 100 as x from events where value is not null),
@@ -708,8 +715,8 @@ h1 as (select *, x - avg(x) over (partition by user_id order by k) - 0.02 as d f
 h3 as (select *, cum - least(0.0, min(cum) over (partition by user_id order by k)) as ph from h2)
 select event_id, round(ph, 10) as ph, ph > 0.35 and k > 3 and sum((ph > 0.35 and k > 3)::int) over (partition by user_id order by k) = 1 as alarm from h3""")
 def value_changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value is not null").withColumns({"k": F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "x": F.col("value") / 100})
-    return protocol.page_hinkley(e, "x", "user_id").select("event_id", F.round("ph", 10).alias("ph"), "alarm")
+    e = user_events(spark, sf_dir).withColumn("x", F.col("value") / 100)
+    return protocol.page_hinkley(e, "x", "user_id", block=blocks.BLOCK).select("event_id", F.round("ph", 10).alias("ph"), "alarm")
 
 
 @query("select event_id, len(json_keys(props))::int as n_keys, array_to_string(list_sort(json_keys(props)), ',') as keys from events where props is not null")
