@@ -20,9 +20,11 @@ import hashlib
 import json
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,7 +137,7 @@ class Parse:
         self.begin, self.end = windows, windows + window
         self.start = np.flatnonzero(covered(chunk.size, self.begin, self.end))
         self.length, self.doc = np.ones(len(self.start), np.int64), chunk.doc[self.start]
-        names = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in chunk.words]), np.uint64)
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, chunk.words), np.uint64, len(chunk.words))
         self.name = names[chunk.numbers[self.start]]
         self.new = np.ones(len(self.start), bool)
 
@@ -178,22 +180,22 @@ class Parse:
         self.name = np.where(paired, _mixed(named[left] * np.uint64(0xD6E8FEB86659FD93) + _mixed(named[right] + np.uint64(turn))), named[left])
         self.new = paired | (count[left] > 1)
 
+    @cached_property
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct new names, sorted, and whether two documents of the chunk have each."""
         name, doc = self.name[self.new], self.doc[self.new]
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
         name, doc = name[order], doc[order]
-        head = np.ones(len(name), bool)
-        head[1:] = name[1:] != name[:-1]
-        first = np.flatnonzero(head)
-        last = np.append(first[1:], len(name))[: len(first)] - 1
-        return name[first], doc[first] != doc[last]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(name)), bool), name[1:] != name[:-1]]))
+        if not len(first):
+            return name, np.zeros(0, bool)
+        return name[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
 
     def live(self, shared: np.ndarray) -> np.ndarray:
         """Windows without a dead symbol inside; ``shared``: of the distinct new names."""
         dead = np.zeros(self.size + 1, np.int32)
         if self.new.any():
-            at = np.searchsorted(self.names()[0], self.name[self.new])
+            at = np.searchsorted(self.names[0], self.name[self.new])
             dead[self.start[self.new][~shared[at]] + 1] = 1
         before = np.cumsum(dead)
         return self.windows[before[self.end] == before[self.begin]]
@@ -206,7 +208,7 @@ def covered(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def window_keys(numbers: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """128 bits for the words from each place on, by doubling."""
-    digests = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), np.uint64).reshape(-1, 2)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
     found = []
     for lane, factor in enumerate((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)):
         power, done, length, key = _mixed(digests[numbers, lane] + np.uint64(1)), None, 0, None
@@ -226,13 +228,14 @@ class Finals:
 
     def __init__(self, chunk: Chunk, windows: np.ndarray, window: int):
         one, other = (k[windows] for k in window_keys(np.maximum(chunk.numbers, 0), chunk.words, window)) if len(windows) else (np.zeros(0, np.uint64),) * 2
-        order = np.argsort(one, kind="stable")
+        order = np.argsort(one)
         a, b = one[order], other[order]
         new = np.ones(len(order), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.group = np.zeros(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
-        self.one, self.other, self.low = a[new], b[new], chunk.doc[windows][order][new]
+        doc = chunk.doc[windows][order]
+        self.one, self.other, self.low = a[new], b[new], np.minimum.reduceat(doc, np.flatnonzero(new)) if len(doc) else doc
 
 
 def in_ranges(names: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
@@ -325,7 +328,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     def ask(turn: int) -> Callable:
         def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _rows(batches):
-                names, twice = parsed(row, turn)[1].names()
+                names, twice = parsed(row, turn)[1].names
                 for r, f, e in in_ranges(names, ranges):
                     yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "chunk": pa.array([row["chunk"]], pa.int64()), "names": pa.array([pack(_steps(names[f:e]), np.packbits(twice[f:e]))], pa.binary())})
 
@@ -335,7 +338,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
         def of(own: pa.Table, answers: pa.Table) -> pa.Table:
             row = {c: own[c][0].as_py() for c in own.column_names}
             chunk, parse = parsed(row, turn)
-            left = parse.live(_answered(parse.names()[0], ranges, answers))
+            left = parse.live(_answered(parse.names[0], ranges, answers))
             columns = chunk.reduced(left, window) | {"windows": pack(np.diff(left, prepend=0).astype(np.int32))}
             return pa.table({c: own[c] for c in ("chunk", "ids", "n_words")} | {c: pa.array([v], pa.binary()) for c, v in columns.items()})
 
