@@ -82,3 +82,35 @@ def test_odd_and_long_texts(spark):
     found = both(spark, texts)
     assert found["license"].tolist() == [None, None, None, "MIT", "Apache-2.0", "MIT", None, "proprietary", "proprietary", None, "proprietary"]
     assert found["n_known"].tolist()[7] == 2
+
+
+def test_families_names_tags_and_negations(spark):
+    full_bsd = BSD + "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    cases = [
+        (full_bsd, "BSD-3-Clause"),
+        (full_bsd.replace("the copyright holder nor", "The Regents of Some University nor"), "BSD-3-Clause"),
+        (full_bsd.replace("the copyright holder nor", "Foo Inc. nor"), "BSD-3-Clause"),
+        (full_bsd[: full_bsd.index("3. Neither")], "BSD-2-Clause"),
+        ("This code is not\nlicensed under the MIT License.", ""),
+        ("This code is not licensed under the MIT License.", ""),
+        ("Some tool\nLicensed under the MIT License\nSome more", "MIT"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Some Foundation, Inc.\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n", "GPL-3.0-only"),
+        ("# SPDX-License-Identifier: BSD-3-Clause\n", "BSD-3-Clause"),
+        ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC0-1.0 */", "MIT,Apache-2.0,CC0-1.0"),
+        ("SPDX-License-Identifier: MIT\nAll rights reserved.", "MIT"),
+        ("SPDX-License-Identifier: MIT and more words.", "MIT"),
+        ("All rights reserved.", "proprietary"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    ]
+    found = both(spark, [t for t, _ in cases])
+    assert found["licenses"].tolist() == [want for _, want in cases]
+
+
+def test_many_sentences_and_kept_names(spark):
+    known = {f"s{i}": [f"sentence number {i} of a long list"] for i in range(3_000)}
+    docs = spark.createDataFrame([(1, "Sentence number 7 of a long list. Sentence number\n2999 of a long list!")], "doc_id long, text string")
+    row = license_rules.scan(docs, known=known, rules=[("r", "L", ["s7", "s2999"])]).first()
+    assert (row.sentence_ids, row.license) == ("s7,s2999", "L")
+    with pytest.raises(ValueError, match="clash"):
+        license_rules.scan(docs.withColumn("license", docs.text), keep=["license"])
