@@ -87,3 +87,22 @@ def test_hashes_of_words():
     assert size == [len(words), 0, 0, 2]
     assert len(set(hashes[0].tolist())) == len(set(hashes[1].tolist())) == len(words)
     assert (hashes[:, len(words) :] == hashes[:, :2]).all()
+
+
+def test_null_and_shared_ids_link(spark):
+    """Near copies are one component whatever their ids; a shared id joins nothing by itself."""
+    r = random.Random(9)
+    base = [f"u{r.randrange(500)}" for _ in range(60)]
+    near = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (10, 50)]
+    other = " ".join(f"v{r.randrange(500)}" for _ in range(60))
+    rows = [(3, " ".join(base)), (None, near[0]), (None, near[1]), (7, other), (3, "unlike " + other + " " + " ".join(f"z{i}" for i in range(60))), (None, "alone " * 3), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(t.n_shingles, t.component_id) for t in pj.near_duplicates(docs).orderBy("n_shingles").collect()]
+    sets = sets_of(dict(enumerate([t for _, t in rows])))
+    of = brute_components(sets)
+    want = []
+    for i, s in sets.items():
+        ids = [rows[j][0] for j in of if of[j] == of[i] and rows[j][0] is not None]
+        want.append((len(s), min(ids, default=None)))
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert [c for n, c in found if n == 56] == [3, 3, 3, 7]

@@ -624,14 +624,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Words are runs other than ASCII blanks, A-Z in lower case; a set is the distinct shingles of WORDS words
     (all words, if fewer). Returns doc_id, n_shingles and component_id, the least doc_id reachable by links,
     one row for each row. Null and blank texts have the empty set, link with nothing and are their own
-    component, also if they are many. Repeated rows repeat with equal results. Rows with a null doc_id link
-    only through equal sets. An empty table gives an empty result. Other columns are not read.
+    component, also if they are many. Repeated rows repeat with equal results. A null doc_id is larger than any other: its
+    rows link by their texts like all others, and a component without another id has a null one. Rows of one id with
+    different texts are documents of their own. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    digested = persisted(digests(slim, "text"), "jaccard-digests")
+    several = digested.groupBy("id").agg((F.min("h1") != F.max("h1")).alias("several")).where("id is null or several")
+    if not several.limit(1).count():
+        return by_unique_id(slim, digested).withColumnRenamed("id", doc_id)
+    # texts are fetched by id, so ids that can't tell rows apart give way to numbers of rows; written, so they are fixed
+    keyed = persisted(slim.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    numbered = keyed.select(F.col("row").alias("id"), "text")
+    found = by_unique_id(numbered, persisted(digests(numbered, "text"), "jaccard-digests"))
+    found = persisted(found.withColumnRenamed("id", "row").join(keyed.select("row", "id"), "row"), "jaccard-numbered")
+    # partial minima, so a component of any size is no group
+    names = found.groupBy("component_id").agg(F.min("id").alias("name"))
+    return found.join(names, "component_id").select(F.col("id").alias(doc_id), "n_shingles", F.col("name").alias("component_id"))
+
+
+def by_unique_id(slim: DataFrame, digested: DataFrame) -> DataFrame:
+    """``near_duplicates`` of (id, text) whose ids are not null and stand for one text each; digested: their ``digests``."""
+    spark = slim.sparkSession
     work = shared_folder(spark, "jaccard-work")  # all that the result doesn't read
     least = PERCENT / 100
-    digested = persisted(digests(slim, "text"), "jaccard-digests")
     rows = digested.where("n_shingles >= 0")
     classes = persisted(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "classes", work)
     renamed = renamed_classes(classes)
@@ -682,7 +699,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of_class = persisted(named.join(smallest, "component").select("h1", "h2", "component_id"), "jaccard-components")
     discard(spark, work)
     found = rows.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
-    return found.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return found.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def near_duplicates_sql() -> str:

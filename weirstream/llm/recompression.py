@@ -242,7 +242,7 @@ def in_ranges(names: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """(range, first, end) of sorted 64-bit names, cut evenly into ranges by their upper bits."""
     of = ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(of, prepend=-1))
-    return [(int(of[f]), int(f), int(e)) for f, e in zip(first, [*first[1:], len(of)], strict=True)]
+    return [(int(of[f]), int(f), int(e)) for f, e in zip(first, np.append(first[1:], len(of)), strict=False)]
 
 
 def _steps(sorted_names: np.ndarray) -> np.ndarray:

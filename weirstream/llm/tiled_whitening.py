@@ -181,7 +181,7 @@ def whiten(vectors: DataFrame, n_components: int = 4, scale: int = 256, embeddin
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(batch.num_columns - 1)
-            if not batch.num_rows:
+            if not batch.num_rows or not k:
                 continue
             fits = np.array([size == dims for size in held.value_lengths().to_pylist()])
             deviation, white = np.full(batch.num_rows, None, object), np.full((batch.num_rows, k), np.nan)
