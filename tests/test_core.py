@@ -301,8 +301,8 @@ def test_echo_by_words_of_any_result(spark):
     assert found["harbour ferries copper"].evidence == ["Harbour — the ferries"] and found["a b"].hits == 2
     texts = spark.createDataFrame([("Harbour ferries and copper",), ("ferries",), ("",)], "text string")
     items = spark.createDataFrame([(i, q) for i, q in enumerate(["harbour copper", "ferries", "", "missing"])], "item_id int, query string")
-    for block in (1, 500):
-        assert {x.item_id: (x.documents, x.echoed) for x in grounding.echo_counts(items, texts, block).collect()} == {0: (3, 1), 1: (3, 2), 2: (3, 3), 3: (3, 0)}
+    for most in (1, 500):
+        assert {x.item_id: (x.documents, x.echoed) for x in grounding.echo_counts(items, texts, most).collect()} == {0: (3, 1), 1: (3, 2), 2: (3, 3), 3: (3, 0)}
 
 
 def test_fit_on_a_bounded_sample(spark):

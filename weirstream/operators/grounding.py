@@ -11,6 +11,8 @@ that this these those it its do does did not no yes give state answer only one s
 #: Those and four more, left out of search queries.
 QUESTION_WORDS = sorted({*STOPWORDS, "am", "refuse", "hedge", "approximate"})
 MONTHS = "january february march april may june july august september october november december".split()
+#: Characters of the runs under which core words (six characters or more) are listed.
+GRAM = 4
 #: Characters around a month in which its year is looked for.
 REACH = 15
 
@@ -32,23 +34,39 @@ def echoed(query: Column, evidence: Column) -> Column:
     return F.forall(core_tokens(query), lambda w: F.contains(F.lower(F.coalesce(evidence, F.lit(""))), w))
 
 
-def echo_counts(queries: DataFrame, texts: DataFrame, block: int = 500) -> DataFrame:
-    """For each query (item_id, query) of a stated set: how many texts there are, and how many echo it.
+def postings(words: DataFrame) -> DataFrame:
+    """gram, word: of each distinct word the run of GRAM characters that the fewest words share."""
+    grams = words.select("word", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(rf"(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.join(shared, "gram").groupBy("word").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
 
-    Queries are dealt into blocks of about ``block`` by hash, so what is broadcast at once has a bound; every block
-    passes over all texts, and counts are combined before they are shuffled.
+
+def echo_counts(queries: DataFrame, texts: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """For each query (item_id, query): how many texts there are, and how many echo it.
+
+    An inverted index of the queries' core words: each word is listed under one of its character runs, a text meets the
+    words under its own runs, and ``contains`` decides. Of a text only the words found go on; a query is looked up by its
+    longest word and counts if all its words are among them. One pass over the texts for all queries. The index is
+    broadcast up to ``most`` words; beyond, runs are shuffled by themselves and texts fetched for the words they meet.
+    A query without core words is echoed by every text; null texts don't count.
     """
-    n = max(1, -(-queries.count() // block))
-    total = texts.agg(F.count("*").alias("documents"))
-    words = queries.select("item_id", core_tokens(F.col("query")).alias("words"))
-    low = texts.select(F.lower("text").alias("text"))
-    out = None
-    for k in range(n):
-        part = words if n == 1 else words.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        told = low.join(F.broadcast(part), F.forall("words", lambda w: F.contains(F.col("text"), w))).groupBy("item_id").agg(F.count("*").alias("echoed"))
-        out = told if out is None else out.union(told)
-    every = queries.select("item_id").join(out, "item_id", "left")
-    return every.select("item_id", total.scalar().alias("documents"), F.coalesce("echoed", F.lit(0)).alias("echoed"))
+    asked = queries.select("item_id", F.array_distinct(core_tokens(F.col("query"))).alias("words"))
+    keyed = asked.where(F.size("words") > 0).withColumn("key", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    index = postings(asked.select(F.explode("words").alias("word")).distinct())
+    small = index.limit(most + 1).count() <= most
+    low = texts.where("text is not null").select(F.monotonically_increasing_id().alias("tid"), F.lower("text").alias("text"))
+    runs = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?=([a-z0-9'\-]{{{GRAM}}}))"), F.lit(1)))).alias("gram")
+    if small:
+        met = low.select("tid", "text", runs).join(F.broadcast(index), "gram")
+    else:
+        met = low.select("tid", runs).join(index, "gram").join(low, "tid")
+    found = met.where(F.contains("text", F.col("word"))).groupBy("tid").agg(F.collect_set("word").alias("found"))
+    named = found.select("found", F.explode("found").alias("key"))
+    told = named.join(F.broadcast(keyed) if small else keyed, "key").where(F.size(F.array_except("words", "found")) == 0).groupBy("item_id").agg(F.count("*").alias("echoed"))
+    total = low.agg(F.count("*").alias("documents"))
+    counted = asked.select("item_id", (F.size("words") == 0).alias("open")).join(told, "item_id", "left")
+    counted = counted.withColumn("documents", total.scalar())
+    return counted.select("item_id", "documents", F.when(F.col("open"), F.col("documents")).otherwise(F.coalesce("echoed", F.lit(0))).alias("echoed"))
 
 
 def ground(queries: DataFrame, results: DataFrame, hits: DataFrame, most: int | None = None) -> DataFrame:
