@@ -44,7 +44,7 @@ class Learner(StatefulProcessor):
             seq += 1
         self.state.update((w.tolist(), float(b), agreed, int(likes), int(dislikes), int(seq)))
         names = ["model", "seq", "label", "p", "w", "b", "agreed", "loss", "rolling_acc", "seen", "likes", "dislikes"]
-        yield pd.DataFrame(out, columns=names).astype({"seq": "int64", "label": "int32", "seen": "int64", "likes": "int64", "dislikes": "int64"})
+        yield pd.DataFrame(out, columns=names).astype({"model": object, "seq": "int64", "label": "int32", "seen": "int64", "likes": "int64", "dislikes": "int64"})
 
     def close(self) -> None:
         pass

@@ -27,30 +27,30 @@ FEATURES = ", ".join(f"{c} double" for c in detectors.VECTOR)
 
 
 class Checkpoints(StatefulProcessor):
-    """Chunks (seq from 1, the last one marked) to features at checkpoints and at the end (k null).
+    """Chunks (in a chain from ``first``, the last one marked) to features at checkpoints and at the end (k null).
 
     State is that of ``GrowingFeatures``, in named parts of bounded size, never the text; a micro-batch reads it once,
     counts its new characters in pieces of about ``PIECE`` and writes the parts that changed.
     """
 
-    def __init__(self, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None):
-        self.hold, self.every, self.idle_ms = hold, every, idle_ms
+    def __init__(self, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None, first: int = 1):
+        self.hold, self.every, self.idle_ms, self.first = hold, every, idle_ms, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "pos long, since_deflate long, next_seq long, k int, due long, ended boolean", ttlDurationMs=self.idle_ms)
         self.parts = handle.getMapState("parts", "part string", "data binary", ttlDurationMs=self.idle_ms)
-        self.early = handle.getMapState("early", "seq long", "chunk string, last boolean", ttlDurationMs=self.idle_ms)
+        self.early = handle.getMapState("early", "seq long", "chunk string, last boolean, next_seq long", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         from weirstream.functions.stream_state import GrowingFeatures
 
-        pos, since, next_seq, k, due, ended = self.state.get() if self.state.exists() else (0, 0, 1, 0, self.hold, False)
+        pos, since, next_seq, k, due, ended = self.state.get() if self.state.exists() else (0, 0, self.first, 0, self.hold, False)
         out: list[dict] = []
         if not ended:
             for frame in rows:
-                for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["last"], strict=True):
+                for seq, chunk, last, following in zip(frame["seq"], frame["chunk"], frame["last"], frame["next_seq"], strict=True):
                     if seq >= next_seq and not self.early.containsKey((int(seq),)):
-                        self.early.updateValue((int(seq),), (chunk or "", bool(last)))
+                        self.early.updateValue((int(seq),), (chunk or "", bool(last), int(following)))
             before = {part[0]: bytes(data[0]) for part, data in self.parts.iterator()} if pos else {}
             features = GrowingFeatures.load(before) if before else GrowingFeatures()
             piece, begun, due_now = [], pos, []
@@ -69,9 +69,9 @@ class Checkpoints(StatefulProcessor):
                 due_now.clear()
 
             while not ended and self.early.containsKey((next_seq,)):
-                chunk, ended = self.early.getValue((next_seq,))
+                chunk, ended, following = self.early.getValue((next_seq,))
                 self.early.removeKey((next_seq,))
-                next_seq += 1
+                next_seq = following
                 piece.append(chunk)
                 pos, since = pos + len(chunk), since + len(chunk)
                 if since >= DEFLATE_EVERY:
@@ -98,7 +98,7 @@ class Checkpoints(StatefulProcessor):
             self.state.update((pos, since, next_seq, k, due, ended))
         frame = pd.DataFrame(out, columns=["k", "pos", *detectors.VECTOR])
         frame.insert(0, "stream_id", [key[0]] * len(frame))
-        yield frame.astype({"k": "Int32", "pos": "int32"})
+        yield frame.astype({"stream_id": object, "k": "Int32", "pos": "int32"})
 
     def close(self) -> None:
         pass
@@ -143,7 +143,7 @@ class Protocol(StatefulProcessor):
             out.append((key[0], int(r.k), r.pos, state, r.p, list(r.reasons), list(r.classes), (alarm if alarm >= 0 else r.pos) if aborted else None, released, aborted))
         self.state.update((n, float(mean), float(cum), float(low), int(alarm), bool(hot), bool(aborted), int(released), int(last)))
         columns = ["stream_id", "k", "pos", "state", "p", "reasons", "classes", "onset", "released_chars", "done"]
-        yield pd.DataFrame(out, columns=columns).astype({"k": "Int32", "pos": "int32", "onset": "Int64", "released_chars": "int64", "done": "bool", "p": "float64"})
+        yield pd.DataFrame(out, columns=columns).astype({"stream_id": object, "state": object, "k": "Int32", "pos": "int32", "onset": "Int64", "released_chars": "int64", "done": "bool", "p": "float64"})
 
     def close(self) -> None:
         pass
@@ -154,10 +154,15 @@ def time_mode(idle_ms: int | None) -> str:
 
 
 def checkpoint_features(chunks: DataFrame, hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None) -> DataFrame:
-    """stream_id, k, pos and features from a stream of stream_id, seq, chunk, last."""
+    """stream_id, k, pos and features from a stream of stream_id, seq, chunk, last.
+
+    Chunks are numbered from 1; with a column next_seq they are a chain from 0, in which each names the one after it.
+    """
+    chained = "next_seq" in chunks.columns
+    chunks = chunks if chained else chunks.withColumn("next_seq", F.col("seq") + 1)
     kind = chunks.schema["stream_id"].dataType.simpleString()
     schema = f"stream_id {kind}, k int, pos int, {FEATURES}"
-    return chunks.select("stream_id", "seq", "chunk", "last").groupBy("stream_id").transformWithStateInPandas(Checkpoints(hold, every, idle_ms), schema, "Append", time_mode(idle_ms))
+    return chunks.select("stream_id", "seq", "chunk", "last", "next_seq").groupBy("stream_id").transformWithStateInPandas(Checkpoints(hold, every, idle_ms, 0 if chained else 1), schema, "Append", time_mode(idle_ms))
 
 
 def guard_stream(chunks: DataFrame, thresholds: Thresholds = Thresholds(), hold: int = HOLD, every: int = EVERY, idle_ms: int | None = None) -> DataFrame:
