@@ -138,6 +138,35 @@ def context_grounding(answer: Column, context: Column, tol: float = 0.05) -> Col
     return F.struct(F.when(n > 0, F.round((n - bad) / n, 3)).otherwise(F.lit(1.0)).alias("grounding"), n.cast("long").alias("claims"), (n - bad).cast("long").alias("grounded"), F.slice(F.array_sort(missing), 1, 12).alias("ungrounded"))
 
 
+def _scaled(v: Column) -> Column:
+    """A place on a line where numbers that agree within 0.05 or 2 % are less than one apart."""
+    a = F.abs(v)
+    place = F.when(a <= 2.5, a / 0.05).otherwise(50 + F.log(a / 2.5) / 0.0203)
+    return F.when(v < 0, -place).otherwise(place)
+
+
+def grounded_turns(turns: DataFrame, key: str, order: str, text: str = "text", claims: Column | None = None) -> DataFrame:
+    """key, order, claims, grounded, grounding: distinct numbers of each turn, those that an earlier turn of the key has,
+    within rounding, and their share (1 without numbers). ``claims``: which turns are asked about.
+
+    Numbers are joined on key and place, each with its first turn; no turn gathers the texts before it, so a long
+    conversation is many rows of many keys. Null texts have no numbers.
+    """
+    asked = F.lit(True) if claims is None else claims
+    told = turns.select(key, order, asked.alias("__asked"), F.explode(numbers_in(F.col(text))).alias("v"))
+    first = told.groupBy(key, "v").agg(F.min(order).alias("__first"))
+    place = F.floor(_scaled(F.col("v")))
+    known = first.select(F.col(key).alias("__key"), F.col("v").alias("__v"), "__first", F.explode(F.array(place - 1, place, place + 1)).alias("__place"))
+    asking = told.where("__asked").select(key, order, "v", place.alias("__at"))
+    met = asking.join(known, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__place")) & (F.col("__first") < F.col(order)) & near(F.col("v"), F.col("__v"), 0.05))
+    hits = met.select(key, order, "v").distinct().withColumn("__hit", F.lit(1))
+    counted = asking.select(key, order, "v").withColumn("__hit", F.lit(0)).unionByName(hits).groupBy(key, order).agg(F.count(F.when(F.col("__hit") == 0, 1)).alias("claims"), F.sum("__hit").alias("grounded"))
+    every = turns.where(asked).select(F.col(key).alias("__key"), F.col(order).alias("__order"))
+    found = every.join(counted, F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__order")), "left")
+    n, own = F.coalesce("claims", F.lit(0)), F.coalesce("grounded", F.lit(0))
+    return found.select(F.col("__key").alias(key), F.col("__order").alias(order), n.alias("claims"), own.alias("grounded"), F.when(n > 0, F.round(own / n, 3)).otherwise(F.lit(1.0)).alias("grounding"))
+
+
 def meaning_key(answer: Column) -> Column:
     """Distinct numbers and words of four letters or more."""
     text = F.coalesce(answer, F.lit(""))

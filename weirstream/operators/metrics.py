@@ -21,6 +21,8 @@ def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None,
     share = {"mid": 0.5, "positive": 0.0, "negative": 1.0}[ties]
     group = F.struct(F.lit(0).alias("all"), *by).alias("__g")  # a key in which nulls are equal
     edges = counted.groupBy(*by).agg(F.percentile_approx("__s", [k / SCORE_BLOCKS for k in range(1, SCORE_BLOCKS)]).alias("__e")).select(group, "__e")
+    if not by:
+        edges = F.broadcast(edges)  # one row
     placed = counted.select(group, *by, "__s", "pos", "neg").join(edges, "__g").withColumn("__b", F.size(F.filter("__e", lambda e: e < F.col("__s")))).drop("__e")
     totals = placed.groupBy("__g", "__b").agg(F.sum("neg").alias("__n"))
     before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,10 +56,26 @@ def precision_recall(rows: DataFrame, score: str, label: str, by: list[str] | No
 
 
 def tpr_at_fpr(rows: DataFrame, score: str, label: str, fpr: float = 0.01) -> DataFrame:
-    """threshold (a quantile of the negatives, linear between values) and tpr (positives above it)."""
-    cut = rows.where(F.col(label) == 0).agg(F.percentile(score, 1 - fpr).alias("threshold"))
-    positives = rows.where(F.col(label) == 1)
-    return positives.withColumn("threshold", cut.scalar()).groupBy("threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("tpr"))
+    """threshold (a quantile of the negatives, linear between values) and tpr (positives above it); no row without both.
+
+    The two values around the quantile are found by narrowing intervals of counts, so no task sorts all negatives; scores
+    and labels are written first, so they are computed once.
+    """
+    from weirstream.operators.fusion import order_statistic
+    from weirstream.sources.work import written
+
+    slim = written(rows.select(F.col(score).cast("double").alias("s"), F.col(label).alias("y")).where("s is not null and y in (0, 1)"), "scores")
+    negatives = slim.where("y = 0")
+    n = negatives.count()
+    kind = "threshold double, tpr double"
+    if not n or not slim.where("y = 1").limit(1).count():
+        return rows.sparkSession.createDataFrame([], kind)
+    place = (1 - fpr) * (n - 1)
+    low, part = int(place), place - int(place)
+    threshold = order_statistic(negatives, "s", low + 1)
+    if part:
+        threshold = (1 - part) * threshold + part * order_statistic(negatives, "s", min(n, low + 2))
+    return slim.where("y = 1").agg(F.lit(threshold).alias("threshold"), F.avg((F.col("s") > threshold).cast("double")).alias("tpr"))
 
 
 def stream_evaluation(verdicts: DataFrame, truth: DataFrame, hold: int = 350) -> DataFrame:

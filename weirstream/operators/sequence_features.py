@@ -99,11 +99,15 @@ def surprise_windows(surprised: DataFrame, base: DataFrame, points: DataFrame) -
 
 
 def shingles(streams: DataFrame) -> DataFrame:
-    """stream_id, i (last character), total, repeats, most: shingles so far, those seen before, and the highest count."""
-    cut = streams.where(F.length("text") >= SHINGLE).select("stream_id", "text", F.explode(F.sequence(F.lit(SHINGLE), F.length("text"), F.lit(STRIDE))).alias("i"))
-    cut = cut.select("stream_id", "i", F.substring(F.col("text"), F.col("i") - SHINGLE + 1, F.lit(SHINGLE)).alias("shingle"))
-    counted = cut.withColumn("__n", F.row_number().over(by_stream("shingle")).cast("long"))
-    return counted.select("stream_id", "i", F.row_number().over(by_stream()).cast("long").alias("total"), F.sum((F.col("__n") > 1).cast("long")).over(by_stream()).alias("repeats"), F.max("__n").over(by_stream()).alias("most"))
+    """stream_id, i (last character), total, repeats, most: shingles so far, those seen before, and the highest count.
+
+    Texts are cut in one pass; what is counted so far is a scan by blocks of shingles.
+    """
+    each = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{SHINGLE}}})).{{{STRIDE}}}"), F.lit(1))
+    cut = streams.where(F.length("text") >= SHINGLE).select("stream_id", F.posexplode(each).alias("j", "shingle"))
+    cut = cut.select("stream_id", "shingle", (F.col("j") + 1).cast("long").alias("total"), (SHINGLE + STRIDE * F.col("j")).cast("int").alias("i"))
+    counted = cut.withColumn("__n", F.row_number().over(by_stream("shingle")).cast("long")).withColumn("block", block_of(F.col("total")))
+    return scan(counted, "stream_id", "i", sums={"repeats": (F.col("__n") > 1).cast("long")}, maxima={"most": F.col("__n")}).select("stream_id", "i", "total", "repeats", "most")
 
 
 def repetition(streams: DataFrame, points: DataFrame) -> DataFrame:

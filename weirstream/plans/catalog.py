@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weirstream.functions import kernels
 from weirstream.functions.text import char_class, count_of
-from weirstream.operators import blocks, detectors, factuality, fusion, grounding, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth, window_features
+from weirstream.operators import blocks, detectors, factuality, fusion, grounding, healing, kernel_tier, learning, metrics, protocol, sequence_features, sketches, synth, window_features
 from weirstream.operators import streams as st
 from weirstream.plans import stream_sql as sql
 from weirstream.plans import training
@@ -462,9 +462,7 @@ n as (select conv_id, turn, {NUMS.format('text')} as a, {NUMS.format("coalesce(c
 g as (select conv_id, turn, len(a) as claims, len(list_filter(a, lambda v: len(list_filter(c, lambda s: abs(v - s) <= greatest(0.05, 0.02 * abs(s)))) > 0)) as grounded from n)
 select conv_id, turn, claims::bigint as claims, grounded::bigint as grounded, case when claims = 0 then 1.0 else round(grounded / claims, 3) end as grounding from g""")
 def context_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns(spark, sf_dir).withColumn("context", F.array_join(F.collect_list("text").over(w), " ")).where("role = 'assistant'")
-    return t.withColumn("g", factuality.context_grounding(F.col("text"), F.col("context"))).select("conv_id", "turn", "g.claims", "g.grounded", "g.grounding")
+    return factuality.grounded_turns(turns(spark, sf_dir), "conv_id", "turn", claims=F.col("role") == "assistant")
 
 
 @query(sql.CLUSTERS)
@@ -737,6 +735,21 @@ def count_min_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("stream_id", kernels.count_min_repetition("text").alias("r")).select("stream_id", "r.*")
 
 
+@query("""with t as (select text, length(text) as n from documents where length(text) >= 12),
+s as (select substr(text, i, 12) as item from (select text, unnest(range(1, n - 10, 4)) as i from t))
+select r as row, (('0x' || substr(md5(r::varchar || ':' || item), 1, 8))::bigint % 2048)::int as col, count(*)::bigint as n from s, range(4) t(r) group by all""".replace("select r as row", "select r::int as row"))
+def count_min_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sketch of the shingles of all documents; tasks count their own, and cells add up."""
+    items = table(spark, sf_dir, "documents").select(F.explode(sketches.shingles_of(F.col("text"))).alias("item"))
+    return sketches.count_min(items, "item")
+
+
+@query()
+def fit_all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear model on every labelled checkpoint, none left out."""
+    return learning.fit_all(labelled_vectors(spark, sf_dir, 300), label="y")
+
+
 @query()
 def simhash_drift_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_tier.features(documents(spark, sf_dir), hashed_by="blake2b", with_deflate=False).select("stream_id", "pos", "simhash_drift")
