@@ -394,3 +394,143 @@ def test_fit_over_all_rows(spark):
     one, other = learning.fit_all(whole, ("a", "b", "c")).first(), learning.fit(whole, ("a", "b", "c"), sample=100_000).first()
     area = lambda m: metrics.auroc(whole.withColumn("p", learning.model_score(F.array("a", "b", "c"), F.lit(m.w), F.lit(m.b))), "p", "label").first().auroc
     assert area(one) >= area(other) - 0.01
+
+
+def test_sketches_add_up(spark):
+    from weirstream.operators import sketches
+
+    r = random.Random(2)
+    items = [r.choice("abcdefghij") * r.randrange(1, 40) for _ in range(4000)] + [None] * 3
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "i int, item string").repartition(5)
+    cells = lambda f: {(c.row, c.col): c.n for c in f.collect()}
+    whole = sketches.count_min(frame, "item", width=64)
+    parts = [sketches.count_min(frame.where(F.col("i") % 3 == k), "item", width=64) for k in range(3)]
+    assert cells(whole) == cells(sketches.merged(*parts)) and sum(c.n for c in whole.collect()) == 4 * 4000
+    found = {x.item: x.estimate for x in sketches.estimates(frame, "item", whole, width=64).collect()}
+    true = {x: items.count(x) for x in set(items) if x is not None}
+    assert found.keys() == true.keys() and all(found[x] >= n for x, n in true.items())
+    assert sum(found[x] - n > math.e / 64 * 4000 for x, n in true.items()) <= len(true) * math.exp(-4) + 5
+    exact = {x.item: x.estimate for x in sketches.estimates(frame, "item", sketches.count_min(frame, "item")).collect()}
+    assert sum(exact[x] != n for x, n in true.items()) <= len(true) // 50
+    assert sketches.count_min(frame.where("i < 0"), "item").count() == 0
+
+
+def test_shingles_of_any_characters(spark):
+    texts = ["", "short", "x" * 12, "ab\ncd\U00010330 年月日" * 9, PROSE]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "stream_id int, text string")
+    rows = sequence_features.shingles(found).collect()
+    for n, t in enumerate(texts):
+        cut = [t[i - 12 : i] for i in range(12, len(t) + 1, 4)]
+        repeats = [sum(cut.index(c) < j for j, c in enumerate(cut[: k + 1])) for k in range(len(cut))]
+        most = [max(cut[: k + 1].count(c) for c in cut[: k + 1]) for k in range(len(cut))]
+        own = sorted((r.i, r.total, r.repeats, r.most) for r in rows if r.stream_id == n)
+        assert own == [(12 + 4 * k, k + 1, repeats[k], most[k]) for k in range(len(cut))]
+
+
+def test_scans_by_blocks(spark):
+    """Runs, switches, averages and change points are the same in blocks of a few characters as in one."""
+    from weirstream.operators import blocks
+
+    r = random.Random(3)
+    text = "".join(r.choice("aab --жя年  \U00010330\n") for _ in range(700))
+    one = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "aaaa")], "stream_id int, text string")
+    cut = st.blocked_characters(one, size=70)
+    assert [(c.i, c.ch) for c in cut.where("stream_id = 1").orderBy("i").collect()] == list(enumerate(text, 1))
+    features = lambda f: [tuple(x) for x in sequence_features.char_runs(sequence_features.script_switches(f)).orderBy("stream_id", "i").select("stream_id", "i", "switches", "longest_run").collect()]
+    assert features(cut) == features(st.characters(one))
+    values = [(k % 3, i, r.random()) for i, k in enumerate(r.choices(range(9), k=500))]
+    events = spark.createDataFrame(values, "u int, ts int, value double")
+    placed = blocks.positions(events, "u", F.floor(F.col("ts") / 50), ["ts"], "k")
+    for u in range(3):
+        own = [v for k, _, v in values if k == u]
+        assert [x.value for x in placed.where(F.col("u") == u).orderBy("k").collect()] == own and [x.k for x in placed.where(F.col("u") == u).orderBy("k").collect()] == list(range(1, len(own) + 1))
+    for size in (7, 1000):
+        found = {x.u: x for x in blocks.moving(blocks.block_lists(placed, "u", "k", "value", size), "u", 0.1).collect()}
+        for u in range(3):
+            mean = mad = None
+            for v in [v for k, _, v in values if k == u]:
+                mad = 0.0 if mean is None else mad + 0.1 * (abs(v - mean) - mad)
+                mean = v if mean is None else mean + 0.1 * (v - mean)
+            assert abs(found[u].mean - mean) < 1e-12 and abs(found[u].mad - mad) < 1e-12
+    a, b = ({(x.u, x.k): (round(x.ph, 9), x.alarm) for x in protocol.page_hinkley(placed, "value", "u", block=n).collect()} for n in (None, 11))
+    assert a == b and any(alarm for _, alarm in a.values())
+
+
+def test_events_tell_every_character(spark, streams):
+    """Released and blocked characters add up to what was read; nothing comes after a corrupt chunk; states follow the checkpoints."""
+    rows = protocol.scored(kernel_tier.features(streams)).cache()
+    told, verdicts = {}, {v.stream_id: v for v in protocol.verdicts(rows).collect()}
+    for e in sorted(protocol.events(streams, rows).collect(), key=lambda e: (e.stream_id, e.seq)):
+        told.setdefault(e.stream_id, []).append(e)
+    texts = {x.stream_id: x.text for x in streams.collect() if x.text}
+    assert told.keys() == texts.keys() == verdicts.keys()
+    for i, own in told.items():
+        v, released = verdicts[i], "".join(e.released for e in own)
+        assert texts[i].startswith(released) and own[0].seq == 1
+        assert [e.state for e in own].count("corrupt") == int(v.aborted)
+        if v.aborted:
+            assert own[-1].state == "corrupt" and own[-1].chars == v.read_chars and len(released) == v.released_chars and own[-1].onset == v.onset and own[-1].features is not None
+        elif v.checkpoints:
+            assert released == texts[i]
+        else:
+            assert released == ""
+        assert all((e.features is not None) == (e.p > 0) for e in own)
+
+
+def test_sessions_and_metrics_are_written_once(spark, tmp_path):
+    frames = spark.createDataFrame([("0123456789ab", 10, 40, 0.1, "clean", "x" * 40, ["r"], None)], "session_id string, t long, chars long, p double, state string, released string, reasons array<string>, onset int")
+    ended = spark.createDataFrame([("0123456789ab", 1.0e9, "live", "clean", 0.1, 90)], "session_id string, created_at double, mode string, state string, p double, chars long")
+    batch, path = sessions.record(frames, ended), str(tmp_path / "s")
+    write = sessions.sink(path)
+    for number in (0, 1, 1, 0):
+        write(batch, number)
+    saved = spark.read.parquet(path).collect()
+    assert sorted(r.batch for r in saved) == [0, 1] and saved[0].frames[0].reasons == ["r"] and (saved[0].chars, saved[0].blocked_chars) == (90, 50)
+    target = str(tmp_path / "m.json")
+    for n in range(3):
+        sessions.write_metrics(spark, {"epoch": n, "name": "é"}, target)
+        assert sessions.read_metrics(spark, target) == {"epoch": n, "name": "é"}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc") and p.name != "s"] == ["m.json"]
+    listener = sessions.MetricsListener(spark, target)
+    spark.streams.addListener(listener)
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(i,) for i in range(5)], "v int").write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("v int").parquet(str(tmp_path / "in")).observe("sums", F.sum("v").alias("total"))
+    live.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    import time
+
+    for _ in range(50):
+        if "observed" in sessions.read_metrics(spark, target):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert sessions.read_metrics(spark, target)["observed"] == {"sums": {"total": 10}}
+
+
+def test_released_characters_by_chunk(spark, streams):
+    """An aborted text has released all whole chunks before the one of its abort."""
+    for chunk in (40, 256, 1000):
+        rows = protocol.scored(kernel_tier.features(streams, chunk))
+        for v in protocol.verdicts(rows, chunk=chunk).collect():
+            if v.aborted and v.checkpoints > 1:
+                assert v.released_chars == (v.read_chars - 1) // chunk * chunk
+
+
+def test_char_class_of_every_code_point(spark):
+    """The classes by a plain loop over all code points, with ranges written down here."""
+    ranges = {"cjk": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)], "kana": [(0x3040, 0x30FF)], "hangul": [(0xAC00, 0xD7AF), (0x1100, 0x11FF)], "arabic": [(0x0600, 0x06FF), (0x0750, 0x077F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)], "devanagari": [(0x0900, 0x097F)], "thai": [(0x0E00, 0x0E7F)], "hebrew": [(0x0590, 0x05FF)], "greek": [(0x0370, 0x03FF)], "cyrillic": [(0x0400, 0x04FF)], "latin": [(0x0041, 0x024F)]}
+    def of(c):
+        if c.isdigit():
+            return "digit"
+        if c.isspace():
+            return "space"
+        if ord(c) < 128 and not c.isalnum():
+            return "symbol"
+        return next((n for n, own in ranges.items() if any(a <= ord(c) <= b for a, b in own)), "other")
+    table = class_table()
+    from weirstream.functions.stream_kernel import NAMES
+
+    assert [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and NAMES[table[c]] != of(chr(c))] == []
+    points = [c for c in range(1, 0x3500) if not 0xD800 <= c < 0xE000]
+    found = spark.createDataFrame([(c, chr(c)) for c in points], "c int, ch string").select("c", char_class(F.col("ch")).alias("k")).collect()
+    assert [(x.c, x.k, of(chr(x.c))) for x in found if x.k != of(chr(x.c))] == []
