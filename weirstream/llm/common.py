@@ -74,6 +74,18 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Schemes of Spark's paths that pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs", "abfs": "abfss"}
+
+
+def file_system(path: str):
+    """A pyarrow file system for a path as Spark names it, and the path in it."""
+    from pyarrow import fs
+
+    scheme, sep, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if sep else path)
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int, list]]:
     """(first row, length, texts) of pieces of a batch that hold about ``chars`` characters of text."""
     values = batch.column(batch.schema.get_field_index(column))

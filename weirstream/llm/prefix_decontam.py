@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstream.llm.common import SLICE_CHARS, Lexicon, discard, output_schema, persisted, shared_folder, slices, with_columns
+from weirstream.llm.common import SLICE_CHARS, Lexicon, discard, file_system, output_schema, persisted, shared_folder, slices, with_columns
 
 #: Bytes of item text in a block, about; words of an item that stay in one piece.
 BLOCK_BYTES, PIECE_WORDS = 4_000_000, 100_000
@@ -283,12 +283,6 @@ class Blocks:
             yield block
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def hits(texts: list[str | None], blocks: Blocks) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """Words of each text, how many of them are hit, and the items found, in slices of bounded size under each block."""
     cuts, size = [0], 0

@@ -26,6 +26,8 @@ ORDER, MIN_CONTEXT, ALPHABET = 4, 2, 256
 SCALE, BIN = 1_000_000, 20_000
 #: Share of accepted URLs of the calibration fold that may fall below the threshold; one URL in so many is in the fold.
 FALSE_REJECTS, FOLDS = 0.01, 5
+#: Grams whose ratios are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 400_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -86,9 +88,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     judged_by (rule or model). Without accepted URLs in the calibration fold nothing is rejected by the
     models; if a class has no training URLs its model is uniform. A null url or one without ``://`` has
     empty host and path, no rule, and is judged by the models like any other. Repeated rows repeat; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read, and kept ones must not be named like results.
     """
     keep = keep or ["page_id"]
+    if clash := set(keep) & {"host", "path", "rule", "verdict", "score", "threshold", "judged_by"}:
+        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
     rows, scored, edge = scored_urls(pages, DEFAULT_RULES if rules is None else rules, url, keep, order, min_context, false_rejects)
     judged = scored.withColumn("edge", edge).select("url", "host", "path", "rule", F.coalesce("action", verdict(F.col("bin"), F.col("edge"))).alias("verdict"), (F.col("mean") / SCALE).alias("score"), (F.col("edge") * BIN / SCALE).alias("threshold"), F.when(F.col("action").isNotNull(), "rule").otherwise("model").alias("judged_by"))
     return rows.join(judged.withColumnRenamed("url", "__url"), "__url").select(*keep, "host", "path", "rule", "verdict", "score", "threshold", "judged_by")
@@ -107,7 +111,9 @@ def scored_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str, k
     each = grams(urls.select("url", "action", "fold"), order)
     trained = lambda action: F.sum(F.when(~F.col("fold") & (F.col("action") == action), 1).otherwise(0)).alias(action[0])
     counted = persisted(each.groupBy("gram").agg(trained("allow"), trained("block")), "url-grams")
-    ratios = log_ratios(counted, order, min_context)
+    ratios = persisted(log_ratios(counted, order, min_context), "url-ratios")
+    if ratios.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        ratios = F.broadcast(ratios)  # else a shuffle, in which grams of nearly all URLs are split where they are too many
     total = each.select("url", "gram").join(ratios, "gram").groupBy("url").agg(F.sum("ratio").alias("total"))
     scored = persisted(urls.join(total, "url").withColumn("mean", F.col("total") / (F.length("url") + 1)).withColumn("bin", F.floor(F.col("mean") / BIN)), "urls-scored")
     # the highest bin edge with few enough accepted URLs below it; bins are few, whatever the input's size

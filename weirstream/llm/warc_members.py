@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstream.llm.common import persisted, shared_folder
+from weirstream.llm.common import file_system, persisted, shared_folder
 
 #: An archive is closed beyond so many payload bytes or records; this bounds what one task holds of decisions.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64_000_000, 50_000
@@ -35,12 +35,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
