@@ -194,6 +194,14 @@ def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.scored(all_features(spark, sf_dir)).select("stream_id", k_or_end(), "pos", F.round("p", 6).alias("p"), "hard")
 
 
+@query(with_(ALL, sql.SCORES, sql.reasons_of()) + "select stream_id, coalesce(k, 0)::int as k, pos::int as pos, reasons, classes, top from rt")
+def score_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fused score says of each checkpoint; numbers in the texts, which engines round apart, are left out."""
+    own = protocol.scored(all_features(spark, sf_dir))
+    told = F.array_join(F.transform("reasons", lambda r: F.regexp_replace(r, "=-?[0-9.]+", "=#")), "; ")
+    return own.select("stream_id", k_or_end(), "pos", told.alias("reasons"), F.array_join("classes", ",").alias("classes"), "top")
+
+
 MARKERS = [r"<\|im_(start|end)\|>", r"lorem ipsum", r"as an ai language model", r"!important", r"https?://"]
 
 

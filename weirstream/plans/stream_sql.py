@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weirstream.functions.text import ARTEFACTS, DIGITS, EXPECTED, LETTERS, RUN_EXCLUDED, SCRIPTS, SPACES, SYMBOLS, WORD, foreign
-from weirstream.operators import synth
+from weirstream.operators import detectors, synth
 from weirstream.operators.factuality import OPENERS
 from weirstream.operators.sequence_features import ALPHA, BASELINE, FINGERPRINT_WORDS, LEAST_ALPHABET, LEAST_WORDS, LONGEST_RUN, MOST_SHINGLES, RECENT, SHINGLE, SMOOTHING, STRIDE, WEIGHTS
 from weirstream.operators.streams import CHUNK, EVERY, HOLD
@@ -114,6 +114,28 @@ d as materialized (select stream_id, k, pos, n_chars, case when signs >= 3 and s
   0.60 * {ramp('simhash_drift', 0.42, 0.52)} as simhash, case when entropy < 0.45 and (digit_frac > 0.25 or repeat_rate > 0.5) then {ramp('(0.45 - entropy)', 0.0, 0.25)} * 0.9 + 0.1 else 0 end as entropy from r),
 fu as materialized (select *, case when (rules >= 0.5)::int + (ngram >= 0.5)::int + (sketch >= 0.5)::int + (simhash >= 0.5)::int + (entropy >= 0.5)::int >= 2 then least(1.0, greatest(rules, ngram, sketch, simhash, entropy) + 0.12)
   else greatest(rules, ngram, sketch, simhash, entropy) end as p, rules >= 0.85 as hard from d)"""
+def reasons_of() -> str:
+    """What each score says, without its numbers, with its classes and the strongest detector; ``r`` and ``d`` as above."""
+    weak = "(signs >= 3 and strong < 0.6)"
+    poor, repeats = "(ttr < 0.22 and repeat_rate > 0.45)", "(repeat_rate > 0.72 and not (repeat_rate > 0.55 and zlib_ratio < 0.32))"
+    spike, collapse = f"({ramp('surprise_z', 3.0, 9.0)} >= 0.5)", f"(repeat_rate > 0.4 and {ramp('surprise_low_frac', 0.85, 0.97)} >= 0.5)"
+    on = "(entropy < 0.45 and (digit_frac > 0.25 or repeat_rate > 0.5))"
+    loop, drift, news, broken, sense = (quoted(c) for c in (detectors.REPETITION, detectors.DRIFT, detectors.REGURGITATION, detectors.STRUCTURAL, detectors.SEMANTIC))
+    told = [
+        ("rules", "digit_frac > 0.28", "numeric dump digit_frac=#", [broken]), ("rules", "foreign_frac > 0.05", "foreign-script frac=#", [drift]), ("rules", repeats, "repetition rate=#", [loop]),
+        ("rules", "max_char_run >= 0.5", "long same-char run", [broken]), ("rules", "structural_density > 1.2", "structural artifacts density=#", [broken, news]),
+        ("rules", poor, "vocabulary collapse ttr=#", [loop]), ("rules", weak, "multiple weak anomalies", []),
+        ("ngram", spike, "surprise spike z=#", [drift, news]), ("ngram", collapse, "surprise collapse low_frac=#", [loop]),
+        ("sketch", "true", "repetition rate=# maxcount=#", [loop]), ("simhash", "true", "semantic drift hamming=#", [news, sense]), ("ent", on, "entropy collapse H=#", [loop, broken]),
+    ]
+    reasons = ", ".join(f"case when {d} >= 0.5 and {on_} then {quoted(text)} end" for d, on_, text, _ in told)
+    classes = ", ".join(f"case when {d} >= 0.5 and {on_} then {c} end" for d, on_, _, own in told for c in own)
+    top = " ".join(f"when {d} = best then {quoted(name)}" for d, name in (("rules", "rules"), ("ngram", "ngram"), ("sketch", "sketch"), ("simhash", "simhash"), ("ent", "entropy")))
+    return f"""rz as (select r.*, d.rules, d.ngram, d.sketch, d.simhash, d.entropy as ent, greatest(d.rules, d.ngram, d.sketch, d.simhash, d.entropy) as best from r join d on d.stream_id = r.stream_id and d.pos = r.pos and d.k is not distinct from r.k),
+rt as (select stream_id, k, pos, array_to_string(list_filter([{reasons}], lambda x: x is not null), '; ') as reasons,
+  array_to_string(list_sort(list_distinct(list_filter([{classes}], lambda x: x is not null))), ',') as classes, case when best <= 0 then '' {top} end as top from rz)"""
+
+
 HINKLEY = """h1 as (select *, p - avg(p) over (partition by stream_id order by k) - 0.02 as x, row_number() over (partition by stream_id order by k) as n from fu where k is not null),
 h2 as (select *, sum(x) over (partition by stream_id order by k) as cum from h1),
 h3 as (select *, cum - least(0.0, min(cum) over (partition by stream_id order by k)) as ph from h2),
