@@ -631,7 +631,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     digested = persisted(digests(slim, "text"), "jaccard-digests")
-    several = digested.where("n_shingles >= 0").groupBy("id").agg((F.min("h1") != F.max("h1")).alias("several")).where("id is null or several")
+    several = digested.where("n_shingles >= 0").groupBy("id").agg((F.coalesce(F.min("h1") != F.max("h1"), F.lit(False)) | ((F.count("h1") > 0) & (F.count("h1") < F.count("*")))).alias("several")).where("id is null or several")
     if not several.limit(1).count():
         return by_unique_id(slim, digested).withColumnRenamed("id", doc_id)
     # texts are fetched by id, so ids that can't tell rows apart give way to numbers of rows; written, so they are fixed
