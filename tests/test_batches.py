@@ -10,8 +10,9 @@ from tests.test_core import LOOP, ODD, PROSE
 from weirstream.functions import batch_kernel, kernels
 from weirstream.functions.batch_kernel import TextBatch
 from weirstream.functions.stream_kernel import TextFeatures
-from weirstream.operators import detectors, healing, kernel_tier, protocol, sequence_features
+from weirstream.operators import detectors, healing, kernel_tier, learning, protocol, sequence_features
 from weirstream.operators import streams as st
+from weirstream.plans import training
 
 TEXTS = [t for t in ODD if t] + ["aaa", "aab", "abb", "aaab 🙂🙂 𝟘𝟙 é　x", LOOP * 30, "漢字かな交じり文" * 90, "a1_b2 " * 120, PROSE[:500].replace(" ", "🙂")]
 
@@ -90,3 +91,27 @@ def test_chunks_of_any_text(spark, streams):
     for r in st.chunks(streams, 7).orderBy("stream_id", "seq").collect():
         found.setdefault(r.stream_id, []).append(r.chunk)
     assert found == {i: [t[j : j + 7] for j in range(0, len(t), 7)] for i, t in enumerate(TEXTS)}
+
+
+def test_only_asked_places_are_scored_by_the_same_numbers(spark, streams):
+    whole = {(r.stream_id, r.pos): r for r in kernel_tier.features(streams, 300, 300, 300, final=False).collect()}
+    some = {i: sorted({p for s, p in whole if s == i})[:2] for i in range(0, len(TEXTS), 2)}
+    asked = streams.join(spark.createDataFrame([*some.items(), (900, [1]), (901, [1])], "stream_id long, places array<int>"), "stream_id", "left")
+    found = kernel_tier.features(asked, 300, 300, 300, final=False, only="places").collect()
+    assert found and sorted(found) == sorted(whole[i, p] for i, at in some.items() for p in at)
+    ends = kernel_tier.features(asked.where("size(places) > 0"), 300, 300, 300, only="places").where("k is null").collect()
+    assert sorted((r.stream_id, r.pos) for r in ends) == [(i, len(TEXTS[i])) for i, at in some.items() if at]
+
+
+def test_examples_are_drawn_before_they_are_scored(spark, monkeypatch):
+    r, scored, features = random.Random(5), [], kernel_tier.features
+    words = "the river bank moves slowly under bright morning skies while people walk 🙂 toward town".split()
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randint(20, 500)))) for i in range(60)]
+    clean = spark.createDataFrame([*texts, (98, None), (99, ""), (None, "a text without an id " * 50)], "stream_id long, text string")
+    every, drawn = training.examples(clean, 300), training.examples(clean, 300, sample=8)
+    assert every.columns == drawn.columns and drawn.count() <= 16 < every.count()
+    assert sorted(map(repr, drawn.collect())) == sorted(map(repr, learning.drawn(every, "y", sample=8).collect()))
+    assert [tuple(m) for m in learning.fit(every, label="y", sample=8).collect()] == [tuple(m) for m in learning.fit(drawn, label="y", sample=8).collect()]
+    monkeypatch.setattr(kernel_tier, "features", lambda streams, *a, **b: scored.append(streams.count()) or features(streams, *a, **b))
+    training.train(clean, epochs=1, sample=8)
+    assert scored[0] <= 16  # every text was made and scored, and all but these were left out afterwards
