@@ -115,3 +115,20 @@ def test_examples_are_drawn_before_they_are_scored(spark, monkeypatch):
     monkeypatch.setattr(kernel_tier, "features", lambda streams, *a, **b: scored.append(streams.count()) or features(streams, *a, **b))
     training.train(clean, epochs=1, sample=8)
     assert scored[0] <= 16  # every text was made and scored, and all but these were left out afterwards
+
+
+def test_a_detector_of_drawn_and_held_out_vectors(spark):
+    r = random.Random(6)
+    words = "the river bank moves slowly under bright morning skies while people walk 🙂 toward town".split()
+    clean = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(150, 500)))) for i in range(80)], "stream_id long, text string")
+    held = learning.held_out(F.col("stream_id"))
+    every = training.examples(clean, 400).where(F.col("corruption_class").isin("clean", detectors.DRIFT)).persist()
+    some = training.examples(clean, 400, 12, (detectors.DRIFT,), whole=held)
+    wanted = every.where(held).unionByName(learning.drawn(every.where(~held), "y", sample=12))
+    assert wanted.count() < every.count() and sorted(map(repr, some.collect())) == sorted(map(repr, wanted.collect()))
+    assert training.places(clean, 400, (detectors.DRIFT,)).groupBy("y").count().exceptAll(every.groupBy("y").count()).isEmpty()
+    as_labels = lambda rows: rows.drop("label").withColumnRenamed("y", "label")
+    drawn = training.examples(clean, 400, learning.SAMPLE, (detectors.DRIFT,), whole=held)
+    reports = [learning.fit_detector("drift", as_labels(rows), register=False, counted=n) for rows, n in ((every, None), (drawn, training.places(clean, 400, (detectors.DRIFT,)).select(F.col("y").alias("label"))))]
+    assert reports[0][0] == reports[1][0]
+    every.unpersist()
