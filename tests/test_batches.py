@@ -132,3 +132,38 @@ def test_a_detector_of_drawn_and_held_out_vectors(spark):
     reports = [learning.fit_detector("drift", as_labels(rows), register=False, counted=n) for rows, n in ((every, None), (drawn, training.places(clean, 400, (detectors.DRIFT,)).select(F.col("y").alias("label"))))]
     assert reports[0][0] == reports[1][0]
     every.unpersist()
+
+
+@pytest.mark.parametrize("block", [10_000, 130])
+def test_a_model_is_fitted_on_all_rows_in_one_order(spark, block):
+    """Each label gave at most ``SAMPLE`` rows, and of fewer rows those whose buckets met were left out."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(600, 3)) * [1.0, 0.3, 2.0]
+    y = (r.random(600) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5])))).astype(int)
+    frame = spark.createDataFrame([(f"e{i:04d}", int(y[i]), *map(float, x[i])) for i in range(600)], "example_id string, y int, a double, b double, c double").repartition(3)
+    model = learning.fit(frame, ("a", "b", "c"), "y", epochs=2, block=block).first()
+    assert model.seen == 2 * 600
+    blocks = -(-600 // block)
+    of = np.array([k.b for k in frame.select(F.pmod(F.xxhash64("example_id"), F.lit(blocks)).alias("b"), "example_id").orderBy("example_id").collect()])
+    w, b = np.zeros(3), 0.0
+    for e in range(2):
+        for k in np.random.default_rng([7, e]).permutation(blocks) if blocks > 1 else [None]:
+            own = np.flatnonzero(of == k) if blocks > 1 else np.arange(600)
+            for i in own[np.random.default_rng([7, e] if k is None else [7, e, k]).permutation(len(own))]:
+                w, b, _ = learning.step(w, b, x[i], y[i])
+    assert np.allclose(model.w, w, rtol=0, atol=1e-9) and abs(model.b - b) < 1e-9
+    groups = frame.withColumn("g", F.when(F.col("a") > 1, "far").when(F.col("a") > -1, "near")).persist()
+    found = {m.g: m for m in learning.fit(groups, ("a", "b", "c"), "y", "g", epochs=2, block=block).collect()}
+    assert {g: m.seen for g, m in found.items()} == {g: 2 * n for g, n in groups.groupBy("g").count().collect()} and None in found
+    groups.unpersist()
+
+
+def test_vectors_of_all_streams_are_fitted(spark, monkeypatch, tmp_path):
+    from weirstream.plans import catalog
+
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice(PROSE.split()) for _ in range(r.randint(150, 400)))) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(learning, "SAMPLE", 8)  # no part in it
+    places = training.places(catalog.documents(spark, str(tmp_path)), 300).count()
+    assert places > 100 and catalog.sgd_fit(spark, str(tmp_path)).first().seen == 6 * places
