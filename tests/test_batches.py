@@ -10,7 +10,7 @@ from tests.test_core import LOOP, ODD, PROSE
 from weirstream.functions import batch_kernel, kernels
 from weirstream.functions.batch_kernel import TextBatch
 from weirstream.functions.stream_kernel import TextFeatures
-from weirstream.operators import detectors, healing, kernel_tier, learning, protocol, sequence_features
+from weirstream.operators import detectors, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth
 from weirstream.operators import streams as st
 from weirstream.plans import training
 
@@ -167,3 +167,15 @@ def test_vectors_of_all_streams_are_fitted(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(learning, "SAMPLE", 8)  # no part in it
     places = training.places(catalog.documents(spark, str(tmp_path)), 300).count()
     assert places > 100 and catalog.sgd_fit(spark, str(tmp_path)).first().seen == 6 * places
+
+
+def test_training_reads_all_streams_and_scores_ends_of_clean_ones(spark, monkeypatch):
+    r, scored, features = random.Random(9), [], kernel_tier.features
+    clean = spark.createDataFrame([(i, " ".join(r.choice(PROSE.split()) for _ in range(r.randint(150, 400)))) for i in range(60)], "stream_id long, text string")
+    learn = clean.where(metrics.split_by_key(F.col("stream_id")) == "train")
+    places = training.places(learn, training.CHUNK).count()
+    monkeypatch.setattr(kernel_tier, "features", lambda streams, *a, **b: scored.append((b.get("checkpoints", True), streams.count())) or features(streams, *a, **b))
+    done = training.train(clean, epochs=2)
+    assert done.seen == 2 * places  # of examples whose buckets met one was taken
+    made = synth.benchmark(learn, texts=False)
+    assert scored[:2] == [(True, made.count()), (False, made.where("label = 0").count())]  # ends of corrupt texts were scored and left out
