@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_core import LOOP, ODD, PROSE
-from weirstream.functions import batch_kernel, kernels
+from weirstream.functions import batch_kernel, kernels, stream_kernel
 from weirstream.functions.batch_kernel import TextBatch
 from weirstream.functions.stream_kernel import TextFeatures
 from weirstream.operators import detectors, healing, kernel_tier, learning, metrics, protocol, sequence_features, synth
@@ -179,3 +179,36 @@ def test_training_reads_all_streams_and_scores_ends_of_clean_ones(spark, monkeyp
     assert done.seen == 2 * places  # of examples whose buckets met one was taken
     made = synth.benchmark(learn, texts=False)
     assert scored[:2] == [(True, made.count()), (False, made.where("label = 0").count())]  # ends of corrupt texts were scored and left out
+
+
+def broken_texts():
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choice(PROSE.split()) for _ in range(n))
+    tails = ["昨天下午我们在河边看到三只白色的鸟" * 60, "0.00 -1.25 2.41 " * 80, LOOP * 30, "```\n#### ===== ________\n" * 40, "## Setup\n```\npip install example-tool\n```\n" * 20]
+    return TEXTS + [prose(n) + " " + t + (prose(200) if n % 2 else "") for n in (0, 3, 61, 130, 301) for t in tails] + [prose(n) for n in (59, 62, 70, 400)]
+
+
+def test_text_behind_an_abort_is_not_scored(spark):
+    """A stream's verdict was made from the features of its whole text, however early it was aborted."""
+    texts = broken_texts()
+    streams = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(1000 + i, t, i * 97 % (len(t) + 300)) for i, t in enumerate(texts)] + [(9000, "", 1), (9001, None, None)], "stream_id long, text string, first int").repartition(3)
+    guarded = kernel_tier.guard(streams.select("stream_id", "text"))
+    columns = [c for c in guarded.columns if c not in ("reasons", "classes")]
+    want = sorted(guarded.select(columns).collect())
+    assert any(w.aborted for w in want) and any(w.state == "corrupt" and not w.aborted for w in want) and any(w.state == "clean" for w in want)
+    assert sorted(kernel_tier.states(streams, first="first").select(columns).collect(), key=lambda r: r.stream_id) == sorted(want, key=lambda r: r.stream_id)
+    assert sorted(map(tuple, kernel_tier.states(streams).select(columns).collect())) == sorted(map(tuple, want))
+    ends = {w.stream_id: w.read_chars for w in want if w.aborted}
+    rows = kernel_tier.probabilities(streams, first="first").where("k is not null").collect()
+    assert rows and all(r.pos <= ends.get(r.stream_id, r.n_chars) for r in rows)
+
+
+def test_scores_of_a_batch_are_the_fused_ones():
+    texts = [t for t in broken_texts() if t]
+    of, pos = np.arange(len(texts)), np.array([len(t) for t in texts])
+    deflated, frozen = np.where(pos >= 200, pos, -1), np.where(pos > 360, 360, -1)
+    found = TextBatch(texts).at(of, pos, deflated, frozen, detectors.VECTOR)
+    p, rules = TextBatch(texts).fused(of, pos, deflated, frozen)
+    assert p.tolist() == [stream_kernel.fused_probability({c: float(found[c][i]) for c in detectors.VECTOR}) for i in of]
+    sure = TextBatch(texts).sure(of, pos, 0.85)
+    assert sure.any() and (rules[sure] >= 0.85).all() and not sure.all()
