@@ -212,3 +212,40 @@ def test_scores_of_a_batch_are_the_fused_ones():
     assert p.tolist() == [stream_kernel.fused_probability({c: float(found[c][i]) for c in detectors.VECTOR}) for i in of]
     sure = TextBatch(texts).sure(of, pos, 0.85)
     assert sure.any() and (rules[sure] >= 0.85).all() and not sure.all()
+
+
+def test_corrupt_ends_are_told_before_all_features_are_known(spark):
+    """Every probe had all features of its windows computed, those without a part in the score as well."""
+    def alone(part):
+        state, size = healing.StreamState(), max(1, len(part) // 40)
+        for i in range(0, len(part), size):
+            state.feed(part[i : i + size])
+        return state.fused()[0]
+
+    def trimmed(text):
+        clean = lambda at: all(min(at, n) < 60 or alone(text[max(0, at - n) : at]) < 0.7 for n in (250, 600, 1200))
+        snap = lambda cut: text[: text.find(" ", cut, cut + 200) + 1 or cut] if cut < len(text) else text
+        start = kernels.loop_start(text)
+        if start is not None:
+            return snap(start) if clean(start) else None
+        if clean(len(text)):
+            return text
+        low, high = 0, len(text)
+        while high - low > 100:
+            middle = (low + high) // 2
+            low, high = (middle, high) if clean(middle) else (low, middle)
+        return snap(high // 100 * 100) if clean(high // 100 * 100) else None
+
+    texts = broken_texts()
+    parts = [t[-n:] for t in texts for n in (60, 250, 1200) if len(t) >= 60]
+    least, scores = healing.least_scores(parts), healing.window_scores(parts)
+    assert all(a <= b for a, b in zip(least, scores, strict=True)) and sum(a >= 0.7 for a in least) > sum(b >= 0.7 for b in scores) / 2
+    assert healing.least_scores([]) == []
+    found = {r.stream_id: r.trimmed for r in healing.trim_to_clean(spark.createDataFrame(list(enumerate(texts)), "stream_id long, text string")).collect()}
+    assert found == {i: trimmed(t) for i, t in enumerate(texts)} and {t == texts[i] for i, t in found.items()} == {True, False}
+
+
+def test_a_unit_of_a_corruption_is_computed_once(spark):
+    made = synth.corruptions(spark.createDataFrame([(1, PROSE * 3)], "stream_id long, text string"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("#REF!") == 1  # length and repetition each computed it, and its words were split for each use
